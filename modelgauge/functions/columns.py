@@ -11,22 +11,20 @@ from pyspark.sql import functions as F
 STATUSES = ("pass", "fail", "unknown", "not_applicable")
 
 
-def fmt_num(c: Column) -> Column:
+def fmt_num_sql(x: str) -> str:
     """Render a double the way the evidence texts expect it: 15, 18.2, 12345678.5."""
-    text = c.cast("string")
-    plain = F.regexp_replace(
-        F.regexp_replace(text.try_cast("decimal(38,12)").cast("string"), r"(\.\d*?)0+$", "$1"),
-        r"\.$",
-        "",
-    )
+    plain = f"regexp_replace(cast(try_cast(cast({x} as string) as decimal(38,12)) as string), '[.]?0+$', '')"
     return (
-        F.when(c.isNull(), F.lit(None).cast("string"))
-        .when((c == F.floor(c)) & (F.abs(c) < 1e15), c.try_cast("bigint").cast("string"))
-        .when((F.abs(c) >= 1e-3) & (F.abs(c) < 1e7), text)
-        .otherwise(F.coalesce(plain, text))
+        f"case when {x} = floor({x}) and abs({x}) < 1e15 then cast(try_cast({x} as bigint) as string)"
+        f" when abs({x}) >= 1e-3 and abs({x}) < 1e7 then cast({x} as string)"
+        f" else coalesce({plain}, cast({x} as string)) end"
     )
 
 
+def fmt_num(column: str) -> Column:
+    return F.expr(fmt_num_sql(column))
+
+
 def percent(numerator: Column, denominator: Column) -> Column:
     """Integer percent, half-up; NULL when the denominator is zero."""
     return F.when(
@@ -48,12 +46,6 @@ def within(value: Column, low: Column, high: Column) -> Column:
     return (value >= low) & (high.isNull() | (value <= high))
 
 
-def range_text(low: Column, high: Column, unit: str) -> Column:
-    return F.when(
-        high.isNull(), F.concat(F.lit(">= "), fmt_num(low), F.lit(f" {unit}"))
-    ).otherwise(F.concat(fmt_num(low), F.lit("-"), fmt_num(high), F.lit(f" {unit}")))
-
-
 def quantify(quantifier: Column, n_pass: Column, n_fail: Column, n_missing: Column) -> Column:
     """Three-valued decision of an `any` / `all` quantifier over element counts."""
     any_of = quantifier == "any"

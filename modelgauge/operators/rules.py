@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modelgauge import schemas
-from modelgauge.functions.columns import combine, fmt_num, quantify, range_text, within
-from modelgauge.functions.skew import latest, salted_join
+from modelgauge.functions.columns import combine, fmt_num_sql
+from modelgauge.functions.skew import salted_join
 
 AREA = "minimum_room_area"
 WIDTH = "minimum_door_width_for_room_type"
@@ -39,10 +39,6 @@ def run_requirements(runs: DataFrame, requirements: DataFrame) -> DataFrame:
     return runs.select("run_id", "model_id", "spec_id").join(requirements, "spec_id")
 
 
-def _text(value: str | None) -> Column:
-    return F.lit(value).cast("string")
-
-
 def _evidence(message: Column, field: str, observed: Column, expected: Column) -> Column:
     return F.struct(
         message.alias("message"),
@@ -53,247 +49,172 @@ def _evidence(message: Column, field: str, observed: Column, expected: Column) -
 
 
 def resolve_doors(rooms: DataFrame, doors: DataFrame) -> DataFrame:
-    """Rooms with `links`: their door list in order, each entry resolved against the model's doors.
+    """Rooms with their door list resolved against the model's doors, each entry in list order.
 
     NULL and empty lists are decided on the room row before anything is exploded, so the two never
-    merge: `has_list` is false for NULL, `links` is empty for both. Repeated ids stay repeated.
+    merge: `has_list` is false for NULL, `n_links` is 0 for both. Repeated ids stay repeated.
+    Element ids must be unique in a model (models with violations are not evaluated).
+    `known` holds (width, "id:width") of the measured doors.
     """
-    links = rooms.where(F.size("door_ids") > 0).select(
-        "model_id", "room_id", F.posexplode("door_ids").alias("door_pos", "door_id")
-    )
-    catalogue = latest(
-        doors.select("model_id", "door_id", "width_m", "pos"), ["model_id", "door_id"], [F.col("pos")]
-    ).select("model_id", "door_id", "width_m", F.lit(True).alias("found"))
-    entry = F.struct(
-        "door_pos", "door_id", F.coalesce("found", F.lit(False)).alias("found"), "width_m"
+    carried = [c for c in rooms.columns if c not in ("model_id", "room_id", "door_ids")]
+    links = rooms.selectExpr(
+        "model_id", "room_id", *carried,
+        "door_ids is not null as has_list",
+        "coalesce(size(door_ids), 0) as n_links",
+        "posexplode_outer(door_ids) as (door_pos, door_id)",
+        # Rooms without doors get a key of their own, so they do not pile up on one NULL key.
+    ).withColumn("_key", F.expr("coalesce(door_id, concat('\u0001', room_id))"))
+    catalogue = doors.selectExpr(
+        "model_id", "door_id as _key", "width_m", "true as found",
+        f"concat(door_id, ':', {fmt_num_sql('width_m')}) as label",
     )
+    entry = "if(door_pos is null, null, struct(door_pos, door_id, found, width_m, label))"
     resolved = (
-        links.join(catalogue, ["model_id", "door_id"], "left")
+        links.join(catalogue, ["model_id", "_key"], "left")
         .groupBy("model_id", "room_id")
-        .agg(F.array_sort(F.collect_list(entry)).alias("links"))
-    )
-    known = F.filter("links", lambda d: d["width_m"].isNotNull())
-    return (
-        rooms.join(resolved, ["model_id", "room_id"], "left")
-        .withColumn("has_list", F.col("door_ids").isNotNull())
-        .withColumn("n_links", F.coalesce(F.size("door_ids"), F.lit(0)))
-        .withColumn("known", known)
-        .withColumn(
-            "unmeasured_ids",
-            F.transform(F.filter("links", lambda d: d["width_m"].isNull()), lambda d: d["door_id"]),
-        )
-        .withColumn("link_ids", F.transform("links", lambda d: d["door_id"]))
-        .withColumn(
-            "unresolved_id",
-            F.try_element_at(
-                F.transform(F.filter("links", lambda d: ~d["found"]), lambda d: d["door_id"]), F.lit(1)
-            ),
+        .agg(
+            *[F.first(c).alias(c) for c in [*carried, "has_list", "n_links"]],
+            F.expr(f"array_sort(collect_list({entry}))").alias("links"),
         )
     )
-
-
-def _widths(doors: Column) -> Column:
-    return F.array_join(
-        F.transform(doors, lambda d: F.concat(d["door_id"], F.lit(":"), fmt_num(d["width_m"]))), ", "
-    )
-
-
-def _area_branch(c: Column) -> Column:
-    name, area = F.col("name"), F.col("area_sqm")
-    wanted = range_text(c["min"], c["max"], "sqm")
-    ok = within(area, c["min"], c["max"])
-    status = F.when(area.isNull(), "unknown").when(ok, "pass").otherwise("fail")
-    measured = F.concat(
-        name, F.lit(" area "), fmt_num(area), F.when(ok, " sqm satisfies ").otherwise(" sqm violates "), wanted, F.lit(".")
-    )
-    return F.struct(
-        status.alias("status"),
-        F.when(
-            area.isNull(), F.concat(F.lit("Cannot verify area for "), name, F.lit("; area is missing."))
-        ).otherwise(measured).alias("summary"),
-        F.array("room_id").alias("affected"),
-        _evidence(
-            F.when(area.isNull(), "Area parameter is not available in normalized model data.").otherwise(
-                "Room area was compared against deterministic threshold."
-            ),
-            "room.areaSqm",
-            fmt_num(area),
-            F.when(area.isNull(), F.concat(F.lit(">= "), fmt_num(c["min"]))).otherwise(wanted),
-        ).alias("evidence"),
-    )
-
-
-def _width_branch(c: Column) -> Column:
-    """`c` carries min, max, quantifier and the room's `passing` / `failing` doors."""
-    name, room = F.col("name"), F.array("room_id")
-    q = c["quantifier"]
-    wanted = range_text(c["min"], c["max"], "m")
-    decided = quantify(q, F.size(c["passing"]), F.size(c["failing"]), F.size("unmeasured_ids"))
-    case = (
-        F.when(~F.col("has_list"), "no_list")
-        .when(F.col("n_links") == 0, "empty")
-        .when(F.col("unresolved_id").isNotNull(), "unresolved")
-        .otherwise(decided)
-    )
-    lead = F.when(case == "pass", F.when(q == "any", "At least one").otherwise("All")).otherwise(
-        F.when(q == "any", "No").otherwise("Not all")
-    )
-    scope = F.concat(q, F.lit(" connected doors within "), wanted)
-
-    def pick(no_list, empty, unresolved, unknown, otherwise):
-        return (
-            F.when(case == "no_list", no_list)
-            .when(case == "empty", empty)
-            .when(case == "unresolved", unresolved)
-            .when(case == "unknown", unknown)
-            .otherwise(otherwise)
-        )
-
-    return F.struct(
-        F.when(case.isin("pass", "fail"), case).when(case == "empty", "fail").otherwise("unknown").alias("status"),
-        pick(
-            F.concat(F.lit("Cannot verify door widths for "), name, F.lit("; door relationship data is missing.")),
-            F.concat(name, F.lit(" has no connected doors; required minimum door width cannot be met.")),
-            F.concat(
-                F.lit("Cannot verify "), name, F.lit("; connected door "), F.col("unresolved_id"),
-                F.lit(" is not present in model doors."),
-            ),
-            F.concat(
-                F.lit("Cannot verify whether "), q, F.lit(" connected doors for "), name, F.lit(" satisfy "),
-                wanted, F.lit("; one or more doors have missing width."),
-            ),
-            F.concat(lead, F.lit(" connected doors for "), name, F.lit(" satisfy "), wanted, F.lit(".")),
-        ).alias("summary"),
-        pick(
-            room,
-            room,
-            F.concat(room, F.array("unresolved_id")),
-            F.concat(room, F.col("unmeasured_ids")),
-            F.concat(room, F.col("link_ids")),
-        ).alias("affected"),
-        F.struct(
-            pick(
-                F.lit("Connected door identifiers are required but not available."),
-                F.lit("No connected door found for room."),
-                F.lit("Door id referenced by room cannot be resolved in door set."),
-                F.lit("Door width parameter is missing for connected door."),
-                F.concat(lead, F.lit(" connected door widths meet the deterministic range.")),
-            ).alias("message"),
-            pick(
-                _text(None),
-                F.lit("[]"),
-                F.col("unresolved_id"),
-                F.array_join("unmeasured_ids", ", "),
-                F.when(case == "pass", _widths(F.col("known"))).otherwise(_widths(c["failing"])),
-            ).alias("observed"),
-            pick(
-                F.lit("Array of door ids"),
-                F.concat(F.lit("At least one door width >= "), fmt_num(c["min"]), F.lit("m")),
-                F.lit("Door id existing in model.doors"),
-                scope,
-                scope,
-            ).alias("expected"),
-            F.when(case.isin("no_list", "empty", "unresolved"), "room.connectedDoorIds")
-            .otherwise("door.widthM")
-            .alias("field"),
-        ).alias("evidence"),
+    return resolved.selectExpr(
+        "model_id", "room_id", *carried, "has_list", "n_links",
+        "transform(filter(links, d -> d.width_m is not null), d -> struct(d.width_m as width_m, d.label as label)) as known",
+        "transform(filter(links, d -> d.width_m is null), d -> d.door_id) as unmeasured_ids",
+        "transform(links, d -> d.door_id) as link_ids",
+        "try_element_at(transform(filter(links, d -> d.found is null), d -> d.door_id), 1) as unresolved_id",
     )
 
 
 def _as_conditions(req: DataFrame) -> DataFrame:
-    """Simple area and width requirements become one-condition composites, so one path evaluates all."""
-    single = F.array(
-        F.struct(
-            F.when(F.col("type") == AREA, "room_area_range").otherwise("connected_door_width_range").alias("type"),
-            F.col("min_value").alias("min"),
-            F.col("max_value").alias("max"),
-            F.col("quantifier"),
-        )
-    )
-    return req.where(F.col("type").isin(*TARGETED)).select(
-        "run_id", "model_id", "requirement_id", "title", "severity", "type", "room_type", "operator",
-        F.col("pos").alias("req_pos"),
-        F.when(F.col("type") == COMPOSITE, F.col("conditions")).otherwise(single).alias("conditions"),
-    )
+    """Targeted requirements as condition lists; area and width rules become one-condition lists.
 
-
-def rule_targeted(rooms: DataFrame, doors: DataFrame, req: DataFrame) -> DataFrame:
-    """Area, width and composite rules over the rooms of the requirement's type."""
-    pairs = salted_join(
-        resolve_doors(rooms, doors).drop("door_ids"),
-        _as_conditions(req),
-        ["model_id", "room_type"],
-        ["room_id"],
+    All number texts of the thresholds are rendered here, once per requirement.
+    """
+    kind = f"if(type = '{AREA}', 'room_area_range', 'connected_door_width_range')"
+    single = f"array(struct({kind} as type, min_value as min, max_value as max, quantifier))"
+    rendered = f"""transform(if(type = '{COMPOSITE}', conditions, {single}), c -> struct(
+        c.type = 'room_area_range' as is_area, c.min as min, c.max as max, coalesce(c.quantifier, 'all') as q,
+        {fmt_num_sql('c.min')} as min_text,
+        concat(if(c.max is null, concat('>= ', {fmt_num_sql('c.min')}), concat({fmt_num_sql('c.min')}, '-', {fmt_num_sql('c.max')})),
+            if(c.type = 'room_area_range', ' sqm', ' m')) as wanted))"""
+    return req.where(F.col("type").isin(*TARGETED)).selectExpr(
+        "run_id", "model_id", "requirement_id", "title", "severity", "type", "room_type", "operator",
+        "pos as req_pos", f"{rendered} as conditions",
     )
 
-    def split(c: Column) -> Column:
-        inside = lambda d: within(d["width_m"], c["min"], c["max"])
-        return F.struct(
-            c["type"].alias("type"),
-            c["min"].alias("min"),
-            c["max"].alias("max"),
-            F.coalesce(c["quantifier"], F.lit("all")).alias("quantifier"),
-            F.filter("known", inside).alias("passing"),
-            F.filter("known", lambda d: ~inside(d)).alias("failing"),
-        )
 
-    staged = pairs.withColumn("_split", F.transform("conditions", split)).withColumn(
-        "_branches",
-        F.transform(
-            "_split", lambda c: F.when(c["type"] == "room_area_range", _area_branch(c)).otherwise(_width_branch(c))
-        ),
-    )
-    staged = staged.withColumn("_statuses", F.transform("_branches", lambda b: b["status"])).withColumn(
-        "_status", F.when(F.col("type") == COMPOSITE, combine(F.col("operator"), F.col("_statuses"))).otherwise(F.col("_statuses")[0])
+# Branch evaluation in three staged array transforms: door split -> case -> texts. Outcome-only
+# consumers read `cases` and never pay for the texts.
+_SPLIT = """transform(conditions, c -> struct(c as c,
+    if(c.is_area, null, filter(known, d -> d.width_m >= c.min and (c.max is null or d.width_m <= c.max))) as passing,
+    if(c.is_area, null, filter(known, d -> not (d.width_m >= c.min and (c.max is null or d.width_m <= c.max)))) as failing))"""
+
+_CASES = """transform(_split, s -> struct(s.c as c, s.failing as failing, case
+    when s.c.is_area then case when area_sqm is null then 'area_missing'
+        when area_sqm >= s.c.min and (s.c.max is null or area_sqm <= s.c.max) then 'area_ok' else 'area_bad' end
+    when not has_list then 'no_list'
+    when n_links = 0 then 'empty'
+    when unresolved_id is not null then 'unresolved'
+    when s.c.q = 'any' then case when size(s.passing) > 0 then 'pass' when size(unmeasured_ids) = 0 then 'fail' else 'unmeasured' end
+    when size(s.failing) > 0 then 'fail' when size(unmeasured_ids) = 0 then 'pass' else 'unmeasured' end as k))"""
+
+_STATUSES = """transform(_cases, b -> case when b.k in ('area_ok', 'pass') then 'pass'
+    when b.k in ('area_bad', 'empty', 'fail') then 'fail' else 'unknown' end)"""
+
+_LEAD = "case when b.k = 'pass' then if(b.c.q = 'any', 'At least one', 'All') else if(b.c.q = 'any', 'No', 'Not all') end"
+
+_BRANCHES = f"""transform(_cases, b -> struct(
+    case b.k
+        when 'area_missing' then concat('Cannot verify area for ', name, '; area is missing.')
+        when 'area_ok' then concat(name, ' area ', area_text, ' sqm satisfies ', b.c.wanted, '.')
+        when 'area_bad' then concat(name, ' area ', area_text, ' sqm violates ', b.c.wanted, '.')
+        when 'no_list' then concat('Cannot verify door widths for ', name, '; door relationship data is missing.')
+        when 'empty' then concat(name, ' has no connected doors; required minimum door width cannot be met.')
+        when 'unresolved' then concat('Cannot verify ', name, '; connected door ', unresolved_id, ' is not present in model doors.')
+        when 'unmeasured' then concat('Cannot verify whether ', b.c.q, ' connected doors for ', name, ' satisfy ', b.c.wanted,
+            '; one or more doors have missing width.')
+        else concat({_LEAD}, ' connected doors for ', name, ' satisfy ', b.c.wanted, '.') end as summary,
+    case when b.k in ('pass', 'fail') then concat(array(room_id), link_ids)
+        when b.k = 'unmeasured' then concat(array(room_id), unmeasured_ids)
+        when b.k = 'unresolved' then array(room_id, unresolved_id)
+        else array(room_id) end as affected,
+    case b.k
+        when 'area_missing' then 'Area parameter is not available in normalized model data.'
+        when 'area_ok' then 'Room area was compared against deterministic threshold.'
+        when 'area_bad' then 'Room area was compared against deterministic threshold.'
+        when 'no_list' then 'Connected door identifiers are required but not available.'
+        when 'empty' then 'No connected door found for room.'
+        when 'unresolved' then 'Door id referenced by room cannot be resolved in door set.'
+        when 'unmeasured' then 'Door width parameter is missing for connected door.'
+        else concat({_LEAD}, ' connected door widths meet the deterministic range.') end as message,
+    case b.k
+        when 'area_ok' then area_text when 'area_bad' then area_text when 'empty' then '[]'
+        when 'unresolved' then unresolved_id
+        when 'unmeasured' then array_join(unmeasured_ids, ', ')
+        when 'pass' then array_join(transform(known, d -> d.label), ', ')
+        when 'fail' then array_join(transform(b.failing, d -> d.label), ', ') end as observed,
+    case b.k
+        when 'area_missing' then concat('>= ', b.c.min_text)
+        when 'area_ok' then b.c.wanted when 'area_bad' then b.c.wanted
+        when 'no_list' then 'Array of door ids'
+        when 'empty' then concat('At least one door width >= ', b.c.min_text, 'm')
+        when 'unresolved' then 'Door id existing in model.doors'
+        else concat(b.c.q, ' connected doors within ', b.c.wanted) end as expected,
+    case when b.c.is_area then 'room.areaSqm' when b.k in ('no_list', 'empty', 'unresolved') then 'room.connectedDoorIds'
+        else 'door.widthM' end as field))"""
+
+_EVIDENCE = """transform(_branches, (b, i) -> struct(
+    if(type = 'composite_room_rule', concat('Condition ', i + 1, ' (', _statuses[i], '): ', b.message), b.message) as message,
+    b.observed as observed, b.expected as expected, b.field as field))"""
+
+
+def _judge(pairs: DataFrame) -> DataFrame:
+    """Findings of (room, requirement) pairs."""
+    staged = (
+        pairs.withColumn("_split", F.expr(_SPLIT))
+        .withColumn("_cases", F.expr(_CASES))
+        .withColumn("_statuses", F.expr(_STATUSES))
+        .withColumn("_branches", F.expr(_BRANCHES))
     )
     composite = F.col("type") == COMPOSITE
-    first = F.col("_branches")[0]
-    labelled = F.transform(
-        "_branches",
-        lambda b, i: F.struct(
-            F.concat(
-                F.lit("Condition "), (i + 1).cast("string"), F.lit(" ("), b["status"], F.lit("): "), b["evidence"]["message"]
-            ).alias("message"),
-            b["evidence"]["observed"].alias("observed"),
-            b["evidence"]["expected"].alias("expected"),
-            b["evidence"]["field"].alias("field"),
-        ),
-    )
-    rule_id = F.when(composite, RULE_IDS[COMPOSITE]).when(F.col("type") == AREA, RULE_IDS[AREA]).otherwise(RULE_IDS[WIDTH])
-    return staged.select(
+    status = F.when(composite, combine(F.col("operator"), F.col("_statuses"))).otherwise(F.col("_statuses")[0])
+    return staged.withColumn("_status", status).select(
         "run_id",
         "requirement_id",
-        rule_id.alias("rule_id"),
+        F.when(composite, RULE_IDS[COMPOSITE]).when(F.col("type") == AREA, RULE_IDS[AREA]).otherwise(RULE_IDS[WIDTH]).alias("rule_id"),
         F.col("title").alias("requirement_title"),
         F.lit("room").alias("element_type"),
         F.col("_status").alias("status"),
         "severity",
-        F.when(
-            composite,
-            F.concat(
-                F.col("name"), F.lit(": "), F.upper("operator"), F.lit(" composite rule is "), F.col("_status"),
-                F.lit("; branch results: "), F.array_join("_statuses", ", "), F.lit("."),
-            ),
-        ).otherwise(first["summary"]).alias("summary"),
-        F.when(
-            composite, F.array_distinct(F.flatten(F.transform("_branches", lambda b: b["affected"])))
-        ).otherwise(first["affected"]).alias("affected_element_ids"),
-        F.when(composite, labelled).otherwise(F.array(first["evidence"])).alias("evidence"),
+        F.expr(
+            "if(type = 'composite_room_rule', concat(name, ': ', upper(operator), ' composite rule is ', _status,"
+            " '; branch results: ', array_join(_statuses, ', '), '.'), _branches[0].summary)"
+        ).alias("summary"),
+        F.expr(
+            "if(type = 'composite_room_rule', array_distinct(flatten(transform(_branches, b -> b.affected))), _branches[0].affected)"
+        ).alias("affected_element_ids"),
+        F.expr(_EVIDENCE).alias("evidence"),
         "req_pos",
         F.col("pos").alias("element_pos"),
     )
 
 
+def rule_targeted(rooms: DataFrame, doors: DataFrame, req: DataFrame) -> DataFrame:
+    """Area, width and composite rules over the rooms of the requirement's type."""
+    resolved = resolve_doors(rooms, doors).withColumn("area_text", F.expr(fmt_num_sql("area_sqm")))
+    return _judge(salted_join(resolved, _as_conditions(req), ["model_id", "room_type"], ["room_id"]))
+
+
 def rule_room_area(rooms: DataFrame, req: DataFrame) -> DataFrame:
     """Inclusive area range; a missing area is unknown. Needs no door data, so no door shuffle."""
-    pairs = salted_join(rooms, _as_conditions(req.where(F.col("type") == AREA)), ["model_id", "room_type"], ["room_id"])
-    staged = pairs.withColumn("_b", F.transform("conditions", _area_branch)[0])
-    return staged.select(
-        "run_id", "requirement_id", F.lit(RULE_IDS[AREA]).alias("rule_id"), F.col("title").alias("requirement_title"),
-        F.lit("room").alias("element_type"), F.col("_b.status").alias("status"), "severity",
-        F.col("_b.summary").alias("summary"), F.col("_b.affected").alias("affected_element_ids"),
-        F.array("_b.evidence").alias("evidence"), "req_pos", F.col("pos").alias("element_pos"),
-    )
+    bare = rooms.drop("door_ids").selectExpr(
+        "*", "false as has_list", "0 as n_links", "cast(null as string) as unresolved_id",
+        "cast(null as array<struct<width_m:double,label:string>>) as known",
+        "cast(null as array<string>) as unmeasured_ids", "cast(null as array<string>) as link_ids",
+    ).withColumn("area_text", F.expr(fmt_num_sql("area_sqm")))
+    only = _as_conditions(req.where(F.col("type") == AREA))
+    return _judge(salted_join(bare, only, ["model_id", "room_type"], ["room_id"]))
 
 
 def rule_door_width(rooms: DataFrame, doors: DataFrame, req: DataFrame) -> DataFrame:

@@ -97,7 +97,7 @@ def _quantify(spark, d):
     rooms = R.resolve_doors(tb.rooms(spark, d), tb.doors(spark, d)).where(
         F.col("has_list") & (F.col("n_links") > 0) & F.col("unresolved_id").isNull()
     )
-    q = F.coalesce("c.quantifier", F.lit("all"))
+    q = F.col("c.q")
     inside = lambda x: within(x["width_m"], F.col("c.min"), F.col("c.max"))
     pairs = rooms.join(req, ["model_id", "room_type"]).select(
         "requirement_id", q.alias("quantifier"), F.size(F.filter("known", inside)).alias("p"),
@@ -235,6 +235,6 @@ def _inventory(spark, d):
 def _numbers(spark, d):
     from modelgauge.functions.columns import fmt_num
 
-    x = F.floor(F.col("o_totalprice") / 5) / 10
-    o = tb.table(spark, d, "orders").select((F.col("o_orderkey") % 97).alias("band"), fmt_num(x).alias("t"))
+    o = tb.table(spark, d, "orders").selectExpr("o_orderkey % 97 as band", "floor(o_totalprice / 5) / 10 as x")
+    o = o.select("band", fmt_num("x").alias("t"))
     return o.groupBy("band").agg(F.min("t").alias("first_text"), F.max("t").alias("last_text"), F.count(F.lit(1)).alias("n"))
