@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("validation",)
+MODULES = ("validation", "constraints", "regression", "tracing")
 
 
 def load() -> None:

@@ -160,9 +160,9 @@ def reviews_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     status = (
         F.when(F.col("event_type") == "view", "open")
-        .when(F.col("event_type") == "click", "accepted")
+        .when(F.col("event_type") == "click", "acknowledged")
         .when(F.col("event_type") == "purchase", "waived")
-        .when(F.col("event_type") == "error", "rejected")
+        .when(F.col("event_type") == "error", "resolved")
         .otherwise("resolved")
     )
     req = F.element_at(
@@ -182,3 +182,32 @@ def reviews_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         _id("usr-", F.col("event_id") % 9).alias("reviewer_id"),
         F.col("ts").alias("decided_at"),
     )
+
+
+def model_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Baseline run (variant a) against candidate run (variant b) of every model."""
+    return models(spark, sf_dir).selectExpr(
+        "model_id as pair_id", "project_id", "concat('run-a-', model_id) as before_run_id", "concat('run-b-', model_id) as after_run_id"
+    )
+
+
+def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projects of ten models each; some have no baseline, some point at a run that is gone."""
+    return (
+        table(spark, sf_dir, "customer")
+        .groupBy(F.expr("floor(c_custkey / 10)").alias("n"))
+        .agg(F.min("c_custkey").alias("first"))
+        .selectExpr(
+            "concat('prj-', n) as project_id", "n", "concat('usr-', n % 150) as owner_id",
+            "case when n % 7 = 0 then null when n % 11 = 0 then 'run-a-gone' else concat('run-a-mdl-', first) end as baseline_run_id",
+            "if(n % 5 = 0, timestampadd(DAY, cast(-(n % 60) as int), timestamp'2024-01-31 00:00:00'), null) as deleted_at",
+        )
+    )
+
+
+def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One loose policy document per project, chosen by project number."""
+    from modelgauge.plans.rulebook import POLICIES
+
+    cases = " ".join(f"when {k} then '{v}'" for k, v in POLICIES.items())
+    return projects(spark, sf_dir).where("n % 6 <> 5").selectExpr("project_id", f"case n % 6 {cases} end as policy_json")
