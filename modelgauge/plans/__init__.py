@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("validation", "constraints", "regression", "tracing")
+MODULES = ("validation", "constraints", "regression", "tracing", "operations")
 
 
 def load() -> None:

@@ -119,6 +119,8 @@ def part_requirements(spark: SparkSession, d: str) -> DataFrame:
         "if(p_partkey % 6 = 4 and p_partkey % 8 <> 0, 'informational', 'ready_for_validation') as automation_status",
         "element_at(array('m2', 'mm', 'kg', 'SQM'), cast(p_partkey % 4 + 1 as int)) as unit",
         "element_at(array('area', 'length', 'untyped'), cast(p_partkey % 3 + 1 as int)) as quantity_type",
+        "p_type as discipline", "cast(null as string) as description",
+        "if(p_partkey % 2 = 0, named_struct('document', p_brand, 'section', cast(p_size as string), 'revision', cast(null as string)), null) as source",
     )
 
 
@@ -136,7 +138,7 @@ cte(
   CASE WHEN p_partkey % 6 = 3 AND p_partkey % 9 <> 0 THEN 'and' END AS operator,
   CASE WHEN p_partkey % 6 = 4 AND p_partkey % 8 <> 0 THEN 'informational' ELSE 'ready_for_validation' END AS automation_status,
   ['m2', 'mm', 'kg', 'SQM'][p_partkey % 4 + 1] AS unit, ['area', 'length', 'untyped'][p_partkey % 3 + 1] AS quantity_type,
-  p_size % 13 AS n_conditions FROM part""",
+  p_size % 13 AS n_conditions, p_type AS discipline, p_brand FROM part""",
 )
 # sequence(1, 0) counts down to 0 in the engine: two conditions, the last with a zero minimum.
 cte("x_preq2", "SELECT * REPLACE (CASE WHEN n_conditions = 0 THEN 2 ELSE n_conditions END AS n_conditions), n_conditions = 0 AS zero_min FROM x_preq")
@@ -279,7 +281,7 @@ def evidence(spark: SparkSession, d: str) -> DataFrame:
         "if(event_id % 13 <> 0, concat('rm-', event_id), null) as model_element_id", "'room' as model_element_type",
         "if(event_id % 17 <> 0, concat('photo ', event_id, '.png'), null) as file_name",
         "floor(value * 1000000) as file_size_bytes", "sha2(cast(event_id as string), 256) as file_content_hash",
-        "concat('usr-', event_id % 9) as created_by", "ts as created_at",
+        "concat('usr-', event_id % 9) as created_by", "cast(ts as timestamp) as created_at",
     )
 
 

@@ -27,7 +27,10 @@ def build(body: str) -> str:
     visit(body)
     ctes = ",\n".join(f"{n} AS (\n{s}\n)" for n, s in _CTES.items() if n in needed)
     head = f"WITH RECURSIVE {ctes}\n" if ctes else ""
-    return head + body.strip()
+    body = body.strip()
+    if head and body.startswith("WITH "):
+        body = f"SELECT * FROM (\n{body}\n)"
+    return head + body
 
 
 def lit(value) -> str:

@@ -61,11 +61,18 @@ def _rows(spark, d):
     return trace_rows(spark, d).withColumn("source_fragment_ids", F.array_join("source_fragment_ids", "; ")).select(*_COLS)
 
 
-@query("resolve_clauses", "SELECT * FROM x_clauses")
+@query(
+    "resolve_clauses",
+    f"""SELECT 'spec-a' AS spec_id, 'R-' || r AS requirement_id, array_to_string(list(exact_text ORDER BY i), chr(10) || chr(10)) AS source_clause_text, array_to_string(list({_WHERE} ORDER BY i), '; ') AS source_clause_location
+FROM (SELECT doc_id AS r, unnest([doc_id + 1, doc_id, -1, doc_id * 2]) AS f, unnest([0, 1, 2, 3]) AS i FROM documents) q JOIN x_clause_frags f ON f.doc_id = q.f GROUP BY r""",
+)
 def _clauses(spark, d):
-    from modelgauge.plans.rulebook import requirements
-
-    return T.resolve_clauses(requirements(spark), clause_fragments(spark, d))
+    """One requirement per document citing four fragments, some of them unknown."""
+    req = tb.table(spark, d, "documents").selectExpr(
+        "'spec-a' as spec_id", "concat('R-', doc_id) as requirement_id",
+        "transform(array(doc_id + 1, doc_id, -1, doc_id * 2), i -> concat('frg-', i, '-0')) as source_fragment_ids",
+    )
+    return T.resolve_clauses(req, clause_fragments(spark, d))
 
 
 @query("fragment_locations", f"SELECT fragment_id, {_WHERE} AS location FROM x_clause_frags")

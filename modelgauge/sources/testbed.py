@@ -178,9 +178,9 @@ def reviews_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when((F.col("event_type") == "purchase") & (F.col("event_id") % 4 != 0), "Agreed deviation")
         .when(F.col("event_id") % 50 == 1, "Left over")
         .alias("waiver_reason"),
-        F.when(F.col("event_id") % 7 == 0, F.col("ts")).alias("waiver_expires_at"),
+        F.when(F.col("event_id") % 7 == 0, F.col("ts").cast("timestamp")).alias("waiver_expires_at"),
         _id("usr-", F.col("event_id") % 9).alias("reviewer_id"),
-        F.col("ts").alias("decided_at"),
+        F.col("ts").cast("timestamp").alias("decided_at"),
     )
 
 
