@@ -52,39 +52,11 @@ def chunked_running_count(
         *keys, "_chunk", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset")
     )
     inside = Window.partitionBy(*keys, "_chunk").orderBy(order)
-    running = chunked.withColumn("_run", F.sum("_hit").over(inside))
+    running = chunked.withColumn("_inside", F.sum("_hit").over(inside))
     return (
         running.join(offsets, [*keys, "_chunk"])
-        .withColumn(out, F.col("_run") + F.col("_offset"))
-        .drop("_chunk", "_hit", "_run", "_offset")
-    )
-
-
-def chunked_last_value(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    value: Column,
-    out: str,
-    chunk_rows: int = CHUNK_ROWS,
-) -> DataFrame:
-    """Last non-NULL `value` at or before each row, per key in integer `order`; chunked as above."""
-    chunked = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk_rows))).withColumn(
-        "_val", value
-    )
-    per_chunk = chunked.groupBy(*keys, "_chunk").agg(
-        F.max_by("_val", F.when(F.col("_val").isNotNull(), F.col(order))).alias("_last")
-    )
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_chunk.select(
-        *keys, "_chunk", F.last("_last", ignorenulls=True).over(before).alias("_carry")
-    )
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(order)
-    local = chunked.withColumn("_here", F.last("_val", ignorenulls=True).over(inside))
-    return (
-        local.join(carried, [*keys, "_chunk"])
-        .withColumn(out, F.coalesce("_here", "_carry"))
-        .drop("_chunk", "_val", "_here", "_carry")
+        .withColumn(out, F.col("_inside") + F.col("_offset"))
+        .drop("_chunk", "_hit", "_inside", "_offset")
     )
 
 
@@ -114,3 +86,31 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n:
         .where(F.col("_rn") <= n)
         .drop("_salt", "_rn")
     )
+
+
+def chunked_last_values(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    values: dict[str, Column],
+    chunk_rows: int = CHUNK_ROWS,
+) -> DataFrame:
+    """Several running last-non-NULL columns in one pass, per key in integer `order`.
+
+    Window inside (key, chunk), plus the last value carried from earlier chunks of the key.
+    """
+    names = list(values)
+    chunked = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk_rows))).withColumns(
+        {f"_v_{n}": v for n, v in values.items()}
+    )
+    per_chunk = chunked.groupBy(*keys, "_chunk").agg(
+        *[F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col(order))).alias(f"_l_{n}") for n in names]
+    )
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = per_chunk.select(
+        *keys, "_chunk", *[F.last(f"_l_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in names]
+    )
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(order)
+    local = chunked.withColumns({f"_h_{n}": F.last(f"_v_{n}", ignorenulls=True).over(inside) for n in names})
+    joined = local.join(carried, [*keys, "_chunk"])
+    return joined.select(*df.columns, *[F.coalesce(f"_h_{n}", f"_c_{n}").alias(n) for n in names])

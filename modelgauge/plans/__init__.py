@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("validation", "constraints", "regression", "tracing", "operations")
+MODULES = ("validation", "constraints", "regression", "tracing", "operations", "documents")
 
 
 def load() -> None:
