@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("validation", "constraints", "regression", "tracing", "operations", "documents")
+MODULES = ("validation", "constraints", "regression", "tracing", "operations", "documents", "ifcmodels")
 
 
 def load() -> None:
