@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("validation", "constraints", "regression", "tracing", "operations", "documents", "ifcmodels")
+MODULES = ("validation", "constraints", "regression", "tracing", "operations", "documents", "ifcmodels", "imports")
 
 
 def load() -> None:

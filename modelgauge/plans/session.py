@@ -1,10 +1,11 @@
-"""Session settings the engine relies on; sized for a cluster, overridable by the caller."""
+"""Session settings the engine relies on, and the shared folder for intermediate tables."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -13,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+_LOCAL_ROOT: list[str] = []
+_WRITTEN: dict[tuple[str, str], str] = {}
 
 
 def session(app: str = "modelgauge", master: str | None = None, **conf: str) -> SparkSession:
@@ -27,4 +30,25 @@ def session(app: str = "modelgauge", master: str | None = None, **conf: str) ->
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir; a local one only where none is set (tests)."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    return configured or tempfile.mkdtemp(prefix="modelgauge-ckpt-")
+    if configured:
+        return configured
+    if not _LOCAL_ROOT:
+        _LOCAL_ROOT.append(tempfile.mkdtemp(prefix="modelgauge-ckpt-"))
+    return _LOCAL_ROOT[0]
+
+
+def written(spark: SparkSession, name: str, build, partition_by: str | None = None) -> DataFrame:
+    """A table that several branches of a plan read, written once per application and read back.
+
+    Written rather than cached, so a lost executor costs a re-read and the lineage is cut.
+    """
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _WRITTEN:
+        path = f"{checkpoint_root(spark)}/modelgauge/{uuid.uuid4().hex}"
+        df = build()
+        writer = df.write.mode("errorifexists")
+        if partition_by:
+            writer = writer.partitionBy(partition_by)
+        writer.parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(_WRITTEN[key])
