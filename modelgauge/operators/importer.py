@@ -71,21 +71,36 @@ def norm_headers(df: DataFrame, column: str, out: str) -> DataFrame:
     return df.join(distinct, F.col(column).eqNullSafe(F.col("_h")), "left").drop("_h").withColumnRenamed("_n", out)
 
 
-def _alias_literal() -> str:
+def _alias_tokens(spark) -> DataFrame:
+    """The fixed alias table, one row per word of each alias."""
     rows = []
     for f, (field, names) in enumerate(ALIASES.items()):
         for i, name in enumerate([field, *names]):
             text = normalize_header_text(name)
-            tokens = ", ".join(f"'{t}'" for t in text.split())
-            rows.append(f"struct({f} as f, '{field}' as field, {i} as i, '{text}' as cand, array({tokens}) as tokens)")
-    return f"array({', '.join(rows)})"
+            rows += [(f, field, i, text, len(text.split()), token) for token in text.split()]
+    return spark.createDataFrame(rows, "f int, field string, i int, cand string, n_tokens int, token string")
 
 
-def _best_field(norm: str) -> str:
-    """SQL text: struct(score, rank, field) of the best canonical field of a normalised header."""
-    share = f"size(filter(a.tokens, t -> array_contains(split({norm}, ' '), t))) / size(a.tokens)"
-    score = f"case when a.cand = {norm} then if(a.i = 0, 100, 92) when {share} >= 0.75 then 75 when {share} >= 0.5 then 50 else 0 end"
-    return f"array_max(transform({_alias_literal()}, a -> struct({score} as score, -a.f as rank, a.field as field)))"
+def best_fields(headers: DataFrame) -> DataFrame:
+    """(header, field, score): best canonical field of each distinct header text.
+
+    Words meet aliases by an equi-join, so only aliases that share a word with a header are looked at.
+    """
+    words = headers.select("header").distinct().withColumn("_n", _norm_header("header")).selectExpr(
+        "header", "_n", "explode(array_distinct(split(_n, ' '))) as token"
+    )
+    shared = (
+        words.join(_alias_tokens(headers.sparkSession), "token")
+        .groupBy("header", "_n", "f", "field", "i", "cand", "n_tokens")
+        .agg(F.count(F.lit(1)).alias("hits"))
+    )
+    score = "case when cand = _n then if(i = 0, 100, 92) when hits / n_tokens >= 0.75 then 75 when hits / n_tokens >= 0.5 then 50 else 0 end"
+    return (
+        shared.withColumn("score", F.expr(score))
+        .groupBy("header")
+        .agg(F.max(F.struct("score", (-F.col("f")).alias("r"), "field")).alias("b"))
+        .selectExpr("header", "if(b.score > 0, b.field, null) as _field", "b.score as _score")
+    )
 
 
 def suggest_mappings(headers: DataFrame) -> DataFrame:
@@ -94,12 +109,8 @@ def suggest_mappings(headers: DataFrame) -> DataFrame:
     A field is given to the first column of the header row that suggests it; later ones are unmapped.
     Scoring runs once per distinct header text.
     """
-    distinct = headers.select("header").distinct()
-    scored = distinct.withColumn("_n", _norm_header("header")).withColumn("_b", F.expr(_best_field("_n"))).selectExpr(
-        "header", "if(_b.score > 0, _b.field, null) as _field", "_b.score as _score"
-    )
-    tagged = headers.join(scored, "header", "left")
-    first = tagged.where("_field is not null").groupBy("file", "sheet", "row", "_field").agg(F.min("col").alias("_first"))
+    tagged = headers.join(best_fields(headers), "header", "left")
+    first = tagged.groupBy("file", "sheet", "row", "_field").agg(F.min("col").alias("_first"))
     joined = tagged.join(first, ["file", "sheet", "row", "_field"], "left")
     return joined.selectExpr(
         "file", "sheet", "row", "col", "header",
