@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("validation", "constraints", "regression", "tracing", "operations", "documents", "ifcmodels", "imports")
+MODULES = ("validation", "constraints", "regression", "tracing", "operations", "documents", "ifcmodels", "imports", "intake")
 
 
 def load() -> None:
