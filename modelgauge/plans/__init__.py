@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("validation", "constraints", "regression", "tracing", "operations", "documents", "ifcmodels", "imports", "intake")
+MODULES = ("validation", "constraints", "regression", "tracing", "operations", "documents", "ifcmodels", "imports", "intake", "streams")
 
 
 def load() -> None:
