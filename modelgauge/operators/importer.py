@@ -199,22 +199,33 @@ def clean(x: str) -> str:
     return f"nullif(regexp_replace({x}, '^\\\\s+|\\\\s+$', ''), '')"
 
 
-def parse_number(x: str) -> str:
-    """SQL text: double of a localised number text; NULL when it is blank or no number (tell apart by `clean`).
+def compact(x: str) -> str:
+    return f"regexp_replace({x}, '\\\\s', '')"
+
+
+def point_decimal(c: str) -> str:
+    """SQL text: a compact number text with its decimal sign turned into a point.
 
-    With both separators the last one is the decimal sign; a lone comma is decimal (only the first is
-    replaced). Hexadecimal notation is not accepted."""
-    c = f"regexp_replace({x}, '\\\\s', '')"
+    With both separators the last one is the decimal sign; a lone comma is decimal (only the first is replaced)."""
     dotted = lambda v: f"if(instr({v}, ',') > 0, concat(left({v}, instr({v}, ',') - 1), '.', substring({v}, instr({v}, ',') + 1)), {v})"
     no_dots = f"replace({c}, '.', '')"
-    text = (
+    return (
         f"case when instr({c}, ',') > 0 and instr({c}, '.') > 0 then"
         f" if(instr(reverse({c}), ',') < instr(reverse({c}), '.'), {dotted(no_dots)}, replace({c}, ',', ''))"
         f" else {dotted(c)} end"
     )
+
+
+def plain_number(text: str) -> str:
+    """SQL text: double of a point-decimal text, NULL when it is no number; hexadecimal is not accepted."""
     return f"if({text} rlike '^[-+]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][-+]?[0-9]+)?$', try_cast({text} as double), null)"
 
 
+def parse_number(x: str) -> str:
+    """SQL text: double of a localised number text; NULL when it is blank or no number (tell apart by `clean`)."""
+    return plain_number(point_decimal(compact(x)))
+
+
 def norm_unit(x: str) -> str:
     u = f"nullif(lower(regexp_replace({x}, '\\\\s', '')), '')"
     return f"if({u} in {sql_in(AREA_UNITS)}, 'm²', {u})"
@@ -269,9 +280,12 @@ def normalize_rows(rows: DataFrame) -> DataFrame:
         f"""array_distinct(concat(derived, filter(transform(coalesce(split(derived_fields, '[;,]'), array()), x -> trim(x)), x -> array_contains({known}, x)))) as _derived""",
         "coalesce(lower(severity), 'warning') as _sev", f"if(_raw = 'composite_room_rule', from_json(conditions_json, '{CONDITIONS_JSON}'), null) as _cond",
     ).withColumn("_qty", F.expr(f"if(_declared in {sql_in(QUANTITY_TYPES)}, _declared, {infer_quantity('_type', '_unit')})"))
-    staged = staged.withColumns(
-        {"_min": F.expr(to_canonical(parse_number("minimum"), "_unit", "_qty")), "_max": F.expr(to_canonical(parse_number("maximum"), "_unit", "_qty"))}
-    )
+    # One stage per step: each intermediate text is computed once per row.
+    bounds = {"_min": "minimum", "_max": "maximum"}
+    for step in (compact, point_decimal, plain_number):
+        staged = staged.withColumns({k: F.expr(step(v)) for k, v in bounds.items()})
+        bounds = {k: k for k in bounds}
+    staged = staged.withColumns({k: F.expr(to_canonical(k, "_unit", "_qty")) for k in bounds})
     ranged, area, width, comp = (
         "_type in ('minimum_room_area', 'minimum_door_width_for_room_type')", "_type = 'minimum_room_area'",
         "_type = 'minimum_door_width_for_room_type'", "_type = 'composite_room_rule'",

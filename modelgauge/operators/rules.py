@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from modelgauge import schemas
 from modelgauge.functions.columns import combine, fmt_num_sql
 from modelgauge.functions.skew import salted_join
+from modelgauge.operators.checks import ROOM_TYPES
 
 AREA = "minimum_room_area"
 WIDTH = "minimum_door_width_for_room_type"
@@ -21,6 +22,7 @@ HAS_DOOR = "room_has_connected_door"
 COMPOSITE = "composite_room_rule"
 TEXTUAL = "textual_requirement"
 TARGETED = (AREA, WIDTH, COMPOSITE)
+OTHER_TYPE = "(other)"
 
 # Rule identifiers written into findings.
 RULE_IDS = {
@@ -98,12 +100,20 @@ def _as_conditions(req: DataFrame) -> DataFrame:
         {fmt_num_sql('c.min')} as min_text,
         concat(if(c.max is null, concat('>= ', {fmt_num_sql('c.min')}), concat({fmt_num_sql('c.min')}, '-', {fmt_num_sql('c.max')})),
             if(c.type = 'room_area_range', ' sqm', ' m')) as wanted))"""
-    return req.where(F.col("type").isin(*TARGETED)).selectExpr(
-        "run_id", "model_id", "requirement_id", "title", "severity", "type", "room_type", "operator",
-        "pos as req_pos", f"{rendered} as conditions",
+    # A has-door rule looks at every room: it is listed under each room type, so that all rules meet the
+    # rooms in one equi-join.
+    every = ", ".join(f"'{t}'" for t in (*ROOM_TYPES, OTHER_TYPE))
+    keys = f"explode(if(type = '{HAS_DOOR}', array({every}), array(room_type))) as type_key"
+    return req.where(F.col("type").isin(*TARGETED, HAS_DOOR)).selectExpr(
+        "run_id", "model_id", "requirement_id", "title", "severity", "type", "operator", "pos as req_pos",
+        f"if(type = '{HAS_DOOR}', null, {rendered}) as conditions", keys,
     )
 
 
+def _type_key(rooms: DataFrame) -> DataFrame:
+    return rooms.withColumn("type_key", F.when(F.col("room_type").isin(*ROOM_TYPES), F.col("room_type")).otherwise(OTHER_TYPE))
+
+
 # Branch evaluation in three staged array transforms: door split -> case -> texts. Outcome-only
 # consumers read `cases` and never pay for the texts.
 _SPLIT = """transform(conditions, c -> struct(c as c,
@@ -169,6 +179,11 @@ _EVIDENCE = """transform(_branches, (b, i) -> struct(
     b.observed as observed, b.expected as expected, b.field as field))"""
 
 
+_HAS_DOOR_EVIDENCE = """array(struct(
+    if(has_list, 'Room-to-door relationships were checked for minimum connectivity.', 'Connected door relationship is missing in normalized data.') as message,
+    if(has_list, cast(n_links as string), null) as observed, if(has_list, '>= 1', 'At least one connected door id') as expected, 'room.connectedDoorIds' as field))"""
+
+
 def _judge(pairs: DataFrame) -> DataFrame:
     """Findings of (room, requirement) pairs."""
     staged = (
@@ -178,94 +193,70 @@ def _judge(pairs: DataFrame) -> DataFrame:
         .withColumn("_branches", F.expr(_BRANCHES))
     )
     composite = F.col("type") == COMPOSITE
-    status = F.when(composite, combine(F.col("operator"), F.col("_statuses"))).otherwise(F.col("_statuses")[0])
+    status = (
+        F.when(F.col("type") == HAS_DOOR, F.expr("case when not has_list then 'unknown' when n_links > 0 then 'pass' else 'fail' end"))
+        .when(composite, combine(F.col("operator"), F.col("_statuses")))
+        .otherwise(F.get("_statuses", F.lit(0)))
+    )
     return staged.withColumn("_status", status).select(
         "run_id",
         "requirement_id",
-        F.when(composite, RULE_IDS[COMPOSITE]).when(F.col("type") == AREA, RULE_IDS[AREA]).otherwise(RULE_IDS[WIDTH]).alias("rule_id"),
+        F.expr("case type " + " ".join(f"when '{t}' then '{i}'" for t, i in RULE_IDS.items()) + " end").alias("rule_id"),
         F.col("title").alias("requirement_title"),
         F.lit("room").alias("element_type"),
         F.col("_status").alias("status"),
         "severity",
         F.expr(
-            "if(type = 'composite_room_rule', concat(name, ': ', upper(operator), ' composite rule is ', _status,"
-            " '; branch results: ', array_join(_statuses, ', '), '.'), _branches[0].summary)"
+            f"""case type when '{COMPOSITE}' then concat(name, ': ', upper(operator), ' composite rule is ', _status, '; branch results: ', array_join(_statuses, ', '), '.')
+                when '{HAS_DOOR}' then case when not has_list then concat('Cannot verify connected doors for ', name, '; relationship data is missing.')
+                    when n_links > 0 then concat(name, ' has at least one connected door.') else concat(name, ' has no connected doors.') end
+                else get(_branches, 0).summary end"""
         ).alias("summary"),
         F.expr(
-            "if(type = 'composite_room_rule', array_distinct(flatten(transform(_branches, b -> b.affected))), _branches[0].affected)"
+            f"""case type when '{COMPOSITE}' then array_distinct(flatten(transform(_branches, b -> b.affected))) when '{HAS_DOOR}' then array(room_id)
+                else get(_branches, 0).affected end"""
         ).alias("affected_element_ids"),
-        F.expr(_EVIDENCE).alias("evidence"),
+        F.expr(f"if(type = '{HAS_DOOR}', {_HAS_DOOR_EVIDENCE}, {_EVIDENCE})").alias("evidence"),
         "req_pos",
         F.col("pos").alias("element_pos"),
     )
 
 
-def rule_targeted(rooms: DataFrame, doors: DataFrame, req: DataFrame) -> DataFrame:
-    """Area, width and composite rules over the rooms of the requirement's type."""
+def rule_rooms(rooms: DataFrame, doors: DataFrame, req: DataFrame) -> DataFrame:
+    """All rules that look at rooms: area, width, composite and has-door, in one pass over the rooms."""
     resolved = resolve_doors(rooms, doors).withColumn("area_text", F.expr(fmt_num_sql("area_sqm")))
-    return _judge(salted_join(resolved, _as_conditions(req), ["model_id", "room_type"], ["room_id"]))
+    return _judge(salted_join(_type_key(resolved), _as_conditions(req), ["model_id", "type_key"], ["room_id"]))
 
 
 def rule_room_area(rooms: DataFrame, req: DataFrame) -> DataFrame:
     """Inclusive area range; a missing area is unknown. Needs no door data, so no door shuffle."""
-    bare = rooms.drop("door_ids").selectExpr(
-        "*", "false as has_list", "0 as n_links", "cast(null as string) as unresolved_id",
-        "cast(null as array<struct<width_m:double,label:string>>) as known",
-        "cast(null as array<string>) as unmeasured_ids", "cast(null as array<string>) as link_ids",
-    ).withColumn("area_text", F.expr(fmt_num_sql("area_sqm")))
+    bare = _without_links(rooms)
     only = _as_conditions(req.where(F.col("type") == AREA))
-    return _judge(salted_join(bare, only, ["model_id", "room_type"], ["room_id"]))
+    return _judge(salted_join(_type_key(bare), only, ["model_id", "type_key"], ["room_id"]))
 
 
 def rule_door_width(rooms: DataFrame, doors: DataFrame, req: DataFrame) -> DataFrame:
-    return rule_targeted(rooms, doors, req.where(F.col("type") == WIDTH))
+    return rule_rooms(rooms, doors, req.where(F.col("type") == WIDTH))
 
 
 def rule_composite(rooms: DataFrame, doors: DataFrame, req: DataFrame) -> DataFrame:
-    return rule_targeted(rooms, doors, req.where(F.col("type") == COMPOSITE))
+    return rule_rooms(rooms, doors, req.where(F.col("type") == COMPOSITE))
+
+
+def _without_links(rooms: DataFrame) -> DataFrame:
+    """Rooms in resolved shape for the rules that never look at the doors themselves."""
+    return rooms.selectExpr(
+        *[c for c in rooms.columns if c != "door_ids"],
+        "door_ids is not null as has_list", "coalesce(size(door_ids), 0) as n_links", "cast(null as string) as unresolved_id",
+        "cast(null as array<struct<width_m:double,label:string>>) as known",
+        "cast(null as array<string>) as unmeasured_ids", "cast(null as array<string>) as link_ids",
+    ).withColumn("area_text", F.expr(fmt_num_sql("area_sqm")))
 
 
 def rule_has_door(rooms: DataFrame, req: DataFrame) -> DataFrame:
     """At least one connected door, over every room of the model."""
-    wanted = req.where(F.col("type") == HAS_DOOR).select(
-        "run_id", "model_id", "requirement_id", "title", "severity", F.col("pos").alias("req_pos")
-    )
-    pairs = salted_join(
-        rooms.select("model_id", "room_id", "name", "pos", F.size("door_ids").alias("_n"), F.col("door_ids").isNotNull().alias("_has")),
-        wanted,
-        ["model_id"],
-        ["room_id"],
-    )
-    status = F.when(~F.col("_has"), "unknown").when(F.col("_n") > 0, "pass").otherwise("fail")
-    return pairs.select(
-        "run_id",
-        "requirement_id",
-        F.lit(RULE_IDS[HAS_DOOR]).alias("rule_id"),
-        F.col("title").alias("requirement_title"),
-        F.lit("room").alias("element_type"),
-        status.alias("status"),
-        "severity",
-        F.when(
-            ~F.col("_has"),
-            F.concat(F.lit("Cannot verify connected doors for "), F.col("name"), F.lit("; relationship data is missing.")),
-        )
-        .when(F.col("_n") > 0, F.concat(F.col("name"), F.lit(" has at least one connected door.")))
-        .otherwise(F.concat(F.col("name"), F.lit(" has no connected doors.")))
-        .alias("summary"),
-        F.array("room_id").alias("affected_element_ids"),
-        F.array(
-            _evidence(
-                F.when(~F.col("_has"), "Connected door relationship is missing in normalized data.").otherwise(
-                    "Room-to-door relationships were checked for minimum connectivity."
-                ),
-                "room.connectedDoorIds",
-                F.when(F.col("_has"), F.col("_n").cast("string")),
-                F.when(~F.col("_has"), "At least one connected door id").otherwise(">= 1"),
-            )
-        ).alias("evidence"),
-        "req_pos",
-        F.col("pos").alias("element_pos"),
-    )
+    only = _as_conditions(req.where(F.col("type") == HAS_DOOR))
+    return _judge(salted_join(_type_key(_without_links(rooms)), only, ["model_id", "type_key"], ["room_id"]))
 
 
 def not_applicable(rooms: DataFrame, req: DataFrame) -> DataFrame:
@@ -328,8 +319,7 @@ def rule_textual(req: DataFrame) -> DataFrame:
 def evaluate(rooms: DataFrame, doors: DataFrame, req: DataFrame) -> DataFrame:
     """All findings of every run. (req_pos, element_pos) carries the requirement-then-room order."""
     parts = [
-        rule_targeted(rooms, doors, req),
-        rule_has_door(rooms, req),
+        rule_rooms(rooms, doors, req),
         not_applicable(rooms, req),
         rule_textual(req),
     ]

@@ -99,7 +99,7 @@ def _quantify(spark, d):
     )
     q = F.col("c.q")
     inside = lambda x: within(x["width_m"], F.col("c.min"), F.col("c.max"))
-    pairs = rooms.join(req, ["model_id", "room_type"]).select(
+    pairs = R._type_key(rooms).join(req, ["model_id", "type_key"]).select(
         "requirement_id", q.alias("quantifier"), F.size(F.filter("known", inside)).alias("p"),
         F.size(F.filter("known", lambda x: ~inside(x))).alias("f"), F.size("unmeasured_ids").alias("m"),
     )
