@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from modelgauge.functions.columns import fmt_num_sql
-from modelgauge.functions.jsontext import EVIDENCE_JSON, csv_line, json_string
+from modelgauge.functions.jsontext import EVIDENCE_JSON, csv_line
 
 FINDING_HEADERS = (
     "run_id", "requirement_id", "rule_id", "status", "severity", "element_type", "affected_element_ids", "summary", "evidence",
@@ -147,8 +147,6 @@ def report_lines(
             concat('- Spatial Storeys (Levels): ', levels), concat('- Total Evaluated Rule Specifications: ', requirement_count),
             concat('- Specification: ', name), concat('- Specification Revision: ', revision))) as (line_no, text)""",
     )
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy("run_id").orderBy("req_pos"))
     source = req.selectExpr(
         "run_id", "requirement_id",

@@ -120,9 +120,6 @@ def _language(spark, d):
     return FR.detect_language(FR.read_fragments(tb.table(spark, d, "documents")), "docx")
 
 
-_STRUCT = (
-    "if(m = 4, pos % 3 + 1, null) as heading_level", "m = 10 as in_table", "m = 3 as bullet",
-)
 cte(
     "x_docx0",
     "SELECT *, CASE WHEN m = 4 THEN pos % 3 + 1 END AS lvl, CASE WHEN m IN (1, 7, 9) THEN doc_id % 3 END AS list_id, (pos // 2) % 4 AS ilvl FROM x_lines",

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from modelgauge.functions.columns import fmt_num
 from modelgauge.functions.jsontext import with_fingerprint
 from modelgauge.operators import access as A
 from modelgauge.operators import exports as X

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 
 from modelgauge.plans import rulebook
