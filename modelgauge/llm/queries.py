@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from modelgauge.llm import bounded_ring, sentencepiece_bpe, vector_packing
+from modelgauge.llm import bounded_ring, hamming_minhash, sentencepiece_bpe, vector_packing
 from modelgauge.llm.common import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,3 +39,8 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bounded_ring.shard_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming_minhash.near_components(table(spark, sf_dir, "documents"))
