@@ -35,11 +35,12 @@ _FLIP = _RNG.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
 _PLACE = _RNG.integers(1 << 62, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)
 
 
-def word_digests(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Digests of the words of all documents end to end (A-Z lower-cased), and the n + 1 word offsets of the documents."""
+def word_digests(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Digests of the words of all documents end to end (A-Z lower-cased on request), and the n + 1 word offsets of the documents."""
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+    if lower:
+        data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
     word = ~((data == 0x20) | ((data >= 0x09) & (data <= 0x0D)))
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[offsets] = True
