@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from modelgauge.llm import bounded_ring, hamming_minhash, sentencepiece_bpe, subword_quality, vector_packing
+from modelgauge.llm import bounded_ring, hamming_minhash, sentencepiece_bpe, subword_quality, suffix_radix, vector_packing
 from modelgauge.llm.common import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,8 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = subword_quality.learn(docs, table(spark, sf_dir, "labels"))
     return subword_quality.score(docs, model).select("doc_id", subword_quality.held_out().alias("held_out"), "score", "predicted")
+
+
+@query
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_radix.digests(suffix_radix.remove_repeats(table(spark, sf_dir, "documents")))
