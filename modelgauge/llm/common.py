@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 MASK63 = (1 << 63) - 1
 _LOCAL: list[str] = []
@@ -41,6 +42,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def extended(df: DataFrame, more: str) -> StructType:
+    """Schema of `df` followed by the columns of the DDL string `more`."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a record batch so that `column` holds about `limit` bytes at most in each part (a longer single text stays whole)."""
     col = batch.column(column)

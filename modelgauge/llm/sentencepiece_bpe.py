@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modelgauge.llm.common import local_path, slices
+from modelgauge.llm.common import extended, local_path, slices
 
 SPACE = "▁"
 UNKNOWN_TEXT = " ⁇ "
@@ -237,8 +237,7 @@ def _mapper(path: str, keep: list[str]) -> Callable[[Iterator[pa.RecordBatch]],
 
 def encode_decode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Rows of `docs` as `keep`, ids array<int> (end id last) and decoded string: what decoding those ids gives."""
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, "text").mapInArrow(_mapper(path, list(keep)), f"{kept}, ids array<int>, decoded string")
+    return docs.select(*keep, "text").mapInArrow(_mapper(path, list(keep)), extended(docs.select(*keep), "ids array<int>, decoded string"))
 
 
 def digests(encoded: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modelgauge.llm.common import mix, slices, text_bytes
+from modelgauge.llm.common import extended, mix, slices, text_bytes
 from modelgauge.llm.hamming_minhash import word_digests
 
 #: Bounds of the training sample: labelled documents, and bytes of one document to be in it.
@@ -153,6 +153,5 @@ def _scorer(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
     """`keep` columns, score double and predicted int of every row of `docs`; `with_text` keeps the text too."""
     rows = docs.select(*keep, "text")
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    out = rows.mapInArrow(_scorer(model), f"{kept}, score double")
+    out = rows.mapInArrow(_scorer(model), extended(rows, "score double"))
     return (out if with_text else out.drop("text")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

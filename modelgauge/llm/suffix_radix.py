@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modelgauge.llm.common import RollingDigest, mix, slices, stored, table_of_bytes, text_bytes
+from modelgauge.llm.common import RollingDigest, extended, mix, slices, stored, table_of_bytes, text_bytes
 
 WINDOW = 400
 #: Groups of more distinct surroundings than this compare windows by an aggregation over all tasks.
@@ -194,7 +194,7 @@ def merged(pos: np.ndarray, lo: np.ndarray, hi: np.ndarray, n: int, window: int)
     return list(zip(begin[np.concatenate(([0], cut + 1))].tolist(), end[np.concatenate((cut, [len(end) - 1]))].tolist(), strict=True))
 
 
-def _cut_out(window: int, keep: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _cut_out(window: int, keep: list[str], as_text: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", 2 << 20):
@@ -209,16 +209,20 @@ def _cut_out(window: int, keep: list[str]) -> Callable[[Iterator[pa.RecordBatch]
                     spans.append([{"begin": a, "end": b} for a, b in cuts])
                     edges = [0, *(x for s in cuts for x in s), len(body)]
                     kept.append(b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if cuts else body)
+                last = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
                 struct = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c) for c in keep), pa.array(sizes, pa.int64()), pa.array(spans, struct), pa.array(kept, pa.binary())], [*keep, "n_bytes", "spans", "kept_bytes"]
+                    [*(batch.column(c) for c in keep), pa.array(sizes, pa.int64()), pa.array(spans, struct), last], [*keep, "n_bytes", "spans", "kept_text" if as_text else "kept_bytes"]
                 )
 
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep` columns, n_bytes, spans array<struct<begin, end>> (removed runs) and kept_bytes of every row of `docs` (doc_id, text)."""
+def remove_repeats(docs: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ("doc_id",), as_text: bool = False) -> DataFrame:
+    """`keep` columns, n_bytes, spans array<struct<begin, end>> (removed runs) and kept_bytes of every row of `docs` (doc_id, text).
+
+    `as_text` gives kept_text instead: bytes of a character that a cut has split are left out.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select(*keep, text.alias("text"), F.coalesce(F.col("doc_id"), F.lit(-1)).alias("_id"), F.xxhash64(text).alias("_h"))
     rows = keyed.select("_id", "_h", "text").where(F.octet_length("text") >= window).mapInArrow(_anchor_rows(window), "_id long, _h long, f long, k long, at array<int>")
@@ -242,9 +246,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep: tuple[str, ...]
 
     placed = met.join(ranges, "f").select("_id", "_h", F.explode("at").alias("pos"), "lo", "hi")
     found = placed.distinct().groupBy("_id", "_h").agg(F.collect_list(F.struct("pos", "lo", "hi")).alias("found"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     joined = keyed.join(found, ["_id", "_h"], "left").select(*keep, "text", "found")
-    return joined.mapInArrow(_cut_out(window, list(keep)), f"{kept}, n_bytes long, spans array<struct<begin:long,end:long>>, kept_bytes binary")
+    last = "kept_text string" if as_text else "kept_bytes binary"
+    return joined.mapInArrow(_cut_out(window, list(keep), as_text), extended(docs.select(*keep), f"n_bytes long, spans array<struct<begin:long,end:long>>, {last}"))
 
 
 def digests(removed: DataFrame) -> DataFrame:

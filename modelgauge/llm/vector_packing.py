@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from modelgauge.llm.chunk_tokens import tokenizer
-from modelgauge.llm.common import slices
+from modelgauge.llm.common import extended, slices
 
 CHUNKS = 64
 
@@ -126,9 +126,8 @@ def _pieces(path: str, end_id: int, size: int, keep: list[str], with_ids: bool)
 
 def pieces(docs: DataFrame, path: str, end_id: int = 2, size: int = 1024, keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
     """Pieces of at most `size` ids of every whole text followed by `end_id`; `with_ids` adds ids array<int>."""
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    schema = f"{kept}, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
-    return docs.select(*keep, "text").mapInArrow(_pieces(path, end_id, size, list(keep), with_ids), schema)
+    more = "piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
+    return docs.select(*keep, "text").mapInArrow(_pieces(path, end_id, size, list(keep), with_ids), extended(docs.select(*keep), more))
 
 
 def pack(parts: DataFrame, cap: Capacity = Capacity(), key: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
