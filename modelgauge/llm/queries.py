@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from modelgauge.llm import bounded_ring, hamming_minhash, sentencepiece_bpe, subword_quality, suffix_radix, vector_packing
+from modelgauge.llm import bounded_ring, hamming_minhash, sentencepiece_bpe, subword_quality, suffix_radix, vector_packing, wrapper_html
 from modelgauge.llm.common import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +57,9 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_radix.digests(suffix_radix.remove_repeats(table(spark, sf_dir, "documents")))
+
+
+@query
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = wrapper_html.extract(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
