@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modelgauge.llm import bounded_ring, hamming_minhash, sentencepiece_bpe, subword_quality, suffix_radix, vector_packing, wrapper_html
+from modelgauge.llm import bounded_ring, hamming_minhash, mtree_topk, sentencepiece_bpe, subword_quality, suffix_radix, vector_packing, wrapper_html
 from modelgauge.llm.common import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,9 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = wrapper_html.extract(table(spark, sf_dir, "pages"))
     return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return mtree_topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
