@@ -5,8 +5,8 @@ smallest digest under the k-th hash; two sets of similarity J differ in each sym
 in at most 31 symbols, cut into 16 chunks of 4, differ in at most one symbol in some chunk. So every chunk is indexed once for each
 symbol left out: all pairs within the signature distance meet under a key. (For J = 0.75 a distance above 31 has probability 1e-5.)
 
-Documents under a key are not paired with each other. Each is compared with the key's smallest member; links make components, and
-only then members of one key that lie in different components are compared, because a link inside a component changes nothing.
+Documents under a key are not paired with each other. Each is compared with the key's hub; links make components, and only then
+members of one key that lie in different components are compared, because a link inside a component changes nothing.
 Links are confirmed on full sets: 100 * intersection >= 75 * union.
 
 Equal texts are one node from the start. Null text, empty text and text without words have an empty set and are linked with nothing.
@@ -16,18 +16,21 @@ doc_ids with different texts are different nodes.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modelgauge.llm.common import RollingDigest, mix, slices, stored, table_of_bytes, text_bytes
 
 WORDS = 5
 SYMBOLS, CHUNK, CHUNKS = 64, 4, 16
-STAR_ROUNDS = 2
+#: Symbols that make families in the last comparison: a pair of similarity 0.75 misses all of them with probability 2e-4.
+FAMILIES = 6
+FAMILY_BLOCK = 4096
 _TABLE = table_of_bytes(4)
 _RNG = np.random.default_rng(4)
 _MULTIPLY = _RNG.integers(1 << 62, 1 << 63, SYMBOLS, dtype=np.uint64) | np.uint64(1)
@@ -174,7 +177,6 @@ def _text_key() -> F.Column:
 
 def near_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of `docs` (doc_id, text)."""
-    spark = docs.sparkSession
     keyed = docs.select("doc_id", "text", _text_key().alias("text_key"))
     rows = stored(keyed.mapInArrow(_signed, "doc_id long, text_key binary, n_shingles long, signature binary"), "signed")
     nodes = rows.groupBy("text_key").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n_shingles"), F.max("signature").alias("signature"))
@@ -192,7 +194,11 @@ def near_components(docs: DataFrame, percent: int = 75) -> DataFrame:
         b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
         return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirmed(percent), "a long, b long")
 
-    links = _links(spark, met, confirm)
+    links = stored(confirm(_star_pairs(met)), "links")
+    placed = met.join(components(links), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+    open_ = stored(placed.join(mixed, "key").select("node", "comp").distinct(), "open")
+    links = links.union(confirm(_cross_pairs(open_, nodes, texts, percent)))
     comp = components(links)
     owned = nodes.select("node", "text_key", "first_id", "n_shingles").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     smallest = owned.groupBy("comp").agg(F.min("first_id").alias("component_id"))
@@ -202,27 +208,74 @@ def near_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     return out.select("doc_id", "n_shingles", chosen.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _links(spark: SparkSession, met: DataFrame, confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Links that join all members of a key that belong together, without pairing members of one component."""
-    links = tried = None
-    for turn in range(STAR_ROUNDS + 1):
-        if links is None:
-            placed = met.withColumn("comp", F.col("node"))
-        else:
-            placed = met.join(components(links), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-            placed = stored(placed.join(mixed, "key"), "mixed")
-        if turn < STAR_ROUNDS:
-            hub = placed.groupBy("key").agg((F.min if turn % 2 == 0 else F.max)(F.struct("node", "comp")).alias("h")).select("key", F.col("h.node").alias("hub"), F.col("h.comp").alias("hub_comp"))
-            pairs = placed.join(hub, "key").where("comp <> hub_comp").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b"))
-        else:
-            other = placed.select("key", F.col("node").alias("n2"), F.col("comp").alias("c2"))
-            pairs = placed.join(other, "key").where("comp < c2").select(F.greatest("node", "n2").alias("a"), F.least("node", "n2").alias("b"))
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        tried = pairs if tried is None else tried.union(pairs)
-        found = stored(confirm(pairs), "links")
-        links = found if links is None else links.union(found)
-    return links
+def _star_pairs(met: DataFrame) -> DataFrame:
+    """Every member of a key with the key's hub. Keys of one large group choose different hubs, so a member meets many of them."""
+    hub = met.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key").alias("x"), "node")).alias("h")).select("key", F.col("h.node").alias("hub"))
+    pairs = met.join(hub, "key").where("node <> hub")
+    return stored(pairs.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct(), "pairs")
+
+
+def _cross_pairs(open_: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that may be similar, from members (node, comp) of keys that hold several components.
+
+    Members sharing one of FAMILIES symbols are a family; a family's overlaps are counted from its postings inside tasks, and only
+    pairs that reach the similarity leave them. Large families are cut into blocks, each pair of blocks being one group.
+    """
+    symbol = F.explode(F.transform(F.sequence(F.lit(0), F.lit(FAMILIES - 1)), lambda i: F.concat(i.cast("string"), F.lit("/"), F.hex(F.substring("signature", i * 2 + 1, 2)))))
+    family = open_.join(nodes.select("node", "signature"), "node").select("node", "comp", symbol.alias("family"))
+    several = family.groupBy("family").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m")).where("x <> y")
+    blocks = F.ceil(F.col("m") / F.lit(FAMILY_BLOCK)).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    family = family.join(several.select("family", blocks.alias("blocks")), "family").withColumn("own", own)
+    family = family.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    group = F.concat_ws("/", "family", F.least("own", "other"), F.greatest("own", "other"))
+    family = family.select("node", "comp", group.alias("grp"))
+    sets = texts.join(open_.select("node"), "node", "left_semi").mapInArrow(_short_sets, "node long, tokens binary")
+    held = family.join(sets, "node").repartition(F.col("grp")).sortWithinPartitions("grp")
+    return held.mapInArrow(_family_pairs(percent), "a long, b long").distinct()
+
+
+def _short_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            sets = [(s >> np.uint64(32)).astype(np.uint32).tobytes() for s in shingle_sets(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "tokens"])
+
+
+def _family_pairs(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("grp", "node", "comp", "tokens")), strict=True))
+        for _, group in itertools.groupby(rows, key=lambda r: r[0]):
+            _, node, comp, tokens = zip(*group, strict=True)
+            a, b = similar(np.array(node), np.array(comp), [np.frombuffer(t, np.uint32) for t in tokens], percent - 1)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+
+    return run
+
+
+def similar(node: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different components with at least `percent` similarity; the largest component is not compared with itself."""
+    names, member, count = np.unique(comp, return_inverse=True, return_counts=True)
+    asks = np.flatnonzero(member != count.argmax())
+    sizes = np.array([len(s) for s in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    _, token, often = np.unique(flat, return_inverse=True, return_counts=True)
+    ends = np.cumsum(often)
+    posting = owner[np.argsort(token, kind="stable")]
+    first = np.cumsum(sizes) - sizes
+    out_a, out_b = [], []
+    for i in asks.tolist():
+        own = token[first[i] : first[i] + sizes[i]]
+        own = own[often[own] > 1]
+        n = often[own]
+        if not len(own):
+            continue
+        at = np.repeat(ends[own] - n - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        same = np.bincount(posting[at], minlength=len(sets))
+        hit = np.flatnonzero((100 * same >= percent * (sizes[i] + sizes - same)) & (comp != comp[i]))
+        out_a.append(np.full(len(hit), node[i]))
+        out_b.append(node[hit])
+    if not out_a:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(out_a), np.concatenate(out_b)
