@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 import json
+import string
 
 import numpy as np
 
@@ -16,6 +17,7 @@ from modelgauge.llm.common import local_path
 
 MEMO_LIMIT = 400_000
 LONG_PART = 64
+MARKS = string.punctuation
 
 
 class ChunkTokenizer:
@@ -28,7 +30,8 @@ class ChunkTokenizer:
             spec = json.load(f)
         #: Whether white space takes part in tokens (byte-level models) or is dropped between them.
         self.spaced = spec["pre_tokenizer"]["type"] == "ByteLevel"
-        self.memo: dict[str, bytes | None] = {} if self.spaced else {"": b""}
+        self.memo: dict[str, bytes] = {} if self.spaced else {"": b""}
+        self.tails: dict[str, bytes | None] = {"": b""}
 
     def plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=np.uint32).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
@@ -51,27 +54,58 @@ class ChunkTokenizer:
             text = " " + part
         return None if not part or part[0].isspace() or part[-1].isspace() else text
 
+    def words(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts that are letters only, from one run of the library over all of them: each is one pre-token."""
+        run = self.tok.encode(" " + " ".join(parts), add_special_tokens=False)
+        ids, word = np.array(run.ids, dtype=np.uint32), np.array(run.word_ids, dtype=np.int64)
+        cuts = np.flatnonzero(np.diff(word)) + 1
+        if len(cuts) + 1 != len(parts) or None in run.word_ids:
+            return self.plain([self.source(p) for p in parts])  # normalisation has split one of them
+        body, ends = ids.tobytes(), [0, *(4 * cuts).tolist(), 4 * len(ids)]
+        return [body[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
+
+    def look_up(self, parts: list[str]) -> dict[str, bytes | None]:
+        """Ids of new parts; None where the text must be encoded whole. Letters with ASCII punctuation behind them are two pre-tokens."""
+        found: dict[str, bytes | None] = {}
+        ends = [(p, p.rstrip(MARKS)) for p in parts]
+        letters = [(p, core) for p, core in ends if core.isalpha() and core[-1].lower().isalpha()]  # a lower-cased letter may end in a mark
+        memo, tails = self.memo, self.tails
+        cores = sorted({core for _, core in letters if core not in memo})
+        known: dict[str, bytes] = {}
+        for i in range(0, len(cores), 2000):
+            some = cores[i : i + 2000]
+            known.update(zip(some, self.words(some), strict=True))
+        for p, core in letters:
+            tail = p[len(core) :]
+            if tail not in tails:
+                tails[tail] = self.plain([tail])[0] if len(tails) < MEMO_LIMIT else None
+            behind = tails[tail]
+            found[p] = (known.get(core) or memo[core]) + (self.plain([tail])[0] if behind is None else behind)
+        rest = [p for p in parts if p not in found]
+        sources = [self.source(p) for p in rest]
+        got = iter(self.plain([s for s in sources if s is not None]))
+        found.update((p, None if s is None else next(got)) for p, s in zip(rest, sources, strict=True))
+        return found
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as unsigned 32-bit integers; null counts as empty."""
-        cut = [self.parts(t) if t else [] for t in texts]
-        memo = self.memo
-        new = {p for row in cut for p in row if p not in memo}
-        extra: dict[str, bytes | None] = {}
-        if new:
-            order = sorted(new)
-            sources = [self.source(p) for p in order]
-            found = iter(self.plain([s for s in sources if s is not None]))
-            got = {p: None if s is None else next(found) for p, s in zip(order, sources, strict=True)}
-            room = MEMO_LIMIT - len(memo)
-            if room < len(got):
-                extra = got
-            else:
-                memo.update((p, v) for p, v in got.items() if len(p) <= LONG_PART)
-                extra = {p: v for p, v in got.items() if len(p) > LONG_PART}
+        rows, holes, new = [], [], set()
+        get = self.memo.get
+        for text in texts:
+            parts = self.parts(text) if text else []
+            ids = list(map(get, parts))
+            miss = [(i, parts[i]) for i, v in enumerate(ids) if v is None]
+            new.update(p for _, p in miss)
+            rows.append(ids)
+            holes.append(miss)
+        extra = self.look_up(list(new))
         out: list[bytes] = []
-        for text, row in zip(texts, cut, strict=True):
-            ids = [memo[p] if p in memo else extra[p] for p in row] if extra else list(map(memo.__getitem__, row))
-            out.append(self.plain([text])[0] if None in ids else b"".join(ids))
+        for text, ids, miss in zip(texts, rows, holes, strict=True):
+            for i, p in miss:
+                ids[i] = extra[p]
+            out.append(self.plain([text])[0] if miss and None in ids else b"".join(ids))
+        if len(self.memo) + len(extra) <= MEMO_LIMIT:
+            self.memo.update((p, v) for p, v in extra.items() if v is not None and len(p) <= LONG_PART)
         return out
 
 

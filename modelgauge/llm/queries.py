@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modelgauge.llm import bounded_ring, hamming_minhash, mtree_topk, piecewise_hash, sentencepiece_bpe, subword_quality, suffix_radix, vector_packing, wrapper_html
+from modelgauge.llm import bounded_ring, hamming_minhash, mtree_topk, piecewise_hash, sentencepiece_bpe, subword_quality, suffix_radix, token_files, vector_packing, wrapper_html
 from modelgauge.llm.common import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,8 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = piecewise_hash.compare(table(spark, sf_dir, "documents"))
     digest = F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")
     return found.select("doc_id", "n_chars", digest, "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+@query
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
