@@ -12,12 +12,21 @@ STATUSES = ("pass", "fail", "unknown", "not_applicable")
 
 
 def fmt_num_sql(x: str) -> str:
-    """Render a double the way the evidence texts expect it: 15, 18.2, 12345678.5."""
-    plain = f"regexp_replace(cast(try_cast(cast({x} as string) as decimal(38,12)) as string), '[.]?0+$', '')"
+    """Render a double with all its digits: 15, 18.2, 0.00012345678901234, 1e-7, 1e+21.
+
+    The shortest digits and the exponent come from the double's own text; this places the point. Exponent form is used below 1e-6 and from 1e21 on.
+    """
+    text = f"cast(abs({x}) as string)"
+    part = lambda n: f"regexp_extract({text}, '^([0-9])[.]([0-9]+)E(-?[0-9]+)$', {n})"
+    exponent, rest = f"try_cast({part(3)} as int)", f"if({part(2)} = '0', '', {part(2)})"
+    digits = f"concat({part(1)}, {rest})"
+    scientific = f"concat({part(1)}, if({part(2)} = '0', '', concat('.', {part(2)})), 'e', if({exponent} > 0, '+', ''), {exponent})"
+    large = f"if(length({digits}) <= {exponent} + 1, rpad({digits}, {exponent} + 1, '0'), concat(left({digits}, {exponent} + 1), '.', substring({digits}, {exponent} + 2)))"
+    placed = f"case when {exponent} < -6 or {exponent} >= 21 then {scientific} when {exponent} < 0 then concat('0.', repeat('0', -{exponent} - 1), {digits}) else {large} end"
     return (
         f"case when {x} = floor({x}) and abs({x}) < 1e15 then cast(try_cast({x} as bigint) as string)"
-        f" when abs({x}) >= 1e-3 and abs({x}) < 1e7 then cast({x} as string)"
-        f" else coalesce({plain}, cast({x} as string)) end"
+        f" when instr({text}, 'E') = 0 then cast({x} as string)"
+        f" else concat(if({x} < 0, '-', ''), {placed}) end"
     )
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +13,6 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
-_LOCAL_ROOT: list[str] = []
 _WRITTEN: dict[tuple[str, str], str] = {}
 
 
@@ -28,23 +26,31 @@ def session(app: str = "modelgauge", master: str | None = None, **conf: str) ->
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local one only where none is set (tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not _LOCAL_ROOT:
-        _LOCAL_ROOT.append(tempfile.mkdtemp(prefix="modelgauge-ckpt-"))
-    return _LOCAL_ROOT[0]
+    """The shared folder: spark.checkpoint.dir or the context's own. Only a local session without either gets a folder beside its JVM's."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"/tmp/modelgauge-{spark.sparkContext.applicationId}"
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A folder of its own under the shared one, removed when the application ends."""
+    path = f"{checkpoint_root(spark)}/modelgauge/{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
 
 
 def written(spark: SparkSession, name: str, build, partition_by: str | None = None) -> DataFrame:
-    """A table that several branches of a plan read, written once per application and read back.
+    """A table that several branches or queries read, written once per application and read back.
 
     Written rather than cached, so a lost executor costs a re-read and the lineage is cut.
     """
     key = (spark.sparkContext.applicationId, name)
     if key not in _WRITTEN:
-        path = f"{checkpoint_root(spark)}/modelgauge/{uuid.uuid4().hex}"
+        path = new_folder(spark)
         df = build()
         writer = df.write.mode("errorifexists")
         if partition_by:

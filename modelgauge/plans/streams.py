@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modelgauge.plans import operations  # noqa: F401  (defines the SQL counterparts used here)
 from modelgauge.plans.registry import ORACLE, query
-from modelgauge.plans.session import checkpoint_root
+from modelgauge.plans.session import new_folder
 from modelgauge.sources import testbed as tb
 from modelgauge.streaming import jobs
 
@@ -21,7 +19,7 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 
 def _drain(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     """Run a stream over what is there now; append results go to a parquet sink, complete ones replace a table."""
-    root = f"{checkpoint_root(spark)}/modelgauge/{uuid.uuid4().hex}"
+    root = new_folder(spark)
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
     if mode == "append":
         writer.format("parquet").option("path", f"{root}/out").start().awaitTermination()
@@ -62,7 +60,7 @@ def _quota(spark, d):
 
 @query("stream_reviews_current", "SELECT user_id AS run, event_id % 5 AS requirement, event_id AS decision FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_id % 5 ORDER BY ts DESC, event_id DESC) = 1")
 def _reviews(spark, d):
-    root = f"{checkpoint_root(spark)}/modelgauge/{uuid.uuid4().hex}"
+    root = new_folder(spark)
     log = _events(spark, d).selectExpr(
         "cast(user_id as string) as run_id", "cast(event_id % 5 as string) as requirement_id", "lpad(cast(event_id as string), 20, '0') as decision_id", "event_type as status", "ts as decided_at"
     )

@@ -9,11 +9,14 @@ from modelgauge.operators import metrics as M
 from modelgauge.operators import rules as R
 from modelgauge.plans.registry import query
 from modelgauge.plans.rulebook import requirements
+from modelgauge.plans.session import written
 from modelgauge.sources import testbed as tb
 
 
 def run_req(spark: SparkSession, d: str, *variants: str) -> DataFrame:
-    frames = [R.run_requirements(tb.runs(spark, d, v), requirements(spark, f"spec-{v}")) for v in variants or ("a",)]
+    """Runs with the requirements of their package. Both are stored tables: the package of a run is data, and the join an equi-join."""
+    packages = written(spark, "packages", lambda: requirements(spark))
+    frames = [R.run_requirements(written(spark, f"runs-{v}:{d}", lambda v=v: tb.runs(spark, d, v)), packages) for v in variants or ("a",)]
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
@@ -21,7 +24,8 @@ def run_req(spark: SparkSession, d: str, *variants: str) -> DataFrame:
 
 
 def findings(spark: SparkSession, d: str, variant: str = "a") -> DataFrame:
-    return R.evaluate(tb.rooms(spark, d, variant), tb.doors(spark, d), run_req(spark, d, variant))
+    """Findings of a variant, evaluated once per application and read back by every query that needs them."""
+    return written(spark, f"findings-{variant}:{d}", lambda: R.evaluate(tb.rooms(spark, d, variant), tb.doors(spark, d), run_req(spark, d, variant)))
 
 
 def flat(f: DataFrame) -> DataFrame:
@@ -83,14 +87,13 @@ def _textual(spark, d):
 
 @query(
     "quantifier_decisions",
-    """SELECT requirement_id, q AS quantifier, CASE WHEN n_pass > 3 THEN 3 ELSE n_pass END AS n_pass,
-  CASE WHEN coalesce(len(failing), 0) > 3 THEN 3 ELSE coalesce(len(failing), 0) END AS n_fail, CASE WHEN n_unmeasured > 3 THEN 3 ELSE n_unmeasured END AS n_missing,
+    """SELECT requirement_id, q AS quantifier, n_pass, coalesce(len(failing), 0) AS n_fail, n_unmeasured AS n_missing,
   CASE WHEN q = 'any' THEN CASE WHEN n_pass > 0 THEN 'pass' WHEN n_unmeasured = 0 THEN 'fail' ELSE 'unknown' END
     WHEN coalesce(len(failing), 0) > 0 THEN 'fail' WHEN n_unmeasured = 0 THEN 'pass' ELSE 'unknown' END AS decision, count(*) AS n
 FROM x_branch0 WHERE type = 'minimum_door_width_for_room_type' AND run_id LIKE 'run-a-%' AND has_list AND n_links > 0 AND unresolved_id IS NULL GROUP BY ALL""",
 )
 def _quantify(spark, d):
-    """Decision table of the door quantifier, as it occurs: counts capped for display, rows complete."""
+    """Decision table of the door quantifier, as it occurs."""
     from modelgauge.functions.columns import quantify, within
 
     req = R._as_conditions(run_req(spark, d).where(F.col("type") == R.WIDTH)).withColumn("c", F.col("conditions")[0])
@@ -103,9 +106,9 @@ def _quantify(spark, d):
         "requirement_id", q.alias("quantifier"), F.size(F.filter("known", inside)).alias("p"),
         F.size(F.filter("known", lambda x: ~inside(x))).alias("f"), F.size("unmeasured_ids").alias("m"),
     )
-    cap = lambda c: F.least(F.col(c), F.lit(3)).cast("bigint")
+    count = lambda c: F.col(c).cast("bigint")
     return pairs.groupBy(
-        "requirement_id", "quantifier", cap("p").alias("n_pass"), cap("f").alias("n_fail"), cap("m").alias("n_missing"),
+        "requirement_id", "quantifier", count("p").alias("n_pass"), count("f").alias("n_fail"), count("m").alias("n_missing"),
         quantify(F.col("quantifier"), F.col("p"), F.col("f"), F.col("m")).alias("decision"),
     ).agg(F.count(F.lit(1)).alias("n"))
 
