@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import re
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from modelgauge.functions.columns import finding_key, fmt_num_sql
 
@@ -22,6 +25,7 @@ PLAN_COLUMNS = "plan string, plan_name string, max_projects long, max_members lo
 PROGRESS = {"queued": 5, "parsing": 40, "validating": 70, "persisting": 90, "completed": 100}
 # Fixed value: keys whose values never reach a log.
 SENSITIVE = "(?i)token|secret|password|authorization|api[-_]?key|cookie|session|email|content|base64|body|text|fragments|quote|snippet|comment|note"
+_COVERED = re.compile(SENSITIVE)
 
 
 def engine_notes(findings: DataFrame) -> DataFrame:
@@ -181,18 +185,55 @@ def format_bytes(n: str) -> str:
     )
 
 
+# Limits of a logged value.
+LOGGED_CHARS, LOGGED_ITEMS, LOGGED_DEPTH = 500, 50, 6
+
+
+def masked(value, level: int):
+    """A logged JSON value `level` steps inside its record: texts cut, long arrays counted, sensitive keys covered at any depth."""
+    if level > LOGGED_DEPTH:
+        return "[truncated]"
+    match value:
+        case str() if len(value) > LOGGED_CHARS:
+            return value[:LOGGED_CHARS] + "…[truncated]"
+        case list() if len(value) > LOGGED_ITEMS:
+            return f"[array of {len(value)}]"
+        case list():
+            return [masked(v, level + 1) for v in value]
+        case dict():
+            return {k: "[redacted]" if _COVERED.search(k) else masked(v, level + 1) for k, v in value.items()}
+    return value
+
+
+def _masked_text(text: str | None) -> str | None:
+    """A field's text; JSON objects and arrays are walked, anything else is a plain text."""
+    if text is None:
+        return None
+    try:
+        value = json.loads(text) if text.lstrip()[:1] in ("{", "[") else text
+    except ValueError:
+        value = text
+    shown = masked(value, 1)
+    return shown if isinstance(shown, str) else json.dumps(shown, ensure_ascii=False, separators=(",", ":"))
+
+
 def redact(rows: DataFrame, map_col: str) -> DataFrame:
-    """Values of sensitive keys are replaced; other texts are capped at 500 characters; a value that is a
-    JSON array of more than 50 items becomes a count."""
-    return rows.withColumn(
-        map_col,
-        F.expr(
-            f"""transform_values({map_col}, (k, v) -> case when k rlike '{SENSITIVE}' then '[redacted]'
-                when v is null then null
-                when coalesce(json_array_length(v), 0) > 50 then concat('[array of ', json_array_length(v), ']')
-                when length(v) > 500 then concat(substring(v, 1, 500), '…[truncated]') else v end)"""
-        ),
+    """Values of sensitive keys are replaced, also inside values that are JSON objects or arrays; texts are capped at 500 characters and arrays
+    of more than 50 items become a count. Map values without brackets stay in the JVM."""
+
+    @pandas_udf("map<string,string>")
+    def walk(fields: pd.Series) -> pd.Series:
+        return fields.map(lambda m: None if m is None else {k: _masked_text(v) for k, v in (m.items() if isinstance(m, dict) else m)})
+
+    nested = F.expr(f"map_filter({map_col}, (k, v) -> not k rlike '{SENSITIVE}' and ltrim(v) rlike '^[\\\\[{{]')")
+    plain = F.expr(
+        f"""transform_values({map_col}, (k, v) -> case when k rlike '{SENSITIVE}' then '[redacted]'
+            when length(v) > {LOGGED_CHARS} then concat(substring(v, 1, {LOGGED_CHARS}), '…[truncated]') else v end)"""
     )
+    walked = rows.withColumn("_nested", F.when(F.size(nested) > 0, nested)).withColumn("_nested", walk("_nested")).withColumn("_plain", plain)
+    return walked.withColumn(
+        map_col, F.when(F.col("_nested").isNull(), F.col("_plain")).otherwise(F.expr("transform_values(_plain, (k, v) -> coalesce(_nested[k], v))"))
+    ).drop("_nested", "_plain")
 
 
 def retry_plan(rows: DataFrame) -> DataFrame:

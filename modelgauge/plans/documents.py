@@ -210,7 +210,7 @@ def text_items(spark: SparkSession, d: str) -> DataFrame:
         f"""explode(if(pos % 3 = 0, array(struct(0 as c, substring(exact_text, 1, {third}) as str), struct(1 as c, substring(exact_text, {third} + 1, {third}) as str),
             struct(2 as c, substring(exact_text, 2 * {third} + 1) as str)), array(struct(0 as c, exact_text as str)))) as p""",
     ).where("trim(p.str) <> ''").selectExpr(
-        "doc_id", "page", "p.str as str", "cast(50 + 200 * p.c + if(pos % 15 = 0 and p.c = 1, 40, 0) as double) as x",
+        "doc_id", "page", "cast(3 * pos + p.c as bigint) as item", "p.str as str", "cast(50 + 200 * p.c + if(pos % 15 = 0 and p.c = 1, 40, 0) as double) as x",
         "cast(780 - 20 * (pos % 8) + (p.c % 2) * 2 as double) as y", "cast(60 as double) as width", "cast(10 as double) as height",
     )
 
@@ -242,12 +242,28 @@ def _quality(spark, d):
     return FR.page_quality(text_items(spark, d), pages_meta(spark, d)).select("doc_id", "page", "has_images", "item_count", "char_count", "quality")
 
 
-@query("assemble_lines")
+cte(
+    "x_placed",
+    rf"""SELECT doc_id, i, c, str, CAST(50 + 200 * c + CASE WHEN i % 15 = 0 AND c = 1 THEN 40 ELSE 0 END AS DOUBLE) AS x, CAST(780 - 20 * (i % 8) + (c % 2) * 2 AS DOUBLE) AS y FROM (
+  SELECT doc_id, i, unnest(CASE WHEN i % 3 = 0 THEN [0, 1, 2] ELSE [0] END) AS c, unnest(CASE WHEN i % 3 = 0 THEN [substr(t, 1, {_THIRD}), substr(t, {_THIRD} + 1, {_THIRD}), substr(t, 2 * {_THIRD} + 1)] ELSE [t] END) AS str
+  FROM (SELECT doc_id, i, l AS t FROM x_lines0)) WHERE trim(str) <> ''""",
+)
+
+
+@query(
+    "assemble_lines",
+    r"""SELECT doc_id, CAST(i // 8 + 1 AS INTEGER) AS page, CAST(row_number() OVER (PARTITION BY doc_id, i // 8 ORDER BY i) - 1 AS INTEGER) AS line, trim(regexp_replace(string_agg(str, ' ' ORDER BY x), '\s+', ' ', 'g')) AS text,
+  min(x) AS x, min(y) AS y, max(x) + 60 - min(x) AS width, max(y) + 10 - min(y) AS height, CAST(count(*) AS INTEGER) AS n_items FROM x_placed GROUP BY doc_id, i""",
+)
 def _assemble(spark, d):
     return FR.assemble_lines(text_items(spark, d))
 
 
-@query("detect_tables")
+@query(
+    "detect_tables",
+    """SELECT doc_id, CAST(i // 8 + 1 AS INTEGER) AS page, CAST(r AS INTEGER) AS row, CAST(row_number() OVER (PARTITION BY doc_id, i ORDER BY x) - 1 AS INTEGER) AS cell, trim(str) AS text, x, y, 60.0::DOUBLE AS width, 10.0::DOUBLE AS height, 0 AS rejected
+FROM x_placed JOIN (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id, i // 8 ORDER BY i) - 1 AS r, count(*) OVER (PARTITION BY doc_id, i // 8) AS lines FROM x_placed GROUP BY doc_id, i HAVING count(*) >= 2) USING (doc_id, i) WHERE lines >= 2""",
+)
 def _tables(spark, d):
     return FR.detect_tables(text_items(spark, d))
 

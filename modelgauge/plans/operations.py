@@ -12,7 +12,7 @@ from modelgauge.operators import metrics as M
 from modelgauge.plans.constraints import evidence, part_requirements
 from modelgauge.plans.oracle import cte, lit, num
 from modelgauge.plans.registry import query
-from modelgauge.plans.validation import findings, run_req
+from modelgauge.plans.validation import findings, run_req, run_table
 from modelgauge.sources import testbed as tb
 
 NOW = "timestamp'2024-01-31 00:00:00'"
@@ -129,7 +129,7 @@ def _report(spark, d):
     f, req = findings(spark, d), run_req(spark, d)
     out = M.outcomes(req, f)
     inv = M.inventory(tb.models(spark, d), tb.levels(spark, d), tb.room_facts(spark, d), tb.doors(spark, d))
-    return X.report_lines(tb.runs(spark, d), M.metrics(out), inv, package_names(spark), out, req, f)
+    return X.report_lines(run_table(spark, d), M.metrics(out), inv, package_names(spark), out, req, f)
 
 
 @query(

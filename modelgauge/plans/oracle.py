@@ -7,6 +7,8 @@ import re
 from modelgauge.plans import rulebook
 
 _CTES: dict[str, str] = {}
+#: Parts that several others read: computed once.
+SHARED = {"x_findings", "x_resolved", "x_outcomes", "x_last", "x_simple", "x_composite", "x_rooms", "x_doors"}
 
 
 def cte(name: str, sql: str) -> None:
@@ -24,7 +26,7 @@ def build(body: str) -> str:
                 visit(_CTES[word])
 
     visit(body)
-    ctes = ",\n".join(f"{n} AS (\n{s}\n)" for n, s in _CTES.items() if n in needed)
+    ctes = ",\n".join(f"{n} AS {'MATERIALIZED ' if n in SHARED else ''}(\n{s}\n)" for n, s in _CTES.items() if n in needed)
     head = f"WITH RECURSIVE {ctes}\n" if ctes else ""
     body = body.strip()
     if head and body.startswith("WITH "):

@@ -13,10 +13,14 @@ from modelgauge.plans.session import written
 from modelgauge.sources import testbed as tb
 
 
+def run_table(spark: SparkSession, d: str, variant: str = "a") -> DataFrame:
+    return written(spark, f"runs-{variant}:{d}", lambda: tb.runs(spark, d, variant))
+
+
 def run_req(spark: SparkSession, d: str, *variants: str) -> DataFrame:
     """Runs with the requirements of their package. Both are stored tables: the package of a run is data, and the join an equi-join."""
     packages = written(spark, "packages", lambda: requirements(spark))
-    frames = [R.run_requirements(written(spark, f"runs-{v}:{d}", lambda v=v: tb.runs(spark, d, v)), packages) for v in variants or ("a",)]
+    frames = [R.run_requirements(run_table(spark, d, v), packages) for v in variants or ("a",)]
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
