@@ -84,7 +84,6 @@ def read_spec_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return parse_spec_json(docs)
 
 
-_CSV_FIELDS = 64
 
 
 def read_spec_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -96,27 +95,28 @@ def read_spec_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_csv(texts: DataFrame) -> DataFrame:
-    """Records of (file, text): quotes may hold commas, line breaks and doubled quotes; a BOM is dropped."""
+    """Records of (file, text): quotes may hold commas, line breaks (kept as they are) and doubled quotes; a BOM and the two
+    control characters that serve as marks here are dropped. A file without records has one row with line and fields NULL."""
     # Quoted stretches are masked first: outside quotes commas and breaks become control characters.
-    body = "regexp_replace(replace(text, '\\r\\n', '\\n'), '^\\uFEFF', '')"
+    body = "regexp_replace(translate(text, '\\u0001\\u0002', ''), '^\\uFEFF', '')"
     parts = f"split({body}, '\"')"
-    outside = "translate(replace(p, '\\r', '\\n'), ',\\n', '\\u0001\\u0002')"
+    outside = "translate(replace(p, '\\r\\n', '\\n'), ',\\r\\n', '\\u0001\\u0002\\u0002')"
     # Even pieces lie outside quotes; an empty piece between two quoted ones is a doubled quote.
     masked = f"array_join(transform({parts}, (p, i) -> if(i % 2 = 1, p, if(p = '' and i > 0 and i < size({parts}) - 1, '\"', {outside}))), '')"
     fields = "transform(split(r, '\\u0001'), f -> regexp_replace(f, '^\\\\s+|\\\\s+$', ''))"
     kept = f"filter(transform(split({masked}, '\\u0002'), r -> {fields}), fs -> exists(fs, f -> f <> ''))"
-    return texts.selectExpr("file", f"size({parts}) % 2 = 0 as unclosed", f"posexplode({kept}) as (line, fields)")
+    return texts.selectExpr("file", f"size({parts}) % 2 = 0 as unclosed", f"posexplode_outer({kept}) as (line, fields)")
 
 
 def check_spec_csv(records: DataFrame) -> DataFrame:
     """(file, message): structural faults of CSV files read by `parse_csv`. Row numbers count kept records."""
     first = records.groupBy("file").agg(
-        F.min_by("fields", "line").alias("header"), F.min("line").alias("header_line"), F.count(F.lit(1)).alias("n"), F.bool_or("unclosed").alias("unclosed")
+        F.min_by("fields", "line").alias("header"), F.min("line").alias("header_line"), F.count("line").alias("n"), F.bool_or("unclosed").alias("unclosed")
     )
     heads = "transform(header, h -> lower(h))"
     faults = first.selectExpr(
         "file",
-        f"""case when unclosed then 'Invalid CSV: a quoted field is not closed.'
+        f"""case when n = 0 then 'Invalid CSV: the file is empty.' when unclosed then 'Invalid CSV: a quoted field is not closed.'
             when size(array_distinct({heads})) < size(header) then concat("Invalid CSV: duplicate header '", filter({heads}, (h, i) -> array_position({heads}, h) <= i)[0], "'.")
             when size(array_except(array('id', 'title', 'type', 'severity'), {heads})) > 0
               then concat("Invalid CSV: missing required header '", array_except(array('id', 'title', 'type', 'severity'), {heads})[0], "'.")

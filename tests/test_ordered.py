@@ -86,24 +86,28 @@ def test_quota_flags(spark):
     assert got == want
 
 
-def item(text, x, y, w=60.0):
-    return {"str": text, "x": float(x), "y": float(y), "width": w, "height": 10.0}
+def page(spark, items):
+    rows = [(1, 1, n, t, float(x), float(y), 60.0, 10.0) for n, (t, x, y) in enumerate(items)]
+    return spark.createDataFrame(rows, "doc_id long, page int, item long, str string, x double, y double, width double, height double")
 
 
-def test_page_lines_and_table():
-    items = [item("1.1 Doors", 50, 700), item("Room", 50, 600), item("Width", 250, 601), item("Office", 50, 580), item("0.9", 250, 582), item("stray", 400, 500), item("x", 50, 502)]
-    lines = FR.page_lines(items)
-    assert [(ln[1], ln[-1]) for ln in lines] == [("1.1 Doors", 1), ("Room Width", 2), ("Office 0.9", 2), ("x stray", 2)]
-    cells = FR.page_cells(items)
-    assert [(c[0], c[1], c[2]) for c in cells] == [(0, 0, "Room"), (0, 1, "Width"), (1, 0, "Office"), (1, 1, "0.9"), (2, 0, "x"), (2, 1, "stray")]
-    assert FR.page_cells(items[:3]) == []
-    assert FR.page_cells([item("a", 50, 10), item("b", 55, 10), item("c", 52, 30), item("d", 58, 30)])[-1][-1] == 1
+def test_page_lines_and_table(spark):
+    items = [("1.1 Doors", 50, 700), ("Room", 50, 600), ("Width", 250, 601), ("Office", 50, 580), ("0.9", 250, 582), ("stray", 400, 500), ("x", 50, 502)]
+    lines = FR.assemble_lines(page(spark, items)).orderBy("line").collect()
+    assert [(r.line, r.text, r.n_items) for r in lines] == [(0, "1.1 Doors", 1), (1, "Room Width", 2), (2, "Office 0.9", 2), (3, "x stray", 2)]
+    cells = FR.detect_tables(page(spark, items)).orderBy("row", "cell").collect()
+    assert [(c.row, c.cell, c.text) for c in cells] == [(0, 0, "Room"), (0, 1, "Width"), (1, 0, "Office"), (1, 1, "0.9"), (2, 0, "x"), (2, 1, "stray")]
+    assert FR.detect_tables(page(spark, items[:3])).count() == 0
+    lost = FR.detect_tables(page(spark, [("a", 50, 10), ("b", 55, 10), ("c", 52, 30), ("d", 58, 30)])).collect()
+    assert [(r.row, r.rejected) for r in lost] == [(None, 1)]
+    mixed = FR.detect_tables(page(spark, [*items, ("p", 50, 300), ("q", 51, 301)])).orderBy("row", "cell").collect()
+    assert [r.rejected for r in mixed] == [1, 0, 0, 0, 0, 0, 0]
 
 
 def test_lines_on_pages(spark):
-    rows = [(1, 1, "b", 60.0, 700.0, 5.0, 10.0), (1, 1, "a", 10.0, 702.0, 5.0, 10.0), (1, 2, " ", 10.0, 5.0, 5.0, 5.0)]
-    df = spark.createDataFrame(rows, "doc_id long, page int, str string, x double, y double, width double, height double")
-    assert [(r.page, r.text, r.x, r.width) for r in FR.assemble_lines(df).collect()] == [(1, "a b", 10.0, 55.0)]
+    rows = [(1, 1, 0, "b", 60.0, 700.0, 5.0, 10.0), (1, 1, 1, "a", 10.0, 702.0, 5.0, 10.0), (1, 2, 0, " ", 10.0, 5.0, 5.0, 5.0), (2, 1, 1, "second", 5.0, 5.0, 1.0, 1.0), (2, 1, 0, "first", 5.0, 5.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "doc_id long, page int, item long, str string, x double, y double, width double, height double")
+    assert sorted((r.doc_id, r.page, r.text, r.x, r.width) for r in FR.assemble_lines(df).collect()) == [(1, 1, "a b", 10.0, 55.0), (2, 1, "first second", 5.0, 1.0)]
 
 
 def test_line_classes_and_hints(spark):

@@ -24,3 +24,15 @@ def test_every_oracle_has_a_query():
 def test_matches_sql(spark, name):
     ok, note = check.compare(spark, check.connect(DATA), name, DATA)
     assert ok, note
+
+
+NO_PRODUCT = (
+    "evaluate_all_rules", "rule_has_door", "rule_textual", "quantifier_decisions", "run_metrics", "run_threshold", "orphan_evidence", "compare_findings", "compare_specs", "metric_deltas",
+    "release_gate", "regression_report", "coverage_metrics", "findings_sarif", "sarif_rules", "findings_sheet", "report_lines", "run_summary", "check_answer_citations",
+)
+
+
+@pytest.mark.parametrize("name", NO_PRODUCT)
+def test_no_nested_loops(spark, name):
+    plan = entry.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan

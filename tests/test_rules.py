@@ -88,9 +88,9 @@ def test_no_rooms(spark):
 
 
 def test_number_text(spark):
-    values = [15.0, 18.2, 0.61, 12345678.5, 1e7, 0.0005, None]
+    values = [15.0, 18.2, 0.61, 12345678.5, 1e7, 0.0005, None, 1e-13, 0.00012345678901234, 1e-7, 1e21, 123456789.123456789, -2.5e-9, 1e-6]
     df = spark.createDataFrame([(v,) for v in values], "x double").select(fmt_num("x").alias("t"))
-    assert [r.t for r in df.collect()] == ["15", "18.2", "0.61", "12345678.5", "10000000", "0.0005", None]
+    assert [r.t for r in df.collect()] == ["15", "18.2", "0.61", "12345678.5", "10000000", "0.0005", None, "1e-13", "0.00012345678901234", "1e-7", "1e+21", "123456789.12345679", "-2.5e-9", "0.000001"]
 
 
 def test_percent(spark):
