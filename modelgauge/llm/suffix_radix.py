@@ -5,6 +5,7 @@ group that is still together after the last pass is a repeated window. Singleton
 leading digit is the 200-byte gram in it with the smallest digest (its anchor), so the first pass handles one row for each
 anchor instead of one for each byte: equal windows have the same anchor at the same offset, about two anchors stand in 400 bytes.
 
+0. Inside each text: anchors with equal surroundings, and windows over anchors with one gram that the text itself repeats, are settled at once.
 1. First digit: digest of the anchor gram. Anchors whose gram occurs once leave.
 2. All other bytes around the anchor (up to 200 before, up to 400 from it) in one digit: equal surroundings make every window over the
    anchor repeated, and one of them stands for all in the last pass.
@@ -32,6 +33,7 @@ WINDOW = 400
 #: Groups of more distinct surroundings than this compare windows by an aggregation over all tasks.
 TASK_GROUP = 20_000
 _TABLE = table_of_bytes(9)
+_SPANS = "array<struct<begin:long,end:long>>"
 
 
 def _sliding(values: np.ndarray, width: int, best: np.ufunc, fill: int) -> np.ndarray:
@@ -58,39 +60,66 @@ def anchors(digest: RollingDigest, n: int, window: int) -> tuple[np.ndarray, np.
 
 
 def _anchor_rows(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    gram = window // 2
+    """A row for each kind of anchor of a text, and one (k NULL) with the runs that the text's own repeats remove."""
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", 2 << 20):
                 data, offsets = text_bytes(batch.column("text"))
-                row, around, first, size, at = [], [], [], [], []
+                row: list[np.ndarray] = []
+                columns: list[list] = [[] for _ in types]
                 for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-                    n = b - a
-                    if n < window:
+                    if b - a < window:
                         continue
-                    digest = RollingDigest(data[a:b], _TABLE)
-                    pos, grams = anchors(digest, n, window)
-                    left, right = np.minimum(pos, window - gram), np.minimum(n - pos, window)
-                    f = mix(digest.of(pos - left, pos + right) ^ (left * 4096 + right).astype(np.uint64))
-                    order = np.argsort(f, kind="stable")
-                    fresh = np.flatnonzero(np.concatenate(([True], f[order][1:] != f[order][:-1])))
-                    row.append(np.full(len(fresh), i))
-                    around.append(f[order][fresh])
-                    first.append(grams[order][fresh])
-                    size.append(np.diff(np.append(fresh, len(order))))
-                    at.append(pos[order])
-                if not row:
-                    continue
-                ends = np.concatenate(([0], np.cumsum(np.concatenate(size))))
-                kept = batch.select(["_id", "_h"]).take(pa.array(np.concatenate(row), pa.int64())).columns
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(at), pa.int32()))
-                longs = [pa.array(np.concatenate(x).view(np.int64)) for x in (around, first)]
-                yield pa.RecordBatch.from_arrays([*kept, *longs, lists], ["_id", "_h", "f", "k", "at"])
+                    *found, spans = own_kinds(RollingDigest(data[a:b], _TABLE), b - a, window)
+                    m = len(found[0]) + bool(spans)
+                    row.append(np.full(m, i))
+                    for column, x in zip(columns, (found[0].view(np.int64), found[1].view(np.int64), found[2], found[3], np.full(len(found[0]), b - a), found[4]), strict=False):
+                        column += x.tolist() + [None] * bool(spans)
+                    columns[-1] += [None] * len(found[0]) + ([[{"begin": x, "end": y} for x, y in spans]] if spans else [])
+                if row:
+                    kept = batch.select(["_id", "_h"]).take(pa.array(np.concatenate(row), pa.int64())).columns
+                    yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["_id", "_h", "f", "k", "pos", "n", "size", "own", "spans"])
 
     return run
 
 
+def own_kinds(digest: RollingDigest, size: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Kinds of anchors (equal surroundings) of one text: digest f, gram k, a position, count (2 at most), whether the text itself repeats all
+    windows over it; and the runs that those repeats cover. Periodic texts have many anchors and few kinds: a kind whose windows all
+    occur over other kinds of the text too leaves at once.
+    """
+    gram = window // 2
+    pos, grams = anchors(digest, size, window)
+    left, right = np.minimum(pos, window - gram), np.minimum(size - pos, window)
+    f = mix(digest.of(pos - left, pos + right) ^ (left * 4096 + right).astype(np.uint64))
+    f, first, kind, count = np.unique(f, return_index=True, return_inverse=True, return_counts=True)
+    at, k = pos[first], grams[first]
+    own = count > 1
+    many = own[kind]
+    lo, hi = np.maximum(0, pos[many] + window - size), np.minimum(window - gram, pos[many])
+    spans = list(zip((pos[many] - hi).tolist(), (pos[many] - lo + window).tolist(), strict=True))
+    keep = np.ones(len(f), dtype=bool)
+    _, group, together = np.unique(k, return_inverse=True, return_counts=True)
+    for g in np.flatnonzero(together > 1):
+        some = np.flatnonzero(group == g)
+        back = np.arange(window - gram + 1)
+        begin = at[some][:, None] - back
+        there = (begin >= 0) & (begin + window <= size)
+        order = np.argsort(-there.sum(axis=1), kind="stable")  # kinds with most windows stand for the others
+        some, begin, there = some[order], begin[order], there[order]
+        digests = digest.of(np.where(there, begin, 0), np.where(there, begin + window, 0))
+        flags, new = _shared(digests, there)
+        keep[some] = new.any(axis=1)
+        own[some] |= (flags | ~there).all(axis=1)
+        starts = np.unique(begin[flags])
+        if len(starts):
+            cut = np.flatnonzero(np.diff(starts) > 1)
+            spans += list(zip(starts[np.concatenate(([0], cut + 1))].tolist(), (starts[np.concatenate((cut, [len(starts) - 1]))] + window).tolist(), strict=True))
+    return f[keep], k[keep], at[keep], np.minimum(count[keep], 2), own[keep], merged(spans)
+
+
 def _surroundings(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     gram = window // 2
 
@@ -124,20 +153,26 @@ def _window_digests(bodies: list[bytes], left: np.ndarray, window: int) -> tuple
     return RollingDigest(data, _TABLE).of(begin, np.minimum(begin + window, len(data))), there
 
 
-def repeated(bodies: list[bytes], left: np.ndarray, window: int) -> np.ndarray:
-    """Which windows over the anchors of one group occur at the same offset in another surrounding."""
-    digests, there = _window_digests(bodies, left, window)
+def _shared(digests: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the entries that exist: which have an equal in their column, and which are the first of their kind in it."""
     alone = mix(np.arange(digests.size, dtype=np.uint64).reshape(digests.shape))
     digests = np.where(there, digests, alone)
     order = np.argsort(digests, axis=0, kind="stable")
     ranked = np.take_along_axis(digests, order, axis=0)
     same = ranked[1:] == ranked[:-1]
-    flags = np.zeros(digests.shape, dtype=bool)
+    flags, first = np.zeros(digests.shape, dtype=bool), np.ones(digests.shape, dtype=bool)
     flags[1:] |= same
     flags[:-1] |= same
-    out = np.empty_like(flags)
-    np.put_along_axis(out, order, flags, axis=0)
-    return out & there
+    first[1:] = ~same
+    out = np.empty_like(flags), np.empty_like(flags)
+    for to, x in zip(out, (flags, first), strict=True):
+        np.put_along_axis(to, order, x, axis=0)
+    return out[0] & there, out[1] & there
+
+
+def repeated(bodies: list[bytes], left: np.ndarray, window: int) -> np.ndarray:
+    """Which windows over the anchors of one group occur at the same offset in another surrounding."""
+    return _shared(*_window_digests(bodies, left, window))[0]
 
 
 def runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -182,16 +217,15 @@ def _window_rows(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return run
 
 
-def merged(pos: np.ndarray, lo: np.ndarray, hi: np.ndarray, n: int, window: int) -> list[tuple[int, int]]:
-    """Maximal removed runs from anchors and their window offsets; lo -1 stands for every window over the anchor."""
-    every = lo < 0
-    lo = np.where(every, np.maximum(0, pos + window - n), lo)
-    hi = np.where(every, np.minimum(window - window // 2, pos), hi)
-    begin, end = pos - hi, pos - lo + window
-    order = np.argsort(begin, kind="stable")
-    begin, end = begin[order], np.maximum.accumulate(end[order])
-    cut = np.flatnonzero(begin[1:] > end[:-1])
-    return list(zip(begin[np.concatenate(([0], cut + 1))].tolist(), end[np.concatenate((cut, [len(end) - 1]))].tolist(), strict=True))
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Maximal runs of overlapping or touching spans."""
+    out: list[tuple[int, int]] = []
+    for begin, end in sorted(spans):
+        if out and begin <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((begin, end))
+    return out
 
 
 def _cut_out(window: int, keep: list[str], as_text: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -199,12 +233,9 @@ def _cut_out(window: int, keep: list[str], as_text: bool) -> Callable[[Iterator[
         for whole in batches:
             for batch in slices(whole, "text", 2 << 20):
                 sizes, spans, kept = [], [], []
-                for text, found in zip(batch.column("text").to_pylist(), batch.column("found"), strict=True):
+                for text, found in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist(), strict=True):
                     body = (text or "").encode()
-                    cuts: list[tuple[int, int]] = []
-                    if found.is_valid and len(found.values):
-                        pos, lo, hi = (np.asarray(found.values.field(c)).astype(np.int64) for c in ("pos", "lo", "hi"))
-                        cuts = merged(pos, lo, hi, len(body), window)
+                    cuts = merged([(x["begin"], x["end"]) for x in found or ()])
                     sizes.append(len(body))
                     spans.append([{"begin": a, "end": b} for a, b in cuts])
                     edges = [0, *(x for s in cuts for x in s), len(body)]
@@ -225,11 +256,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep: tuple[str, ...]
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select(*keep, text.alias("text"), F.coalesce(F.col("doc_id"), F.lit(-1)).alias("_id"), F.xxhash64(text).alias("_h"))
-    rows = keyed.select("_id", "_h", "text").where(F.octet_length("text") >= window).mapInArrow(_anchor_rows(window), "_id long, _h long, f long, k long, at array<int>")
+    long_ = keyed.select("_id", "_h", "text").where(F.octet_length("text") >= window)
+    rows = stored(long_.mapInArrow(_anchor_rows(window), f"_id long, _h long, f long, k long, pos int, n int, size int, own boolean, spans {_SPANS}"), "anchors")
 
-    met = rows.groupBy("k").agg(F.sum(F.size("at")).alias("n")).where("n > 1").select("k")
-    met = stored(rows.join(met, "k"), "anchors")
-    kinds = met.groupBy("f").agg(F.max("k").alias("k"), F.sum(F.size("at")).alias("n"), F.min(F.struct("_id", "_h", F.col("at")[0].alias("pos"))).alias("one"))
+    met = rows.groupBy("k").agg(F.sum("n").alias("n")).where("n > 1 AND k IS NOT NULL").select("k")
+    met = stored(rows.drop("spans").join(met, "k"), "met")
+    kinds = met.groupBy("f").agg(F.max("k").alias("k"), F.sum("n").alias("n"), F.min(F.struct("_id", "_h", "pos")).alias("one"))
     kinds = stored(kinds.select("f", "k", "n", "one.*"), "kinds")
     open_ = kinds.groupBy("k").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 AND least = 1").select("k", "m")
     wanted = kinds.join(open_, "k").groupBy("_id", "_h").agg(F.collect_list(F.struct("k", "f", "n", "m", "pos")).alias("wanted"))
@@ -244,8 +276,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep: tuple[str, ...]
     full = kinds.where("n > 1").select("f", F.lit(-1).alias("lo"), F.lit(-1).alias("hi"))
     ranges = stored(full.union(some).union(more), "ranges")
 
-    placed = met.join(ranges, "f").select("_id", "_h", F.explode("at").alias("pos"), "lo", "hi")
-    found = placed.distinct().groupBy("_id", "_h").agg(F.collect_list(F.struct("pos", "lo", "hi")).alias("found"))
+    half = window - window // 2
+    lo, hi = f"if(lo < 0, greatest(0, pos + {window} - size), lo)", f"if(lo < 0, least({half}, pos), hi)"
+    placed = met.where("NOT own").join(ranges, "f").selectExpr("_id", "_h", f"struct(cast(pos - {hi} as bigint) as begin, cast(pos - {lo} + {window} as bigint) as end) as span")
+    placed = placed.groupBy("_id", "_h").agg(F.collect_set("span").alias("spans"))
+    local = rows.where("k IS NULL").select("_id", "_h", "spans")
+    found = placed.union(local).groupBy("_id", "_h").agg(F.flatten(F.collect_list("spans")).alias("found"))
     joined = keyed.join(found, ["_id", "_h"], "left").select(*keep, "text", "found")
     last = "kept_text string" if as_text else "kept_bytes binary"
     return joined.mapInArrow(_cut_out(window, list(keep), as_text), extended(docs.select(*keep), f"n_bytes long, spans array<struct<begin:long,end:long>>, {last}"))

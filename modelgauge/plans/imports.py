@@ -192,10 +192,15 @@ cte(
 )
 
 
+def header_cells(grid: DataFrame) -> DataFrame:
+    """Cells of each sheet's detected header row, as header texts."""
+    rows = IM.detect_header(grid).select("file", "sheet", F.col("header_row").alias("row"))
+    return grid.join(rows, ["file", "sheet", "row"]).selectExpr("file", "sheet", "row", "col", "display as header")
+
+
 @query("suggest_mappings", "SELECT c_custkey AS file, CASE s WHEN 0 THEN 'Main' ELSE 'Other' END AS sheet, m.col, m.header, m.field, m.confidence, m.confidence = 'high' AS accepted FROM customer, (VALUES (0), (1)) t(s), x_map m WHERE m.style = (c_custkey + s) % 4")
 def _suggest(spark, d):
-    heads = cells(spark, d).where("row = 2").selectExpr("file", "sheet", "row", "col", "display as header")
-    return IM.suggest_mappings(heads).select("file", "sheet", "col", "header", "field", "confidence", "accepted")
+    return IM.suggest_mappings(header_cells(cells(spark, d))).select("file", "sheet", "col", "header", "field", "confidence", "accepted")
 
 
 @query("normalize_headers", r"SELECT doc_id, h AS header, trim(regexp_replace(lower(strip_accents(h)), '[^a-z0-9]+', ' ', 'g')) AS norm FROM (SELECT doc_id, l AS h FROM x_lines0 WHERE NOT regexp_matches(l, '[^\x00-\x7FÀ-ÖØ-öø-ÿ]'))")
@@ -215,8 +220,7 @@ def _detect(spark, d):
 def _chosen(spark, d, strict):
     grid = cells(spark, d)
     sheets = grid.select("file", "sheet", "hidden", "sheet_pos").distinct()
-    heads = grid.where("row = 2").selectExpr("file", "sheet", "row", "col", "display as header")
-    return IM.choose_sheet(sheets, IM.suggest_mappings(heads), strict)
+    return IM.choose_sheet(sheets, IM.suggest_mappings(header_cells(grid)), strict)
 
 
 cte("x_stylestat", "SELECT style, count(field) AS mapped, count(*) FILTER (WHERE confidence = 'high' AND field IN ('id', 'title', 'type', 'severity')) AS req, count(*) FILTER (WHERE field IS NOT NULL AND confidence <> 'high') AS weak, count(*) FILTER (WHERE field IN ('id', 'title')) AS both_n FROM x_map GROUP BY 1")
@@ -243,11 +247,16 @@ def _grid(spark, d):
 
 @query(
     "grid_to_rows",
-    """SELECT o_custkey AS file, o_orderkey + 3 AS source_row, 'R-' || o_orderkey AS id, (o_orderkey % 30)::VARCHAR AS minimum, CASE WHEN (o_orderkey + 3) % 4 = 0 THEN 'minimum' ELSE '' END AS derived,
-  CASE WHEN (o_orderkey + 3) % 12 = 0 THEN 'minimum: formula has no cached result.' ELSE '' END AS formula_errors FROM orders WHERE o_orderkey % 2 = 0 AND o_custkey % 4 IN (0, 1)""",
+    """WITH c AS (SELECT file, s, (file + s) % 4 AS style FROM x_sheets QUALIFY row_number() OVER (PARTITION BY file ORDER BY CASE WHEN NOT hidden AND both_n = 2 THEN 0 WHEN NOT hidden THEN 1 ELSE 2 END, CASE WHEN NOT hidden AND both_n = 2 THEN -mapped ELSE 0 END, s) = 1),
+f AS (SELECT style, max(col) FILTER (WHERE field = 'id') AS ci, max(col) FILTER (WHERE field = 'minimum') AS cm, max(field) FILTER (WHERE col = 5) AS f5 FROM x_map GROUP BY 1)
+SELECT file, k + 3 AS source_row, vals[ci + 1] AS id, vals[cm + 1] AS minimum, CASE WHEN (k + 3) % 4 = 0 THEN coalesce(f5, '') ELSE '' END AS derived,
+  CASE WHEN (k + 3) % 12 = 0 AND f5 IS NOT NULL THEN f5 || ': formula has no cached result.' ELSE '' END AS formula_errors
+FROM (SELECT c.*, o_orderkey AS k, ['R-' || o_orderkey, 'Title ' || o_orderkey, 'room area', 'warning', 'office', (o_orderkey % 30)::VARCHAR, '', 'm2', 'Brief', CASE WHEN o_orderkey % 8 = 0 THEN '' ELSE '2.1' END] AS vals
+  FROM orders JOIN c ON o_custkey = file AND o_orderkey % 2 = s) JOIN f USING (style)""",
 )
 def _rows(spark, d):
-    grid = cells(spark, d).where("sheet = 'Main' and file % 4 in (0, 1)")
-    heads = grid.where("row = 2").selectExpr("file", "sheet", "row", "col", "display as header")
-    rows = IM.grid_to_rows(grid, IM.suggest_mappings(heads), IM.detect_header(grid))
+    """Every file: its chosen sheet below the detected header row."""
+    grid = cells(spark, d)
+    chosen = grid.join(_chosen(spark, d, False), ["file", "sheet"])
+    rows = IM.grid_to_rows(chosen, IM.suggest_mappings(header_cells(grid)), IM.detect_header(grid))
     return IM.values_to_columns(rows).selectExpr("file", "source_row", "id", "minimum", "array_join(derived, ',') as derived", "array_join(formula_errors, ',') as formula_errors")

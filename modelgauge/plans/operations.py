@@ -202,13 +202,13 @@ _ARR = (
 def _intake_frames(spark, d):
     a = tb.table(spark, d, "lineitem").selectExpr(*_ARR)
     cols = ["l_orderkey", "l_linenumber", "l_partkey", "project_id", "idempotency_key", "input_fingerprint", "l_shipdate"]
-    return a.where("l_linestatus = 'O'").select(*cols), a.where("l_linestatus = 'F' and l_partkey % 9 = 0").select(*cols)
+    return a.where("l_linestatus = 'O'").select(*cols), a.where("l_linestatus = 'F'").select(*cols)
 
 
 @query(
     "classify_intake",
     f"""WITH a AS ({_ARRIVALS}) SELECT n.project_id, n.idempotency_key, n.input_fingerprint, CASE WHEN k.fp IS NULL THEN 'new' WHEN k.fp = n.input_fingerprint THEN 'replay' ELSE 'conflict' END AS intake, count(*) AS n
-FROM a n LEFT JOIN (SELECT project_id, idempotency_key, min(input_fingerprint) AS fp FROM a WHERE l_linestatus = 'F' AND l_partkey % 9 = 0 GROUP BY 1, 2) k USING (project_id, idempotency_key) WHERE n.l_linestatus = 'O' GROUP BY ALL""",
+FROM a n LEFT JOIN (SELECT project_id, idempotency_key, min(input_fingerprint) AS fp FROM a WHERE l_linestatus = 'F' GROUP BY 1, 2) k USING (project_id, idempotency_key) WHERE n.l_linestatus = 'O' GROUP BY ALL""",
 )
 def _intake(spark, d):
     new, old = _intake_frames(spark, d)
@@ -217,7 +217,7 @@ def _intake(spark, d):
 
 @query(
     "append_idempotent",
-    f"""WITH a AS ({_ARRIVALS}) SELECT project_id, idempotency_key, l_orderkey, l_linenumber, l_partkey FROM a WHERE l_linestatus = 'O' AND (project_id, idempotency_key) NOT IN (SELECT (project_id, idempotency_key) FROM a WHERE l_linestatus = 'F' AND l_partkey % 9 = 0)
+    f"""WITH a AS ({_ARRIVALS}) SELECT project_id, idempotency_key, l_orderkey, l_linenumber, l_partkey FROM a WHERE l_linestatus = 'O' AND (project_id, idempotency_key) NOT IN (SELECT (project_id, idempotency_key) FROM a WHERE l_linestatus = 'F')
 QUALIFY row_number() OVER (PARTITION BY project_id, idempotency_key ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) = 1""",
 )
 def _append(spark, d):
