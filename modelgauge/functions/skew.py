@@ -10,19 +10,24 @@ from pyspark.sql import functions as F
 CHUNK_ROWS = 50_000
 
 
+def default_salts(df: DataFrame) -> int:
+    return min(64, max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def salted_join(
     big: DataFrame,
     small: DataFrame,
     on: Sequence[str],
     spread: Sequence[str],
-    salts: int = 8,
+    salts: int | None = None,
     how: str = "inner",
 ) -> DataFrame:
-    """Equi-join whose hot keys on `big` are spread over `salts` tasks.
+    """Equi-join whose hot keys on `big` are spread over `salts` tasks (by default as many as the cluster's shuffle has, from 8 to 64).
 
     `small` is replicated once per salt, so it must be the side with few rows per key
-    (requirements of a package, one row per door). `how` is inner or left.
+    (requirements of a package, one row per door). `how` is inner, left or left_anti.
     """
+    salts = salts or default_salts(big)
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     replicated = small.withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))

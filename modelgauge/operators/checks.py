@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from modelgauge.functions.skew import salted_join
+
 # Allowed sets.
 ROOM_TYPES = ("stockroom", "office", "meeting_room", "corridor", "unknown")
 SEVERITIES = ("info", "warning", "critical")
@@ -33,15 +35,15 @@ def elements(levels: DataFrame, rooms: DataFrame, doors: DataFrame) -> DataFrame
 
 
 def repeats_after_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Every row after the first of its key. Only the first order per repeated key is aggregated and
-    joined back, so a key with very many copies is never gathered in one task."""
+    """Every row after the first of its key. Only the first order per repeated key is aggregated and joined
+    back, salted by the order, so a key with very many copies is never gathered in one task."""
     firsts = (
         df.groupBy(*keys)
         .agg(F.min(F.struct(*order)).alias("_first"), F.count(F.lit(1)).alias("_n"))
         .where("_n > 1")
         .drop("_n")
     )
-    return df.join(firsts, list(keys)).where(F.struct(*order) > F.col("_first")).drop("_first")
+    return salted_join(df, firsts, list(keys), list(order)).where(F.struct(*order) > F.col("_first")).drop("_first")
 
 
 def dup_element_ids(levels: DataFrame, rooms: DataFrame, doors: DataFrame) -> DataFrame:
@@ -55,7 +57,7 @@ def unknown_levels(levels: DataFrame, rooms: DataFrame, doors: DataFrame) -> Dat
     """Rooms and doors whose level does not exist in their model."""
     users = elements(levels, rooms, doors).where("element_type <> 'level'")
     known = levels.select("model_id", "level_id").distinct()
-    return users.join(known, ["model_id", "level_id"], "left_anti").selectExpr(
+    return salted_join(users, known, ["model_id", "level_id"], ["element_id", "pos"], how="left_anti").selectExpr(
         "model_id", "element_type", "element_id", "pos", "concat('Unknown level id: ', level_id) as message"
     )
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from modelgauge.functions.skew import latest
+from modelgauge.functions.skew import latest, salted_join
 from modelgauge.operators.checks import (
     AREA_UNITS, LENGTH_UNITS, QUANTITY_TYPES, ROOM_TYPES, SEVERITIES, repeats_after_first, sql_in,
 )
@@ -107,9 +107,12 @@ def suggest_mappings(headers: DataFrame) -> DataFrame:
     """headers (file, sheet, row, col, header) -> + field, confidence, score, accepted.
 
     A field is given to the first column of the header row that suggests it; later ones are unmapped.
-    Scoring runs once per distinct header text.
+    Scoring runs once per distinct header text; blank texts map to nothing and skip it, common texts are salted by file.
     """
-    tagged = headers.join(best_fields(headers), "header", "left")
+    blank = F.trim(F.coalesce(F.col("header"), F.lit(""))) == ""
+    scored = salted_join(headers.where(~blank), best_fields(headers.where(~blank)), ["header"], ["file", "sheet", "row"], how="left")
+    none = headers.where(blank).withColumns({"_field": F.lit(None).cast("string"), "_score": F.lit(None).cast("int")})
+    tagged = scored.unionByName(none)
     first = tagged.groupBy("file", "sheet", "row", "_field").agg(F.min("col").alias("_first"))
     joined = tagged.join(first, ["file", "sheet", "row", "_field"], "left")
     return joined.selectExpr(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from modelgauge.functions.columns import finding_key, fmt_num_sql
+from modelgauge.functions.skew import salted_join
 
 MB, GB = 1024 * 1024, 1024 * 1024 * 1024
 # Plan limits.
@@ -278,9 +279,11 @@ def cleanup_candidates(jobs: DataFrame, now: str, hours: int = 24) -> DataFrame:
 
 
 def fan_out(events: DataFrame, subs: DataFrame, now: str) -> DataFrame:
-    """One delivery per (event, enabled, unrevoked, unexpired subscription of the event type)."""
-    live = subs.where(f"enabled and revoked_at is null and (expires_at is null or expires_at > {now})").select("webhook_id", "project_id", "events")
-    return events.join(live, "project_id").where(F.expr("array_contains(events, event_type)")).select("event_id", "webhook_id", "project_id", "event_type")
+    """One delivery per (event, enabled, unrevoked, unexpired subscription of the event type), met by project and event type; events of a
+    busy project are salted by their id."""
+    live = subs.where(f"enabled and revoked_at is null and (expires_at is null or expires_at > {now})")
+    wanted = live.selectExpr("webhook_id", "project_id", "explode(array_distinct(events)) as event_type")
+    return salted_join(events, wanted, ["project_id", "event_type"], ["event_id"]).select("event_id", "webhook_id", "project_id", "event_type")
 
 
 # ---- fixed-window quota -------------------------------------------------------------------------

@@ -72,7 +72,7 @@ def resolve_doors(rooms: DataFrame, doors: DataFrame) -> DataFrame:
     )
     entry = "if(door_pos is null, null, struct(door_pos, door_id, found, width_m, label))"
     resolved = (
-        links.join(catalogue, ["model_id", "_key"], "left")
+        salted_join(links, catalogue, ["model_id", "_key"], ["room_id"], how="left")
         .groupBy("model_id", "room_id")
         .agg(
             *[F.first(c).alias(c) for c in [*carried, "has_list", "n_links"]],

@@ -123,6 +123,18 @@ def _finalize(spark, d):
     return IM.finalize_package(reviewed_rows(spark, d))
 
 
+@query(
+    "toggle_included",
+    """SELECT file, k AS source_row, CASE WHEN k % 4 = 1 THEN k % 3 = 0 ELSE k % 3 <> 0 END AS included, CASE WHEN k % 4 = 1 AND k % 3 <> 0 THEN 'excluded' ELSE status END AS status,
+  CASE WHEN k % 4 = 1 THEN CASE WHEN k % 3 <> 0 THEN 'excluded_by_user' END WHEN k % 3 = 0 AND k % 9 <> 0 THEN 'informational' END AS exclusion_reason FROM x_imp""",
+)
+def _toggle(spark, d):
+    """Every fourth row is flipped: excluded rows come back, included ones are taken out by the user."""
+    rows = reviewed_rows(spark, d)
+    flipped = IM.toggle_included(rows, rows.where("source_row % 4 = 1").select("file", "source_row"))
+    return flipped.select("file", "source_row", "included", "status", "exclusion_reason")
+
+
 @query(
     "import_counts",
     """SELECT file, count(*) FILTER (WHERE k % 3 <> 0 AND len(errors) = 0 AND len(warnings) = 0) AS valid, count(*) FILTER (WHERE k % 3 <> 0 AND len(errors) = 0 AND len(warnings) > 0) AS warning,
