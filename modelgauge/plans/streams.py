@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from modelgauge.plans import operations  # noqa: F401  (defines the SQL counterparts used here)
 from modelgauge.plans.registry import ORACLE, query
-from modelgauge.plans.session import new_folder
+from modelgauge.plans.rulebook import requirements
+from modelgauge.plans.session import new_folder, written
 from modelgauge.sources import testbed as tb
 from modelgauge.streaming import jobs
 
@@ -67,3 +68,62 @@ def _reviews(spark, d):
     jobs.stream_reviews(log, f"{root}/out", f"{root}/state").start().awaitTermination()
     current, _ = jobs.review_tables(spark, f"{root}/out")
     return current.selectExpr("cast(run_id as bigint) as run", "cast(requirement_id as bigint) as requirement", "cast(decision_id as bigint) as decision")
+
+
+_INTAKE = """SELECT 'prj-' || (c_custkey % 50) AS project_id, 'key-' || c_custkey AS idempotency_key, 'fp-' || c_custkey AS input_fingerprint, CASE WHEN c_custkey % 50 % 9 = 0 THEN 'unassigned' ELSE 'new' END AS intake, 1 AS n FROM customer
+UNION ALL SELECT 'prj-' || (c_custkey % 50), 'key-' || c_custkey, 'fp-' || c_custkey, 'replay', 1 FROM customer WHERE c_custkey % 5 = 0
+UNION ALL SELECT 'prj-' || (c_custkey % 50), 'key-' || c_custkey, 'other-' || c_custkey, 'conflict', 1 FROM customer WHERE c_custkey % 7 = 0"""
+
+
+def model_arrivals(spark: SparkSession, d: str) -> DataFrame:
+    """One model document per customer, every fifth sent again, every seventh again with another fingerprint, every fourth invalid."""
+    room = "struct(concat('rm-', c_custkey) as room_id, 'Room' as name, 'lvl' as level_id, if(c_custkey % 4 = 0, 'attic', 'office') as room_type, cast(20 + c_custkey % 80 as double) as area_sqm, cast(array() as array<string>) as door_ids)"
+    base = tb.table(spark, d, "customer").selectExpr(
+        "c_custkey", "concat('prj-', c_custkey % 50) as project_id", "concat('key-', c_custkey) as idempotency_key", "concat('fp-', c_custkey) as input_fingerprint",
+        "concat('m-', c_custkey) as model_id", "timestamp'2024-01-01 00:00:00' as arrived_at", f"array({room}) as rooms",
+        "cast(array() as array<struct<door_id:string,name:string,level_id:string,width_m:double>>) as doors",
+    )
+    later = lambda df, minutes: df.withColumn("arrived_at", F.expr(f"arrived_at + interval {minutes} minutes"))
+    again = later(base.where("c_custkey % 5 = 0"), 10)
+    other = later(base.where("c_custkey % 7 = 0"), 20).withColumn("input_fingerprint", F.concat(F.lit("other-"), F.col("c_custkey").cast("string")))
+    return base.unionByName(again).unionByName(other).drop("c_custkey")
+
+
+def _validated(spark: SparkSession, d: str) -> str:
+    """Arrivals stream in and are validated to the end; the folder of the result tables."""
+    root = new_folder(spark)
+    model_arrivals(spark, d).write.parquet(f"{root}/landing")
+    assigned = tb.table(spark, d, "customer").selectExpr("c_custkey % 50 as p").distinct().where("p % 9 <> 0").selectExpr("concat('prj-', p) as project_id", "'spec-a' as spec_id")
+    assigned.write.parquet(f"{root}/assignments")
+    arrivals = spark.readStream.schema(jobs.ARRIVALS).parquet(f"{root}/landing")
+    packages = written(spark, "packages", lambda: requirements(spark))
+    jobs.stream_validate(arrivals, packages, spark.read.parquet(f"{root}/assignments"), f"{root}/out", f"{root}/state").start().awaitTermination()
+    return f"{root}/out"
+
+
+@query("stream_intake", _INTAKE)
+def _intake(spark, d):
+    found = spark.read.parquet(f"{_validated(spark, d)}/intake")
+    return found.groupBy("project_id", "idempotency_key", "input_fingerprint", "intake").agg(F.count("*").cast("int").alias("n"))
+
+
+@query(
+    "stream_validate",
+    """SELECT 'run-prj-' || (c_custkey % 50) || '/key-' || c_custkey AS run_id, CASE WHEN 20 + c_custkey % 80 BETWEEN 30 AND 80.5 THEN 'pass' ELSE 'fail' END AS office_area,
+  10 AS n_findings FROM customer WHERE c_custkey % 50 % 9 <> 0 AND c_custkey % 4 <> 0""",
+)
+def _stream_validate(spark, d):
+    """Runs of valid models in assigned projects, each once: status of the office-area rule and number of findings (one
+    for each of the package's ten requirements, as a model has one room)."""
+    found = spark.read.parquet(f"{_validated(spark, d)}/findings")
+    return found.groupBy("run_id").agg(
+        F.max(F.when((F.col("requirement_id") == "REQ-AREA-OFFICE"), F.col("status"))).alias("office_area"), F.count("*").cast("int").alias("n_findings")
+    )
+
+
+@query("stream_drop_repeats", "SELECT project_id, idempotency_key, input_fingerprint FROM (" + _INTAKE + ") WHERE intake <> 'replay'")
+def _drop(spark, d):
+    root = new_folder(spark)
+    model_arrivals(spark, d).write.parquet(f"{root}/landing")
+    kept = jobs.drop_repeats(spark.readStream.schema(jobs.ARRIVALS).parquet(f"{root}/landing"))
+    return _drain(spark, kept.select("project_id", "idempotency_key", "input_fingerprint"), "append")

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from modelgauge.operators import access, metrics, rules
+from modelgauge.operators import access, checks, metrics, rules
 
 ARRIVALS = (
     "project_id string, idempotency_key string, input_fingerprint string, model_id string, arrived_at timestamp,"
@@ -24,48 +24,94 @@ def read_arrivals(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(ARRIVALS).json(path)
 
 
-def stream_validate(
-    arrivals: DataFrame, requirements: DataFrame, assignments: DataFrame, out_path: str, checkpoint: str, delay: str = "1 hour"
-) -> DataStreamWriter:
-    """Validate models as they arrive; findings and metrics are written once per (project, idempotency key).
+KEYS = ("project_id", "idempotency_key")
+KEY_BUCKETS = 256
+_STORED = "project_id string, idempotency_key string, input_fingerprint string, batch bigint, bucket int"
 
-    Repeats inside the watermark are dropped in state; older repeats by an anti-join with the stored keys.
-    `assignments`: project_id, spec_id. A replayed micro-batch overwrites its own folder, so a restart
-    neither loses nor doubles results.
+
+def drop_repeats(arrivals: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Arrivals without exact repeats (key and fingerprint) inside the watermark; the same key with another fingerprint stays."""
+    return arrivals.withWatermark("arrived_at", delay).dropDuplicatesWithinWatermark([*KEYS, "input_fingerprint"])
+
+
+def classify_arrivals(arrived: DataFrame, known: DataFrame, assignments: DataFrame) -> DataFrame:
+    """project_id, idempotency_key, input_fingerprint, arrived_at, intake of a batch's arrivals.
+
+    new: first arrival of a key that is not stored; replay: same fingerprint as the stored or first one; conflict: another
+    fingerprint; unassigned: would be new, but its project has no package (its key is not taken, so it can come again).
+    """
+    stored = known.groupBy(*KEYS).agg(F.min("input_fingerprint").alias("_known"))
+    order = Window.partitionBy(*KEYS).orderBy("arrived_at", "input_fingerprint")
+    slim = arrived.select(*KEYS, "input_fingerprint", "arrived_at").withColumns({"_n": F.row_number().over(order), "_first": F.first("input_fingerprint").over(order)})
+    packages = assignments.select("project_id", F.lit(True).alias("_assigned")).distinct()
+    joined = slim.join(stored, list(KEYS), "left").join(packages, "project_id", "left")
+    intake = F.expr(
+        """case when input_fingerprint <> coalesce(_known, _first) then 'conflict' when _known is not null or _n > 1 then 'replay'
+            when _assigned is null then 'unassigned' else 'new' end"""
+    )
+    return joined.withColumn("intake", intake).drop("_known", "_n", "_first", "_assigned")
+
+
+def stream_validate(arrivals: DataFrame, requirements: DataFrame, assignments: DataFrame, out_path: str, checkpoint: str) -> DataStreamWriter:
+    """Validate models as they arrive; every (project, idempotency key) is evaluated once.
+
+    Tables under `out_path`, a folder for each batch: arrivals, intake (what became of each arrival), violations of models that are
+    not evaluated, findings, metrics, keys. `assignments`: project_id, spec_id; a project with several packages gets a run for each.
+    Replayed micro-batches overwrite their own folders, so a restart neither loses nor doubles results. The batch is written first
+    and read back, stored keys are read from the buckets of the batch's own keys only.
     """
-    fresh = arrivals.withWatermark("arrived_at", delay).dropDuplicatesWithinWatermark(["project_id", "idempotency_key"])
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        stored = _stored_keys(spark, out_path, batch_id)
-        keys = ["project_id", "idempotency_key"]
-        new = access.append_idempotent(batch, stored, keys, ["arrived_at"])
-        model = F.concat_ws("/", "project_id", "idempotency_key")
-        docs = new.withColumn("model_id", model)
+
+        def put(df: DataFrame, name: str) -> DataFrame:
+            path = f"{out_path}/{name}/batch={batch_id}"
+            df.write.mode("overwrite").parquet(path)
+            return spark.read.schema(df.schema).parquet(path)
+
+        arrived = put(batch, "arrivals")
+        intake = put(classify_arrivals(arrived, _stored_keys(spark, out_path, batch_id, arrived), assignments), "intake")
+        fresh = intake.where("intake = 'new'").select(*KEYS, "input_fingerprint", "arrived_at")
+        docs = arrived.join(fresh, [*KEYS, "input_fingerprint", "arrived_at"]).dropDuplicates(list(KEYS)).withColumn("model_id", F.concat_ws("/", *KEYS))
         rooms = docs.selectExpr("model_id", "posexplode(rooms) as (pos, r)").selectExpr("model_id", "r.*", "cast(pos as bigint) as pos")
         doors = docs.selectExpr("model_id", "posexplode(doors) as (pos, x)").selectExpr("model_id", "x.*", "cast(pos as bigint) as pos")
-        runs = docs.selectExpr("concat('run-', model_id) as run_id", "project_id", "model_id").join(assignments, "project_id")
-        req = rules.run_requirements(runs, requirements)
-        found = rules.evaluate(rooms, doors, req)
-        folder = f"batch={batch_id}"
-        found.write.mode("overwrite").parquet(f"{out_path}/findings/{folder}")
-        # Metrics read the written findings: the evaluation is not repeated and its lineage is cut.
-        stored_findings = spark.read.parquet(f"{out_path}/findings/{folder}")
-        metrics.metrics(metrics.outcomes(req, stored_findings)).write.mode("overwrite").parquet(f"{out_path}/metrics/{folder}")
-        new.select(*keys, "input_fingerprint").write.mode("overwrite").parquet(f"{out_path}/keys/{folder}")
-
-    return arrivals_writer(fresh, run, checkpoint)
-
-
-def _stored_keys(spark: SparkSession, out_path: str, batch_id: int) -> DataFrame:
-    """Keys written by earlier batches (not by a previous try of this one)."""
-    schema = "project_id string, idempotency_key string, input_fingerprint string, batch bigint"
-    empty = spark.createDataFrame([], schema)
+        faults = put(_model_faults(spark, rooms, doors), "violations")
+        bad = faults.select("model_id").distinct()
+        sound = lambda df: df.join(bad, "model_id", "left_anti")
+        several = assignments.groupBy("project_id").agg(F.count("*").alias("_of"))
+        runs = sound(docs).select("project_id", "model_id").join(assignments, "project_id").join(several, "project_id")
+        runs = runs.selectExpr("concat('run-', model_id, if(_of > 1, concat('@', spec_id), '')) as run_id", "model_id", "spec_id")
+        req = put(rules.run_requirements(runs, requirements), "run_requirements")
+        found = put(rules.evaluate(sound(rooms), sound(doors), req), "findings")
+        put(metrics.metrics(metrics.outcomes(req, found)), "metrics")
+        fresh.select(*KEYS, "input_fingerprint", _bucket().alias("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{out_path}/keys/batch={batch_id}")
+
+    return arrivals_writer(arrivals, run, checkpoint)
+
+
+def _model_faults(spark: SparkSession, rooms: DataFrame, doors: DataFrame) -> DataFrame:
+    """Repeated ids, unknown doors in room lists, and field violations of arrived models (model_id, element_id, message)."""
+    no_levels = spark.createDataFrame([], "model_id string, level_id string, name string, pos bigint")
+    none = spark.createDataFrame([], "model_id string")
+    columns = ("model_id", "element_id", "message")
+    listed = rooms.selectExpr("model_id", "room_id", "explode(door_ids) as door_id")
+    unknown = listed.join(doors.select("model_id", "door_id"), ["model_id", "door_id"], "left_anti").selectExpr("model_id", "room_id as element_id", "concat('Unknown door id: ', door_id) as message")
+    fields = checks.model_field_violations(none, no_levels, rooms, doors).select(*columns)
+    return checks.dup_element_ids(no_levels, rooms, doors).select(*columns).unionByName(unknown).unionByName(fields)
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64(*KEYS), F.lit(KEY_BUCKETS)).cast("int")
+
+
+def _stored_keys(spark: SparkSession, out_path: str, batch_id: int, arrived: DataFrame) -> DataFrame:
+    """Keys written by earlier batches (not by a previous try of this one), from the buckets of this batch's keys."""
     jvm = spark._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{out_path}/keys")
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return empty
-    return spark.read.schema(schema).parquet(f"{out_path}/keys").where(F.col("batch") < batch_id)
+        return spark.createDataFrame([], _STORED)
+    used = [r[0] for r in arrived.select(_bucket()).distinct().collect()]  # at most KEY_BUCKETS numbers
+    return spark.read.schema(_STORED).parquet(f"{out_path}/keys").where((F.col("batch") < batch_id) & F.col("bucket").isin(used))
 
 
 def arrivals_writer(df: DataFrame, run, checkpoint: str) -> DataStreamWriter:

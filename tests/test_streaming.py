@@ -29,6 +29,19 @@ def test_validate_arrivals_once(spark, tmp_path):
     m = {r.run_id: (r.pass_rate, r.coverage) for r in spark.read.parquet(out + "/metrics").collect()}
     assert m == {"run-p/k1": (0, 50), "run-p/k2": (0, 50)}
     assert spark.read.parquet(out + "/findings").count() == 22
+    late = {**doc, "idempotency_key": "k4", "project_id": "q"}
+    bad = {**doc, "idempotency_key": "k5", "rooms": [rooms[0], rooms[0], {**rooms[1], "door_ids": ["gone"], "room_type": "attic"}]}
+    run("4.json", [{**doc, "input_fingerprint": "g"}, late, bad, bad])
+    seen = {(r.idempotency_key, r.intake) for r in spark.read.parquet(out + "/intake").where("batch = 3").collect()}
+    assert seen == {("k1", "conflict"), ("k4", "unassigned"), ("k5", "new"), ("k5", "replay")}
+    faults = {r.message for r in spark.read.parquet(out + "/violations").where("model_id = 'p/k5'").collect()}
+    assert faults == {"Duplicate model element id: rm-stock-01", "Unknown door id: gone", "Unknown room type: attic"}
+    assert spark.read.parquet(out + "/findings").count() == 22
+    # once the project has packages, the same arrival is taken; a project with two packages gets two runs
+    assigned = assigned.union(spark.createDataFrame([("q", "s"), ("q", "s")], assigned.schema).distinct())
+    run("5.json", [late, bad])
+    assert {(r.idempotency_key, r.intake) for r in spark.read.parquet(out + "/intake").where("batch = 4").collect()} == {("k4", "new"), ("k5", "replay")}
+    assert {r.run_id for r in spark.read.parquet(out + "/metrics").collect()} == {"run-p/k1", "run-p/k2", "run-q/k4"}
 
 
 def test_quota_stream_matches_fold(spark, tmp_path):
