@@ -36,6 +36,9 @@ TOWER = """#1=IFCBUILDINGSTOREY('t5',$,'Fifth',$,$,$,$,$,.ELEMENT.,17.5);
 #8=IFCRELDEFINESBYPROPERTIES('g4',$,$,$,(#61),#9);
 #9=IFCELEMENTQUANTITY('g5',$,'Qto',$,$,(#11,#10));
 #10=IFCQUANTITYAREA('NetFloorArea',$,$,63.25,$);
+#12=IFCRELDEFINESBYPROPERTIES('g6',$,$,$,(#1),#13);
+#13=IFCELEMENTQUANTITY('g7',$,'Qto',$,$,(#14));
+#14=IFCQUANTITYAREA('GrossFloorArea',$,$,410.,$);
 #11=IFCQUANTITYAREA('GrossFloorArea',$,$,70.,$);
 """
 SHED = """#11=IFCDOORTYPE('sliding',$,'Sliding',$,$,$,$,$,$,$,.DOOR.,.Z.,.F.,$);
@@ -73,6 +76,7 @@ def test_ifc_files(spark, tmp_path):
     assert door["ifc:door:front"].width_m == 2.4 == door["ifc:door:back"].width_m
     diag = {r.model_id.split("/")[-1]: r for r in ifc.ifc_diagnostics(e).collect()}
     assert (diag["tower.ifc"].direct_boundaries, diag["tower.ifc"].opening_boundaries) == (0, 2)
+    assert (diag["tower.ifc"].area_quantities, diag["annex.ifc"].area_properties) == (2, 2)  # the storey's own area counts too
     t = diag["shed.ifc"]
     assert (t.width_types, t.inferred_door_storeys, t.unassigned_spaces, t.unassigned_doors, t.assumed) == (2, 1, 1, 1, True)
     assert {r.name for r in levels.collect()} == {"Erdgeschoss", "Fifth", "Yard level", "Unassigned IFC storey"}
