@@ -15,7 +15,7 @@ import numpy as np
 
 from modelgauge.llm.common import local_path
 
-MEMO_LIMIT = 400_000
+MEMO_LIMIT = 600_000
 LONG_PART = 64
 MARKS = string.punctuation
 
@@ -31,7 +31,7 @@ class ChunkTokenizer:
         #: Whether white space takes part in tokens (byte-level models) or is dropped between them.
         self.spaced = spec["pre_tokenizer"]["type"] == "ByteLevel"
         self.memo: dict[str, bytes] = {} if self.spaced else {"": b""}
-        self.tails: dict[str, bytes | None] = {"": b""}
+        self.tails: dict[str, bytes] = {"": b""}
 
     def plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=np.uint32).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
@@ -66,22 +66,24 @@ class ChunkTokenizer:
 
     def look_up(self, parts: list[str]) -> dict[str, bytes | None]:
         """Ids of new parts; None where the text must be encoded whole. Letters with ASCII punctuation behind them are two pre-tokens."""
-        found: dict[str, bytes | None] = {}
-        ends = [(p, p.rstrip(MARKS)) for p in parts]
-        letters = [(p, core) for p, core in ends if core.isalpha() and core[-1].lower().isalpha()]  # a lower-cased letter may end in a mark
-        memo, tails = self.memo, self.tails
-        cores = sorted({core for _, core in letters if core not in memo})
+        memo, tails, plain_parts, rest = self.memo, self.tails, [], []
+        for p in parts:
+            core = p if p.isalpha() else p.rstrip(MARKS)
+            if core.isascii() and core.isalpha() or core.isalpha() and core[-1].lower().isalpha():  # a lower-cased letter may end in a mark
+                plain_parts.append((p, core, p[len(core) :]))
+            else:
+                rest.append(p)
+        cores = list({core for _, core, _ in plain_parts} - memo.keys())
         known: dict[str, bytes] = {}
         for i in range(0, len(cores), 2000):
             some = cores[i : i + 2000]
             known.update(zip(some, self.words(some), strict=True))
-        for p, core in letters:
-            tail = p[len(core) :]
-            if tail not in tails:
-                tails[tail] = self.plain([tail])[0] if len(tails) < MEMO_LIMIT else None
-            behind = tails[tail]
-            found[p] = (known.get(core) or memo[core]) + (self.plain([tail])[0] if behind is None else behind)
-        rest = [p for p in parts if p not in found]
+        new = list({tail for _, _, tail in plain_parts} - tails.keys())
+        if len(tails) + len(new) > MEMO_LIMIT:
+            tails = {"": b""}
+            new = list({tail for _, _, tail in plain_parts if tail})
+        tails.update(zip(new, self.plain(new), strict=True))
+        found: dict[str, bytes | None] = {p: (known[core] if core in known else memo[core]) + tails[tail] for p, core, tail in plain_parts}
         sources = [self.source(p) for p in rest]
         got = iter(self.plain([s for s in sources if s is not None]))
         found.update((p, None if s is None else next(got)) for p, s in zip(rest, sources, strict=True))
@@ -94,15 +96,16 @@ class ChunkTokenizer:
         for text in texts:
             parts = self.parts(text) if text else []
             ids = list(map(get, parts))
-            miss = [(i, parts[i]) for i, v in enumerate(ids) if v is None]
-            new.update(p for _, p in miss)
+            miss = [i for i, v in enumerate(ids) if v is None]
+            lack = [parts[i] for i in miss]
+            new.update(lack)
             rows.append(ids)
-            holes.append(miss)
+            holes.append((miss, lack))
         extra = self.look_up(list(new))
         out: list[bytes] = []
-        for text, ids, miss in zip(texts, rows, holes, strict=True):
-            for i, p in miss:
-                ids[i] = extra[p]
+        for text, ids, (miss, lack) in zip(texts, rows, holes, strict=True):
+            for i, v in zip(miss, map(extra.__getitem__, lack), strict=True):
+                ids[i] = v
             out.append(self.plain([text])[0] if miss and None in ids else b"".join(ids))
         if len(self.memo) + len(extra) <= MEMO_LIMIT:
             self.memo.update((p, v) for p, v in extra.items() if v is not None and len(p) <= LONG_PART)

@@ -99,7 +99,7 @@ def _pieces(path: str, end_id: int, size: int, keep: list[str], with_ids: bool)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, stop = tokenizer(path), np.uint32(end_id).tobytes()
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 8 << 20):
                 row, piece, start, length, crc, ids = [], [], [], [], [], []
                 for k, body in enumerate(tok.encode(batch.column("text").to_pylist())):
                     body += stop
