@@ -30,8 +30,10 @@ from pyspark.sql import functions as F
 from modelgauge.llm.common import RollingDigest, extended, mix, slices, stored, table_of_bytes, text_bytes
 
 WINDOW = 400
-#: Groups of more distinct surroundings than this compare windows by an aggregation over all tasks.
-TASK_GROUP = 20_000
+#: Groups of more distinct surroundings than this compare windows by an aggregation over all tasks; a smaller one is held in a task (about 1.5 KB
+#: for each, as windows are compared for OFFSETS offsets at a time).
+TASK_GROUP = 100_000
+OFFSETS = 20
 _TABLE = table_of_bytes(9)
 _SPANS = "array<struct<begin:long,end:long>>"
 
@@ -141,16 +143,19 @@ def _surroundings(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     return run
 
 
-def _window_digests(bodies: list[bytes], left: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Digest of the window that begins d bytes before the anchor, for every surrounding (row) and d (column), and which exist."""
+def _window_digests(bodies: list[bytes], left: np.ndarray, window: int, offsets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Digest of the window that begins d bytes before the anchor, for every surrounding (row) and d (column), and which exist; so many
+    offsets d at a time."""
     data = np.frombuffer(b"".join(bodies), dtype=np.uint8)
+    digest = RollingDigest(data, _TABLE)
     sizes = np.array([len(b) for b in bodies], dtype=np.int64)
     base = np.cumsum(sizes) - sizes
-    back = np.arange(window - window // 2 + 1)
-    begin = (left[:, None] - back) + base[:, None]
-    there = (back <= left[:, None]) & (left[:, None] - back + window <= sizes[:, None])
-    begin = np.where(there, begin, 0)
-    return RollingDigest(data, _TABLE).of(begin, np.minimum(begin + window, len(data))), there
+    last = window - window // 2 + 1
+    for first in range(0, last, offsets):
+        back = np.arange(first, min(last, first + offsets))
+        there = (back <= left[:, None]) & (left[:, None] - back + window <= sizes[:, None])
+        begin = np.where(there, left[:, None] - back + base[:, None], 0)
+        yield digest.of(begin, np.minimum(begin + window, len(data))), there
 
 
 def _shared(digests: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,7 +177,7 @@ def _shared(digests: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def repeated(bodies: list[bytes], left: np.ndarray, window: int) -> np.ndarray:
     """Which windows over the anchors of one group occur at the same offset in another surrounding."""
-    return _shared(*_window_digests(bodies, left, window))[0]
+    return np.hstack([_shared(*part)[0] for part in _window_digests(bodies, left, window, OFFSETS if len(bodies) > 1000 else window)])
 
 
 def runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -209,7 +214,7 @@ def _window_rows(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
         for whole in batches:
             for begin in range(0, whole.num_rows, 1000):
                 b = whole.slice(begin, 1000)
-                digests, there = _window_digests(b.column("bytes").to_pylist(), np.asarray(b.column("left")).astype(np.int64), window)
+                (digests, there), = _window_digests(b.column("bytes").to_pylist(), np.asarray(b.column("left")).astype(np.int64), window, window)
                 row, back = np.nonzero(there)
                 w = mix(digests[row, back] ^ back.astype(np.uint64)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(w), b.column("f").take(pa.array(row)), b.column("n").take(pa.array(row)), pa.array(back, pa.int32())], ["w", "f", "n", "lo"])
@@ -272,7 +277,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep: tuple[str, ...]
     some = small.mapInArrow(_last_digit(window), "f long, lo int, hi int")
     large = around.where(F.col("m") > TASK_GROUP).dropDuplicates(["f"]).mapInArrow(_window_rows(window), "w long, f long, n long, lo int")
     twice = large.groupBy("w").count().where("count > 1").select("w")
-    more = large.where("n = 1").join(twice, "w").select("f", "lo", F.col("lo").alias("hi"))
+    more = large.where("n = 1").join(twice, "w").groupBy("f").agg(F.array_sort(F.collect_set("lo")).alias("d"))
+    more = more.selectExpr("f", "filter(d, (x, i) -> i = 0 or get(d, i - 1) < x - 1) as lo", "filter(d, (x, i) -> i = size(d) - 1 or get(d, i + 1) > x + 1) as hi")
+    more = more.select("f", F.inline(F.arrays_zip("lo", "hi")))
     full = kinds.where("n > 1").select("f", F.lit(-1).alias("lo"), F.lit(-1).alias("hi"))
     ranges = stored(full.union(some).union(more), "ranges")
 
