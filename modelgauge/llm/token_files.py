@@ -13,8 +13,9 @@ Null text counts as empty: such a document is its end id alone. Equal rows are s
 
 from __future__ import annotations
 
+import functools
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -120,7 +121,7 @@ def read(spark_read, path: str) -> DataFrame:
     return spark_read.schema(BLOCKS).parquet(path).mapInArrow(_read, "file int, doc_id long, position int, start int, ids binary")
 
 
-def _times(matrix: list[int], vector: int) -> int:
+def _times(matrix: Sequence[int], vector: int) -> int:
     total, i = 0, 0
     while vector:
         if vector & 1:
@@ -129,16 +130,23 @@ def _times(matrix: list[int], vector: int) -> int:
     return total
 
 
-def crc_joined(first: int, second: int, size: int) -> int:
-    """CRC-32 of two byte strings end to end from the CRCs of both and the size of the second."""
-    shift = [0xEDB88320, *(1 << i for i in range(31))]  # one zero bit behind the first
+@functools.lru_cache(maxsize=4096)
+def _zeros(size: int) -> tuple[int, ...]:
+    """Matrix over GF(2) that carries a CRC-32 over `size` zero bytes."""
+    shift = [0xEDB88320, *(1 << i for i in range(31))]  # one zero bit
     for _ in range(3):
         shift = [_times(shift, x) for x in shift]  # eight: a zero byte
+    total = [1 << i for i in range(32)]
     while size:
         if size & 1:
-            first = _times(shift, first)
+            total = [_times(shift, x) for x in total]
         shift, size = [_times(shift, x) for x in shift], size >> 1
-    return first ^ second
+    return tuple(total)
+
+
+def crc_joined(first: int, second: int, size: int) -> int:
+    """CRC-32 of two byte strings end to end from the CRCs of both and the size of the second."""
+    return _times(_zeros(size), first) ^ second
 
 
 def _whole_crc(parts: pd.Series) -> pd.Series:
