@@ -16,19 +16,21 @@ the id; each bucket also gets the first documents of the following one. Document
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from modelgauge.llm.common import RollingDigest, mix, slices, table_of_bytes, text_bytes
 
 SPAN = 7
 CUTS = 64
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 5_000
 MOST_BUCKETS = 5_000
 _TABLE = table_of_bytes(3)
 _PAIRS = np.array([a + b for a in ALPHABET for b in ALPHABET])
@@ -138,14 +140,23 @@ def _order() -> list[Column]:
     return [F.desc_nulls_last("doc_id"), F.asc_nulls_first("text")]
 
 
+def _bucket(cuts: list[int]) -> Callable[[str], Column]:
+    """Number of an id's bucket in reading order: 0 has the largest ids, the last one the rows without an id."""
+    table = np.array(cuts, dtype=np.float64)
+
+    def number(ids: pd.Series) -> pd.Series:
+        known = len(table) - np.searchsorted(table, ids.to_numpy(dtype=np.float64, na_value=np.nan), side="left")
+        return pd.Series(np.where(ids.isna(), len(table) + 1, known).astype(np.int32))
+
+    return pandas_udf(number, "int")
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text and next_text of every row of `docs` in falling doc_id order, the first following the last."""
     n = docs.count()
     count = max(1, min(MOST_BUCKETS, n // BUCKET_ROWS))
     cuts = sorted({int(x) for x in docs.approxQuantile("doc_id", [i / count for i in range(1, count)], 0.1 / count)}) if count > 1 else []
-    # buckets in reading order: 0 has the largest ids, the last one the rows without an id
-    number = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.lit(len(cuts)) - sum((F.when(F.col("doc_id") > c, 1).otherwise(0) for c in cuts), F.lit(0)))
-    rows = docs.select("doc_id", "text").withColumn("bucket", number.cast("int"))
+    rows = docs.select("doc_id", "text").withColumn("bucket", _bucket(cuts)("doc_id"))
     heads = {r["bucket"]: r["head"] for r in rows.groupBy("bucket").agg(F.max("doc_id").alias("head")).collect()}  # at most MOST_BUCKETS + 2
     used = sorted(heads)
     before = {b: used[i - 1] for i, b in enumerate(used)}  # the first bucket follows the last
