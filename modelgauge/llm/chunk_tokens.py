@@ -1,14 +1,15 @@
 """Exact token ids of whole texts from a public tokenizer file, with the ids of repeated parts remembered.
 
 Texts are cut at single spaces and line feeds, where neither normalisation nor a pre-token can cross; the library encodes each distinct
-part once and the ids are joined. Where a cut would not be safe (white space next to white space or at an end), it encodes the
-whole text. The memory of parts is bounded; parts beyond the bound are encoded once per batch.
+part once and the ids are joined. Where a cut would not be safe (white space next to white space or at an end, a part that holds one of
+the file's added tokens), it encodes the whole text. The memory of parts is bounded; parts beyond the bound are encoded once per batch.
 """
 
 from __future__ import annotations
 
 import functools
 import json
+import re
 import string
 
 import numpy as np
@@ -25,11 +26,14 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(local_path(path))
-        self.tok.encode_special_tokens = True
         with open(local_path(path), encoding="utf-8") as f:
             spec = json.load(f)
         #: Whether white space takes part in tokens (byte-level models) or is dropped between them.
         self.spaced = spec["pre_tokenizer"]["type"] == "ByteLevel"
+        contents = [t["content"] for t in spec["added_tokens"]]
+        assert not any(c.isspace() for t in contents for c in t), "added tokens must lie inside one part"
+        #: Finds every part that may hold an added token, in any case since normalisation may change it.
+        self.added = re.compile("|".join(map(re.escape, contents)) or r"(?!)", re.IGNORECASE)
         self.memo: dict[str, bytes] = {} if self.spaced else {"": b""}
         self.tails: dict[str, bytes] = {"": b""}
 
@@ -69,7 +73,9 @@ class ChunkTokenizer:
         memo, tails, plain_parts, rest = self.memo, self.tails, [], []
         for p in parts:
             core = p if p.isalpha() else p.rstrip(MARKS)
-            if core.isascii() and core.isalpha() or core.isalpha() and core[-1].lower().isalpha():  # a lower-cased letter may end in a mark
+            if self.added.search(p):
+                rest.append(p)
+            elif core.isascii() and core.isalpha() or core.isalpha() and core[-1].lower().isalpha():  # a lower-cased letter may end in a mark
                 plain_parts.append((p, core, p[len(core) :]))
             else:
                 rest.append(p)
@@ -84,7 +90,7 @@ class ChunkTokenizer:
             new = list({tail for _, _, tail in plain_parts if tail})
         tails.update(zip(new, self.plain(new), strict=True))
         found: dict[str, bytes | None] = {p: (known[core] if core in known else memo[core]) + tails[tail] for p, core, tail in plain_parts}
-        sources = [self.source(p) for p in rest]
+        sources = [None if self.added.search(p) else self.source(p) for p in rest]
         got = iter(self.plain([s for s in sources if s is not None]))
         found.update((p, None if s is None else next(got)) for p, s in zip(rest, sources, strict=True))
         return found

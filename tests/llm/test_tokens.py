@@ -81,6 +81,19 @@ def test_parts_match_the_library(path):
         assert [np.frombuffer(g, np.uint32).tolist() for g in got] == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("path", [WORDS, BYTES])
+def test_added_tokens_match_the_library(path):
+    """The library with its defaults: an added token in a text is one id."""
+    own, lib = ChunkTokenizer(path), Tokenizer.from_file(path)
+    rng = random.Random(3)
+    bits = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext|", "a", "b.", " ", "\n", "  ", "é", "!!"]
+    texts = ["a b <|endoftext|> c", "x<|endoftext|>", "<|startoftext|>y", "word!<|endoftext|>!", *ODD, *("".join(rng.choices(bits, k=rng.randint(1, 9))) for _ in range(2000))]
+    for got in (own.encode(texts), own.encode(texts)):
+        assert [np.frombuffer(g, np.uint32).tolist() for g in got] == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+    last = 50256 if path == BYTES else 49407
+    assert last in np.frombuffer(own.encode(["a b <|endoftext|> c"])[0], np.uint32)
+
+
 def library_ids(path, text, end=2):
     lib = Tokenizer.from_file(path)
     lib.encode_special_tokens = True
