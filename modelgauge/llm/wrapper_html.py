@@ -16,9 +16,12 @@ markup (unclosed elements, a page cut off in the middle of a tag) is read as far
 from __future__ import annotations
 
 import html
+import math
 import re
+import sys
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +32,6 @@ SALTS = 32
 #: A node is template if at least this share of the host's pages align with it and have its text.
 SHARE = 0.8
 LEAST_PAGES = 3
-#: Children beyond this many on either side are aligned greedily from the left.
-WIDE = 60
 
 # Fixed values of the HTML format and of common page markup.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -48,16 +49,17 @@ ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|[^<]+|<", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))  # deeply nested pages
 _HOST = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
 class Node:
-    __slots__ = ("name", "kind", "children", "index")
+    __slots__ = ("name", "kind", "children", "index", "shape")
 
     def __init__(self, name: str, kind: str):
         self.name, self.kind = name, kind
         self.children: list[Node | str] = []
-        self.index = -1
+        self.index = self.shape = -1
 
     def nodes(self) -> list[Node]:
         return [c for c in self.children if isinstance(c, Node)]
@@ -129,42 +131,121 @@ def _kind(name: str, attributes: str) -> str:
     return "main" if name in ("article", "main") or role in ("main", "article") else ""
 
 
-def match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
+class Shapes:
+    """Numbers for the shapes of subtrees (names only), and the largest alignment of any two shapes."""
+
+    def __init__(self) -> None:
+        self.number: dict[tuple, int] = {}
+        self.parts: list[tuple[str, tuple[int, ...]]] = []
+        self.size: list[int] = []
+        self.best: dict[tuple[int, int], int] = {}
+
+    def mark(self, root: Node) -> None:
+        """Set the shape of every node of a tree."""
+        order = [root]
+        for node in order:
+            order.extend(node.nodes())
+        for node in reversed(order):
+            key = (node.name, tuple(c.shape for c in node.nodes()))
+            if key not in self.number:
+                self.number[key] = len(self.parts)
+                self.parts.append(key)
+                self.size.append(1 + sum(self.size[c] for c in key[1]))
+            node.shape = self.number[key]
+
+    def weight(self, a: int, b: int) -> int:
+        """Nodes in the largest alignment of two shapes; 0 if their names differ."""
+        if a == b:
+            return self.size[a]
+        (name, x), (other, y) = self.parts[a], self.parts[b]
+        if name != other:
+            return 0
+        found = self.best.get((a, b))
+        if found is None:
+            front, back = ends(x, y)
+            found = 1 + sum(self.size[c] for c in x[:front]) + sum(self.size[c] for c in x[len(x) - back :])
+            x, y = x[front : len(x) - back], y[front : len(y) - back]
+            if x and y:
+                row = np.zeros(len(y) + 1, np.int64)
+                for w in self.rows(x, y):
+                    row = following(row, w)
+                found += int(row[-1])
+            self.best[a, b] = found
+        return found
+
+    def rows(self, x: tuple[int, ...], y: tuple[int, ...]) -> Iterator[np.ndarray]:
+        """For each shape of x, its weights with all of y."""
+        kinds, at = np.unique(np.array(y), return_inverse=True)
+        known: dict[int, np.ndarray] = {}
+        for p in x:
+            if p not in known:
+                known[p] = np.array([self.weight(p, int(k)) for k in kinds], np.int64)
+            yield known[p][at]
+
+
+def ends(x: tuple[int, ...], y: tuple[int, ...]) -> tuple[int, int]:
+    """How many equal shapes two lists share at the front and, behind those, at the back: some largest alignment always pairs them."""
+    least = min(len(x), len(y))
+    front = next((i for i in range(least) if x[i] != y[i]), least)
+    back = next((i for i in range(least - front) if x[-1 - i] != y[-1 - i]), least - front)
+    return front, back
+
+
+def following(row: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The next row of the alignment table."""
+    out = row.copy()
+    np.maximum(row[1:], row[:-1] + w, out=out[1:])
+    return np.maximum.accumulate(out)
+
+
+def aligned(x: tuple[int, ...], y: tuple[int, ...], shapes: Shapes) -> list[tuple[int, int]]:
+    """Places of the pairs in the largest alignment of two lists of shapes, in order.
+
+    Every step-th row of the table is kept and the rows between are made again on the way back, so memory grows with the width times
+    the root of the length, and the pairs are those of the full table.
+    """
+    front, back = ends(x, y)
+    pairs = [(i, i) for i in range(front)]
+    tail = [(len(x) - i, len(y) - i) for i in range(back, 0, -1)]
+    x, y = x[front : len(x) - back], y[front : len(y) - back]
+    middle = []
+    if x and y:
+        step = max(1, math.isqrt(len(x)))
+        kept, row = [], np.zeros(len(y) + 1, np.int64)
+        for i, w in enumerate(shapes.rows(x, y)):
+            if i % step == 0:
+                kept.append(row)
+            row = following(row, w)
+        j = len(y)
+        for block in range(len(kept) - 1, -1, -1):
+            part = x[block * step : (block + 1) * step]
+            table, weights = [kept[block]], list(shapes.rows(part, y))
+            for w in weights:
+                table.append(following(table[-1], w))
+            i = len(part)
+            while i and j:
+                if table[i][j] == table[i - 1][j]:
+                    i -= 1
+                elif table[i][j] == table[i][j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    middle.append((front + block * step + i, front + j))
+    return pairs + middle[::-1] + tail
+
+
+def match(a: Node, b: Node, shapes: Shapes | None = None) -> tuple[int, list[tuple[Node, Node]]]:
     """Simple tree matching of two nodes with one name: size of the largest alignment, and its pairs."""
+    if shapes is None:
+        shapes = Shapes()
+        shapes.mark(a)
+        shapes.mark(b)
     pairs = [(a, b)]
-    total = 1
-    x, y = a.nodes(), b.nodes()
-    while x and y and x[0].name == y[0].name and not (x[0].nodes() or y[0].nodes()):  # equal leaves at the front always align
-        pairs.append((x[0], y[0]))
-        total, x, y = total + 1, x[1:], y[1:]
-    if len(x) > WIDE or len(y) > WIDE:
-        at = 0
-        for p in x:
-            hit = next((j for j in range(at, len(y)) if y[j].name == p.name), None)
-            if hit is not None:
-                n, more = match(p, y[hit])
-                total, at = total + n, hit + 1
-                pairs += more
-        return total, pairs
-    inner: dict[tuple[int, int], tuple[int, list]] = {}
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(1, len(x) + 1):
-        for j in range(1, len(y) + 1):
-            w = 0
-            if x[i - 1].name == y[j - 1].name:
-                inner[i, j] = found = match(x[i - 1], y[j - 1])
-                w = found[0]
-            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + w)
-    i, j = len(x), len(y)
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            pairs += inner[i, j][1]
-            i, j = i - 1, j - 1
-    return total + best[-1][-1], pairs
+    for s, p in pairs:
+        x, y = s.nodes(), p.nodes()
+        if x and y:
+            pairs += [(x[i], y[j]) for i, j in aligned(tuple(n.shape for n in x), tuple(n.shape for n in y), shapes)]
+    return shapes.weight(a.shape, b.shape), pairs
 
 
 def outside(root: Node) -> Node:

@@ -161,6 +161,29 @@ def test_tree_matching():
     assert size == 4 and len(pairs) == 4
 
 
+def test_tree_matching_of_wide_nodes():
+    """A menu whose only like-named partner stands behind the footer must not consume the footer, however many children there are."""
+
+    def largest(a, b):
+        x, y = a.nodes(), b.nodes()
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, p in enumerate(x):
+            for j, q in enumerate(y):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + (largest(p, q) if p.name == q.name else 0))
+        return 1 + best[-1][-1]
+
+    a = wrapper_html.parse("<body><ul>menu</ul>" + "<p>x</p><div><i>d</i></div>" * 40 + "<footer>foot</footer></body>")
+    b = wrapper_html.parse("<body>" + "<div><b>e</b></div><p>y</p>" * 40 + "<footer>foot</footer><ul>more</ul></body>")
+    size, pairs = wrapper_html.match(a, b)
+    assert size == len(pairs) == largest(a, b)
+    assert [p.own_text() for s, p in pairs if s.name == "footer"] == ["foot"]
+    rng = random.Random(8)
+    for n in (1, 3, 20, 61, 150):
+        x, y = (wrapper_html.parse("".join(rng.choice(["<p>t</p>", "<div><p>t</p></div>", "<ul><li>a<li>b</ul>", "<div><i>c</i></div>"]) for _ in range(n))) for _ in range(2))
+        size, pairs = wrapper_html.match(x, y)
+        assert size == len(pairs) == largest(x, y)
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").withColumns({"others": F.lit(1), "score": F.lit("s"), "node": F.lit(2.5)})
     found = docs
