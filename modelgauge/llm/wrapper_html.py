@@ -1,16 +1,16 @@
 """Main text of web pages by wrapper induction.
 
 The pages of a host are aligned with the host's seed page (its smallest page_id) by simple tree matching: two nodes match if their
-names agree, and the children of matched nodes are aligned in order for the largest number of matched nodes. Over all pages of the
-host, each seed node is counted with how many pages it aligns and in how many its own text is the same. Nodes that nearly all pages share with
-the same text are template, the others are slots. A page's text is taken from its slots.
+names agree, and the children of matched nodes are aligned in order for the largest number of matched nodes. Over all different pages
+of the host, each seed node is counted with how many pages align with it and have its text. Nodes that nearly all pages share with
+the same text are template, the others are slots. A page's text is taken from its slots, inside and outside of article elements.
 
-What a page itself says goes first: blocks that are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or
-reader comments by their element, role or class are left out everywhere; if there is an article (or main) element, the text is that
-element's whole remaining content, and the template only decides outside of one, because articles repeat lines too.
+What a page itself marks is a supplement: blocks that are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or
+reader comments by their element, role or class are left out everywhere. On a host with fewer than LEAST_PAGES different pages, and
+on a page that the template would leave without any text, the text is that of the article (or main) element, or else of the whole page.
 
-Null or empty html gives empty text; a page alone on its host has no template; a null or odd url belongs to the host ''. Broken
-markup (unclosed elements, a page cut off in the middle of a tag) is read as far as it goes. Equal pages are counted each.
+Null or empty html gives empty text; a null or odd url belongs to the host ''. Broken markup (unclosed elements, a page cut off in the
+middle of a tag) is read as far as it goes. Equal pages of a host count once, because a copy does not tell template from content.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ SALTS = 32
 #: A node is template if at least this share of the host's pages align with it and have its text.
 SHARE = 0.8
 LEAST_PAGES = 3
+#: Pairs of shapes remembered before a task starts afresh.
+SHAPES_LIMIT = 200_000
 
 # Fixed values of the HTML format and of common page markup.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -248,17 +250,21 @@ def match(a: Node, b: Node, shapes: Shapes | None = None) -> tuple[int, list[tup
     return shapes.weight(a.shape, b.shape), pairs
 
 
-def outside(root: Node) -> Node:
-    """Copy of a tree without what decides itself: dropped blocks and the content of article elements stay as bare nodes."""
+def undropped(root: Node) -> Node:
+    """Copy of a tree in which dropped blocks stay as bare nodes."""
     copy = Node(root.name, root.kind)
     copy.index = root.index
-    if root.kind not in ("drop", "main"):
-        copy.children = [outside(c) if isinstance(c, Node) else c for c in root.children]
+    if root.kind != "drop":
+        copy.children = [undropped(c) if isinstance(c, Node) else c for c in root.children]
     return copy
 
 
-def main_text(root: Node, template: frozenset[int]) -> str:
-    """Text of the content nodes, one space between blocks."""
+def main_text(root: Node, template: frozenset[int] | None) -> str:
+    """Text of the content nodes, one space between blocks: what is not template, or what the page marks if that is nothing."""
+    if template is not None:
+        found = _written([root], template, False)
+        if found:
+            return found
     mains: list[Node] = []
 
     def seek(node: Node) -> None:
@@ -272,10 +278,14 @@ def main_text(root: Node, template: frozenset[int]) -> str:
                 seek(c)
 
     seek(root)
+    return _written(mains, frozenset(), True) if mains else _written([root], frozenset(), False)
+
+
+def _written(tops: list[Node], template: frozenset[int], marked: bool) -> str:
     out: list[str] = []
 
     def write(node: Node, inside: bool) -> None:
-        own = inside or node.index not in template
+        own = node.index not in template
         for c in node.children:
             if isinstance(c, str):
                 if own:
@@ -285,14 +295,12 @@ def main_text(root: Node, template: frozenset[int]) -> str:
             else:
                 edge = c.name not in INLINE
                 out.append(" " if edge else "")
-                write(c, inside)
+                write(c, inside or c.kind == "main")
                 out.append(" " if edge else "")
 
-    for m in mains:
+    for top in tops:
         out.append(" ")
-        write(m, True)
-    if not mains:
-        write(root, False)
+        write(top, marked)
     return " ".join("".join(out).split())
 
 
@@ -300,39 +308,41 @@ def _holds_article(node: Node) -> bool:
     return node.kind != "drop" and (node.name == "article" or any(map(_holds_article, node.nodes())))
 
 
-def has_article(root: Node) -> bool:
-    return root.kind == "main" or any(has_article(c) for c in root.nodes() if c.kind != "drop")
+class Seeds:
+    """The seed tree of the host at hand, with the alignments of shapes found so far."""
+
+    def __init__(self) -> None:
+        self.host: str | None = None
+
+    def shared(self, host: str, seed: str, page: Node) -> list[tuple[Node, Node]]:
+        """Pairs of aligned nodes of the seed and of a page that have the same text."""
+        if self.host != host or len(self.shapes.best) > SHAPES_LIMIT:
+            self.host, self.shapes, self.tree = host, Shapes(), undropped(parse(seed))
+            self.shapes.mark(self.tree)
+        page = undropped(page)
+        self.shapes.mark(page)
+        return [(s, p) for s, p in match(self.tree, page, self.shapes)[1] if s.index >= 0 and (text := s.own_text()) and text == p.own_text()]
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seeds: dict[str, Node] = {}
+    seeds = Seeds()
     for whole in batches:
         for batch in slices(whole, "html", 1 << 20):
-            host, node, same = [], [], []
-            for h, page, seed in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "seed")), strict=True):
-                if h not in seeds:
-                    seeds = {h: outside(parse(seed))}
-                for s, p in match(seeds[h], outside(parse(page)))[1]:
-                    if s.index >= 0:
-                        host.append(h)
-                        node.append(s.index)
-                        same.append(int(s.own_text() == p.own_text()))
-            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(node, pa.int32()), pa.array(same, pa.int32())], ["host", "node", "same"])
+            nodes = [[s.index for s, _ in seeds.shared(h, seed, parse(page))] for h, page, seed in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "seed")), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("copy"), pa.array(nodes, pa.list_(pa.int32()))], ["host", "copy", "nodes"])
 
 
 def _extract(keep: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds: dict[str, Node] = {}
+        seeds = Seeds()
         for whole in batches:
             for batch in slices(whole, "html", 1 << 20):
                 texts = []
                 for h, page, seed, template in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "seed", "template")), strict=True):
-                    root, drop = parse(page), frozenset()
-                    if template and not has_article(root):
-                        if h not in seeds:
-                            seeds = {h: outside(parse(seed))}
+                    root, drop = parse(page), None
+                    if template is not None:
                         wanted = set(template)
-                        drop = frozenset(p.index for s, p in match(seeds[h], outside(root))[1] if s.index in wanted and s.own_text() == p.own_text())
+                        drop = frozenset(p.index for s, p in seeds.shared(h, seed, root) if s.index in wanted) if wanted else frozenset()
                     texts.append(main_text(root, drop))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string())], [*keep, "text"])
 
@@ -344,15 +354,18 @@ def host_of(url: Column) -> Column:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, seed (html) and template array<int> (numbers of the seed's template nodes) of every host of `pages` (host, page_id, html)."""
-    first = pages.where("html IS NOT NULL").groupBy("host").agg(F.min_by("html", F.struct("page_id", "html")).alias("seed"), F.count("*").alias("n"))
-    first = stored(first, "seeds")
-    salted = pages.where("html IS NOT NULL").select("host", "html", F.pmod(F.xxhash64("html", "page_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    """host, seed (html) and template array<int> (numbers of the seed's template nodes; null with too few pages) of every host of `pages` (host, page_id, html)."""
+    full = pages.where("html IS NOT NULL")
+    first = stored(full.groupBy("host").agg(F.min_by("html", F.struct("page_id", "html")).alias("seed")), "seeds")
+    salted = full.select("host", "html", F.xxhash64("html").alias("copy"), F.pmod(F.xxhash64("html", "page_id"), F.lit(SALTS)).cast("int").alias("salt"))
     spread = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    met = salted.join(spread, ["host", "salt"]).select("host", "html", "seed")
-    counts = met.mapInArrow(_aligned, "host string, node int, same int").groupBy("host", "node").agg(F.sum("same").alias("same"))
-    fixed = counts.join(first.select("host", "n"), "host").where((F.col("n") >= LEAST_PAGES) & (F.col("same") >= F.col("n") * SHARE))
-    found = fixed.groupBy("host").agg(F.collect_list("node").alias("template"))
+    met = salted.join(spread, ["host", "salt"]).select("host", "html", "copy", "seed")
+    different = met.mapInArrow(_aligned, "host string, copy long, nodes array<int>").dropDuplicates(["host", "copy"])
+    counts = different.select("host", F.explode(F.concat(F.array(F.lit(-1)), "nodes")).alias("node")).groupBy("host", "node").agg(F.count("*").alias("same"))  # -1 counts the pages
+    pages_of = F.max(F.when(F.col("node") == -1, F.col("same"))).alias("n")
+    host = counts.groupBy("host").agg(pages_of, F.collect_list(F.struct("node", "same")).alias("c"))
+    fixed = F.transform(F.filter("c", lambda x: (x["node"] >= 0) & (x["same"] >= F.col("n") * SHARE)), lambda x: x["node"])
+    found = host.where(F.col("n") >= LEAST_PAGES).select("host", fixed.alias("template"))
     return stored(first.join(found, "host", "left").select("host", "seed", "template"), "templates")
 
 

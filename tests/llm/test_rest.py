@@ -154,6 +154,18 @@ def test_html(spark):
     assert wrapper_html.extract(frame.where("false")).count() == 0
 
 
+def test_template_decides_inside_articles(spark):
+    """Constant notices inside an article go, and text outside of a teaser's article stays, on hosts with enough different pages."""
+    page = "<html><body><div>Site name</div><article><p>Share this page</p><p>Story {n}</p><p>Terms apply</p></article></body></html>"
+    teaser = "<body><div>Site</div><div><p>Long story {n}</p></div><article><h3>Read also</h3></article></body>"
+    rows = [(i, "http://a.example/", page.replace("{n}", str(i))) for i in range(5)] + [(10 + i, "http://b.example/", teaser.replace("{n}", str(i))) for i in range(5)]
+    rows += [(20 + i, "http://c.example/", page.replace("{n}", "9")) for i in range(5)]  # copies do not make a template
+    out = {r["page_id"]: r["text"] for r in wrapper_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [out[i] for i in range(5)] == [f"Story {i}" for i in range(5)]
+    assert [out[10 + i] for i in range(5)] == [f"Long story {i}" for i in range(5)]
+    assert {out[20 + i] for i in range(5)} == {"Share this page Story 9 Terms apply"}
+
+
 def test_tree_matching():
     a = wrapper_html.parse("<div><p>x</p><ul><li>1</li></ul><p>y</p></div>")
     b = wrapper_html.parse("<div><p>x</p><p>y</p><span>z</span></div>")
