@@ -6,7 +6,7 @@ in at most 31 symbols, cut into 16 chunks of 4, differ in at most one symbol in
 symbol left out: all pairs within the signature distance meet under a key. (For J = 0.75 a distance above 31 has probability 1e-5.)
 
 Documents under a key are not paired with each other. Each is compared with the key's hub; links make components, and only then
-members of one key that lie in different components are compared, because a link inside a component changes nothing.
+members of one key that lie in different components are compared, all of them, because a link inside a component changes nothing.
 Links are confirmed on full sets: 100 * intersection >= 75 * union.
 
 Equal texts are one node from the start. Null text, empty text and text without words have an empty set and are linked with nothing.
@@ -28,9 +28,9 @@ from modelgauge.llm.common import RollingDigest, mix, slices, stored, table_of_b
 
 WORDS = 5
 SYMBOLS, CHUNK, CHUNKS = 64, 4, 16
-#: Symbols that make families in the last comparison: a pair of similarity 0.75 misses all of them with probability 2e-4.
-FAMILIES = 6
+#: Members, and bytes of their sets, in a block of a large group.
 FAMILY_BLOCK = 4096
+BLOCK_BYTES = 8 << 20
 _TABLE = table_of_bytes(4)
 _RNG = np.random.default_rng(4)
 _MULTIPLY = _RNG.integers(1 << 62, 1 << 63, SYMBOLS, dtype=np.uint64) | np.uint64(1)
@@ -196,8 +196,10 @@ def near_components(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     links = stored(confirm(_star_pairs(met)), "links")
     placed = met.join(components(links), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    open_ = stored(placed.join(mixed, "key").select("node", "comp").distinct(), "open")
+    digest = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"d{i}") for i in range(2)]
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m"), *digest).where("x <> y")
+    mixed = mixed.groupBy("m", "d0", "d1").agg(F.min("key").alias("key"))  # keys with the same members give the same pairs
+    open_ = stored(placed.join(mixed.select("key"), "key").select("key", "node", "comp"), "open")
     links = links.union(confirm(_cross_pairs(open_, nodes, texts, percent)))
     comp = components(links)
     owned = nodes.select("node", "text_key", "first_id", "n_shingles").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -216,21 +218,20 @@ def _star_pairs(met: DataFrame) -> DataFrame:
 
 
 def _cross_pairs(open_: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that may be similar, from members (node, comp) of keys that hold several components.
+    """Pairs of different components that may be similar, from members (key, node, comp) of keys that hold several components.
 
-    Members sharing one of FAMILIES symbols are a family; a family's overlaps are counted from its postings inside tasks, and only
-    pairs that reach the similarity leave them. Large families are cut into blocks, each pair of blocks being one group.
+    The members of a key are a family; a family's overlaps are counted from its postings inside tasks, and only pairs that reach the
+    similarity leave them. Large families are cut into blocks by count and bytes, each pair of blocks being one group.
     """
-    symbol = F.explode(F.transform(F.sequence(F.lit(0), F.lit(FAMILIES - 1)), lambda i: F.concat(i.cast("string"), F.lit("/"), F.hex(F.substring("signature", i * 2 + 1, 2)))))
-    family = open_.join(nodes.select("node", "signature"), "node").select("node", "comp", symbol.alias("family"))
-    several = family.groupBy("family").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m")).where("x <> y")
-    blocks = F.ceil(F.col("m") / F.lit(FAMILY_BLOCK)).cast("int")
+    family = open_.join(nodes.select("node", "n_shingles"), "node").withColumnRenamed("key", "family")
+    several = family.groupBy("family").agg(F.count("*").alias("m"), F.sum(F.col("n_shingles") * 4).alias("bytes"))
+    blocks = F.ceil(F.greatest(F.col("m") / F.lit(FAMILY_BLOCK), F.col("bytes") / F.lit(BLOCK_BYTES))).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     family = family.join(several.select("family", blocks.alias("blocks")), "family").withColumn("own", own)
     family = family.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     group = F.concat_ws("/", "family", F.least("own", "other"), F.greatest("own", "other"))
     family = family.select("node", "comp", group.alias("grp"))
-    sets = texts.join(open_.select("node"), "node", "left_semi").mapInArrow(_short_sets, "node long, tokens binary")
+    sets = texts.join(open_.select("node").distinct(), "node", "left_semi").mapInArrow(_short_sets, "node long, tokens binary")
     held = family.join(sets, "node").repartition(F.col("grp")).sortWithinPartitions("grp")
     return held.mapInArrow(_family_pairs(percent), "a long, b long").distinct()
 

@@ -64,6 +64,28 @@ def test_op4_components(spark):
     assert sorted((r["doc_id"] is None, r["component_id"] or 0) for r in alone) == [(False, 1), (True, 0), (True, 1)]
 
 
+def test_op4_last_round_compares_all_pairs_of_a_key(spark, monkeypatch):
+    """A pair within the distance is found by the last round alone, whichever symbols it differs in."""
+    import numpy as np
+
+    rng = random.Random(11)
+    while True:
+        a = words(rng, 300).split()
+        b = list(a)
+        for i in range(20, 280, 37):
+            b[i] = words(rng, 1)
+        pair = [" ".join(a), " ".join(b)]
+        x, y = hamming_minhash.signatures(hamming_minhash.shingle_sets(pa.array(pair)))
+        if (x != y).sum() <= 31 and (x[:6] != y[:6]).all():
+            break
+    assert len(np.intersect1d(*hamming_minhash.chunk_keys(np.stack([x, y]))))
+    monkeypatch.setattr(hamming_minhash, "_star_pairs", lambda met: met.sparkSession.createDataFrame([], "a long, b long"))
+    for limit in (hamming_minhash.FAMILY_BLOCK, 1):
+        monkeypatch.setattr(hamming_minhash, "FAMILY_BLOCK", limit)
+        found = hamming_minhash.near_components(frame(spark, [(1, pair[0]), (2, pair[1]), (3, words(rng, 50))])).collect()
+        assert sorted((r["doc_id"], r["component_id"]) for r in found) == [(1, 1), (2, 1), (3, 3)]
+
+
 def test_family_overlaps():
     import numpy as np
 
