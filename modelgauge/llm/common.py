@@ -6,12 +6,13 @@ import hashlib
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 MASK63 = (1 << 63) - 1
@@ -42,6 +43,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], keep: Sequence[str], name: str) -> DataFrame:
+    """Columns `keep` (they hold `keys`) with pos, the place from 0 among the rows of the same `keys` in `order`, and n, the number of those rows.
+
+    One range exchange puts all rows in order, so that a key with any share of the rows spreads over many tasks; places inside a partition
+    are turned into places inside the key by the counts of each (key, partition). A null key is a key. The rows are written once.
+    """
+    along = [*(F.col(k).asc_nulls_first() for k in keys), *order]
+    rows = df.repartitionByRange(*along).sortWithinPartitions(*along).select(*keep, F.monotonically_increasing_id().alias("_at"))
+    rows = stored(rows, name).withColumn("_part", F.shiftrightunsigned("_at", 33))
+    seams = rows.groupBy(*keys, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
+    every = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    earlier = F.coalesce(F.sum("_rows").over(every.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    seams = seams.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_part").alias("_p"), (earlier - F.col("_first")).alias("_shift"), F.sum("_rows").over(every).alias("n"))
+    same = rows["_part"] == seams["_p"]
+    for k in keys:
+        same &= rows[k].eqNullSafe(seams[f"_{k}"])
+    return rows.join(seams, same).select(*keep, (F.col("_at") + F.col("_shift")).alias("pos"), "n")
+
+
 def extended(df: DataFrame, more: str) -> StructType:
     """Schema of `df` followed by the columns of the DDL string `more`."""
     return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])
