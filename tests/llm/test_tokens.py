@@ -74,7 +74,6 @@ def test_op1_rows(spark, pieces):
 @pytest.mark.parametrize("path", [WORDS, BYTES])
 def test_parts_match_the_library(path):
     own, lib = ChunkTokenizer(path), Tokenizer.from_file(path)
-    lib.encode_special_tokens = True
     rng = random.Random(2)
     texts = ODD + ["".join(rng.choice("abİéΣñ  .,-'\n\t<|>中😀09́\x1c") for _ in range(rng.randint(0, 40))) for _ in range(3000)]
     for got in (own.encode(texts), own.encode(texts)):
@@ -96,7 +95,6 @@ def test_added_tokens_match_the_library(path):
 
 def library_ids(path, text, end=2):
     lib = Tokenizer.from_file(path)
-    lib.encode_special_tokens = True
     return np.array([*lib.encode(text or "", add_special_tokens=False).ids, end], np.uint32)
 
 
