@@ -206,14 +206,32 @@ def test_pipeline_stages(spark):
         assert kept == 0
     near = hamming_minhash.near_components(corpus_pipeline.quality(spark, docs, DATA).select("doc_id", "text")).where("kept").select("doc_id")
     assert sorted(r[0] for r in near.collect()) == sorted(r[0] for r in found.select("doc_id").collect())
-    left = suffix_radix.digests(suffix_radix.remove_repeats(corpus_pipeline.near_duplicates(spark, corpus_pipeline.quality(spark, docs, DATA), DATA))).agg(F.sum(F.col("n_bytes") - F.col("n_removed"))).first()[0]
-    assert found.agg(F.sum(F.octet_length("text"))).first()[0] <= left
+    texts = [r["text"] for r in found.collect()]
+    seen = set()
+    for text in texts:  # no run of 50 words stands twice any more, but where a cut has joined what was apart
+        w = text.split()
+        runs = [tuple(w[i : i + 50]) for i in range(len(w) - 49)]
+        assert not seen & set(runs)
+        seen |= set(runs)
     assert found.where("n_chars <> length(text)").count() == 0
     placed = corpus_pipeline.STAGES[-1][1](spark, found, DATA)
     assert placed.select("doc_id").distinct().count() == found.count()
     assert placed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
 
 
+def test_pipeline_cuts_planted_passages(spark):
+    """Passages of exactly 50 and of 51 short words (under 400 bytes) that stand in several documents go, those of 49 stay, clean documents too."""
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(1, 5)))
+    plant = {n: " ".join(word() for _ in range(n)) for n in (49, 50, 51)}
+    assert max(map(len, plant.values())) < 400
+    own = {i: (" ".join(word() for _ in range(60)), " ".join(word() for _ in range(30))) for i in range(12)}
+    rows = [(i, f"{a} {plant[(49, 50, 51)[i % 3]]}\n{b}" if i < 9 else f"{a} {b}", "en", "s", 0) for i, (a, b) in own.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_passages(spark, docs, DATA).collect()}
+    assert {i: t.split() for i, t in out.items()} == {i: (rows[i][1] if i % 3 == 0 or i > 8 else f"{a} {b}").split() for i, (a, b) in own.items()}
+
+
 @pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES])
 def test_pipeline_stage_on_odd_rows(spark, stage):
     rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "a b c d e f", "en", "s", 11), (3, "a b c d e f", None, "s", 11), (3, "a b c d e f", "en", "s", 11)]
@@ -225,3 +243,110 @@ def test_pipeline_stage_on_odd_rows(spark, stage):
 def test_run_matches_its_stages(spark):
     out = corpus_pipeline.run(spark, DATA)
     assert {"doc_id", "sequence_id", "offset"} <= set(out.columns) and out.count() > 100
+
+
+def test_class_words_are_weak_evidence(spark):
+    """Whole words of a class only, and never against the article or most of the page's text; a page nested 100,000 deep returns."""
+    body = {
+        1: '<div class="no-sidebar content"><p>A story of some length</p></div><div>x</div>',
+        2: '<div class="post side-by-side"><p>B story</p></div>', 3: '<div id="related-work"><p>C story</p></div>', 4: '<p class="social-history">D story</p>',
+        5: '<div class="related"><article><p>E story</p></article></div>', 6: '<div class="notice"><p>F is nearly the whole page</p></div><p>G</p>', 7: '<p>H is nearly the whole page</p><div class="big sidebar">I</div>',
+        8: '<div>J<div class="share"><b>K</b></div>L</div><div class="x y">M M M M</div>', 9: "<div>" * 100_000 + "N" + "</div>" * 100_000, 10: "<b><p>" * 50_000 + "O", 11: "<ul>" + "<li><b>" * 50_000 + "P</i></u>" * 3,
+    }
+    want = {1: "A story of some length x", 2: "B story", 3: "C story", 4: "D story", 5: "E story", 6: "F is nearly the whole page G", 7: "H is nearly the whole page", 8: "J L M M M M", 9: "N", 10: "O", 11: "PPP"}
+    rows = [(i, f"http://h{i}.example/", f"<html><body>{t}</body></html>") for i, t in body.items()]
+    rows += [(100 + i, "http://deep.example/", "<html><body>" + "<div>" * (30_000 + i) + f"text {i}" + "<i>" * 20_000) for i in range(3)]
+    out = {r["page_id"]: r["text"] for r in wrapper_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == want | {100 + i: f"text {i}" for i in range(3)}
+
+
+def plain_blocks(page):
+    """(path, text) of the blocks of a page, by a parser of another make."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.path, self.out, self.kept = [], [], {}
+
+        def handle_starttag(self, tag, attrs):
+            if tag not in wrapper_html.INLINE and tag not in wrapper_html.VOID:
+                self.path.append(tag)
+                self.out.append([tuple(self.path), []])
+                self.kept[len(self.path)] = len(self.out) - 1
+
+        def handle_endtag(self, tag):
+            if tag not in wrapper_html.INLINE and tag in self.path:
+                del self.path[len(self.path) - 1 - self.path[::-1].index(tag) :]
+
+        def handle_data(self, data):
+            if self.path:
+                self.out[self.kept[len(self.path)]][1].append(data)
+
+    reader = Reader()
+    reader.feed(page)
+    return [(p, " ".join("".join(t).split())) for p, t in reader.out]
+
+
+def test_template_is_what_pages_of_a_host_share(spark):
+    """Blocks that all pages of a host have at the same path with the same text go, all others stay, counted without any alignment."""
+    rng = random.Random(11)
+    rows, pages = [], {}
+    for host in range(4):
+        fixed = [f"<p>Shared {host} {i} <b>words</b></p>" for i in range(4)]
+        for n in range(9):
+            parts = fixed[:2] + [f"<p><b>Summary</b> {rng.randrange(10**9)} and <i>more</i> {n}</p>" for _ in range(rng.randint(1, 40))] + fixed[2:]
+            page = "<html><body><div>" + "".join(parts) + f"</div><section><div>Story {host} {n}</div></section></body></html>"
+            rows.append((host * 100 + n, f"http://h{host}.example/{n}", page))
+            pages.setdefault(host, []).append((host * 100 + n, plain_blocks(page)))
+    want = {}
+    for of_host in pages.values():
+        shared = set.intersection(*({b for b in blocks if b[1]} for _, blocks in of_host))
+        want |= {i: " ".join(t for p, t in blocks if t and (p, t) not in shared) for i, blocks in of_host}
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in wrapper_html.extract(frame).collect()} == want
+
+
+def test_a_large_host_is_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(wrapper_html, "BLOCK_PAGES", 4)
+    rows = [(i, "http://a.example/", f"<body><p>Same words</p><p>Story {i}</p></body>") for i in range(60)] + [(100 + i, f"http://b{i}.example/", "<p>Own</p>") for i in range(9)] + [(300, "http://a.example/", None)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in wrapper_html.extract(frame).collect()} == {i: f"Story {i}" for i in range(60)} | {100 + i: "Own" for i in range(9)} | {300: ""}
+    hosts, known = wrapper_html.templates(frame.withColumn("host", wrapper_html.host_of(F.col("url"))).select("host", "page_id", "html"))
+    dealt = wrapper_html._blocks(frame.withColumn("host", wrapper_html.host_of(F.col("url"))).select("host", "page_id", "html"), hosts, known)
+    assert dealt.where("kind = 0").count() == 15 and [r["host"] for r in known.collect()] == ["a.example"]
+
+
+def test_given_pages(spark):
+    """All pages of the given table against the text of their article elements, read by a parser of another make."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.depth, self.out = 0, []
+
+        def edge(self, tag, by):
+            self.depth += by * (tag == "article")
+            if tag not in wrapper_html.INLINE:
+                self.out.append(" ")
+
+        def handle_starttag(self, tag, attrs):
+            self.edge(tag, 1)
+
+        def handle_endtag(self, tag):
+            self.edge(tag, -1)
+
+        def handle_data(self, data):
+            if self.depth > 0:
+                self.out.append(data)
+
+    def text(page):
+        reader = Reader()
+        reader.feed(page)
+        return " ".join("".join(reader.out).split())
+
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    out = queries.op10_html_text(spark, DATA).collect()
+    want = {r["page_id"]: text(r["html"]) for r in pages.collect()}
+    assert len(out) == len(want) and {r["page_id"]: (r["text"], r["n_chars"]) for r in out} == {i: (t, len(t)) for i, t in want.items()}
