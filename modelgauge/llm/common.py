@@ -120,12 +120,12 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 class RollingDigest:
-    """Digests of any substring of a byte buffer from prefix sums of a polynomial modulo 2**64 over randomised bytes."""
+    """Digests of any run of tokens from prefix sums of a polynomial modulo 2**64 over their randomised values (`table`: a value for each byte)."""
 
-    def __init__(self, data: np.ndarray, table: np.ndarray):
+    def __init__(self, data: np.ndarray, table: np.ndarray | None = None):
         n = len(data)
         self.prefix = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(table[data] * powers(MULTIPLIER, n), out=self.prefix[1:])
+        np.cumsum((data if table is None else table[data]) * powers(MULTIPLIER, n), out=self.prefix[1:])
         self.undo = powers(INVERSE, n + 1)
 
     def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:

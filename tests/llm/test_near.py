@@ -139,7 +139,7 @@ def test_op9_repeats(spark, monkeypatch):
     key = lambda r: str(r)
     for limit in (suffix_radix.TASK_GROUP, 1):  # in tasks, and as an aggregation over window rows
         monkeypatch.setattr(suffix_radix, "TASK_GROUP", limit)
-        found = map(tuple, suffix_radix.digests(suffix_radix.remove_repeats(frame(spark, rows))).collect())
+        found = map(tuple, suffix_radix.digests(suffix_radix.remove_repeats(frame(spark, rows))).drop("spans").collect())
         assert sorted(found, key=key) == sorted(want, key=key)
     assert suffix_radix.remove_repeats(frame(spark, [])).count() == 0
 
@@ -196,3 +196,53 @@ def test_edit_distance():
     for _ in range(500):
         a, b = ([rng.choice("abc") for _ in range(rng.randint(0, 9))] for _ in range(2))
         assert piecewise_hash.distance(a, b) == plain(a, b)
+
+
+def plain_word_cuts(texts, window):
+    """Kept words of each text: all words under a window of words that also starts anywhere else."""
+    split = [WORD.findall(t or "") for t in texts]
+    seen = {}
+    for w in split:
+        for i in range(len(w) - window + 1):
+            seen[tuple(w[i : i + window])] = seen.get(tuple(w[i : i + window]), 0) + 1
+    kept = []
+    for w in split:
+        gone = set()
+        for i in range(len(w) - window + 1):
+            if seen[tuple(w[i : i + window])] > 1:
+                gone |= set(range(i, i + window))
+        kept.append([x for i, x in enumerate(w) if i not in gone])
+    return kept
+
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def test_passages_of_fifty_words(spark):
+    """Passages of 49, 50, 51 and 90 short words in texts of their own, whatever stands between the words; all copies go."""
+    rng = random.Random(12)
+    rows, at = [], 0
+    for size in (49, 50, 51, 90):
+        passage = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 4))) for _ in range(size)]
+        for i in range(3):
+            gap = [" ", "\n", " \t "][i]
+            rows.append((at, words(rng, rng.randint(0, 40)) + " " + gap.join(passage) + gap + words(rng, rng.randint(0, 40))))
+            at += 1
+    rows += [(at + 1, None), (at + 2, ""), (at + 3, " \n"), (at + 4, "one"), (at + 5, "é " * 130), (at + 6, words(rng, 3000)), (at + 7, "é ö " * 60), (at + 7, "é ö " * 60)]
+    found = suffix_radix.remove_repeats(frame(spark, rows), 50, as_text=True, unit=suffix_radix.WORDS).collect()
+    want = sorted(zip([i for i, _ in rows], plain_word_cuts([t for _, t in rows], 50), strict=True))
+    assert sorted((r.doc_id, WORD.findall(r.kept_text)) for r in found) == want
+    texts = {(i, len((t or "").encode())): (t or "").encode() for i, t in rows}
+    for r in found:
+        body = texts[r.doc_id, r.n_bytes]
+        edges = [0, *(x for s in r.spans for x in (s.begin, s.end)), len(body)]
+        assert b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)).decode() == r.kept_text
+
+
+def test_word_windows_in_large_groups(spark, monkeypatch):
+    monkeypatch.setattr(suffix_radix, "TASK_GROUP", 3)
+    rng = random.Random(13)
+    core = words(rng, 12)
+    rows = [(i, f"{words(rng, rng.randint(0, 9))} {core} {words(rng, rng.randint(0, 9))}") for i in range(12)]
+    found = suffix_radix.remove_repeats(frame(spark, rows), 10, as_text=True, unit=suffix_radix.WORDS).collect()
+    assert sorted((r.doc_id, WORD.findall(r.kept_text)) for r in found) == sorted(zip(range(12), plain_word_cuts([t for _, t in rows], 10), strict=True))
