@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from modelgauge.llm import hamming_minhash, subword_quality, suffix_radix, vector_packing
 from modelgauge.llm.common import stored
 
+PASSAGE_WORDS = 50
+
 
 def _others(docs: DataFrame) -> Column:
     return F.struct(*(c for c in docs.columns if c != "text")).alias("others")
@@ -36,8 +38,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut every repeated 400-byte window out of the texts; bytes of a character that a cut splits go with it."""
-    cut = suffix_radix.remove_repeats(docs.select(_others(docs), "doc_id", "text"), keep=("others",), as_text=True)
+    """Cut every passage of PASSAGE_WORDS words or more that also stands anywhere else, the same document included, out of the texts.
+
+    All copies of a passage go, the first one too; white space between the words does not count, the white space behind a passage goes
+    with it. The stage works on words because passages are meant to be runs of words: in bytes a threshold would depend on the language.
+    """
+    cut = suffix_radix.remove_repeats(docs.select(_others(docs), "doc_id", "text"), PASSAGE_WORDS, keep=("others",), as_text=True, unit=suffix_radix.WORDS)
     out = cut.select("others.*", F.col("kept_text").alias("text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
