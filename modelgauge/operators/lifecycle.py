@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import re
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -284,95 +283,3 @@ def fan_out(events: DataFrame, subs: DataFrame, now: str) -> DataFrame:
     live = subs.where(f"enabled and revoked_at is null and (expires_at is null or expires_at > {now})")
     wanted = live.selectExpr("webhook_id", "project_id", "explode(array_distinct(events)) as event_type")
     return salted_join(events, wanted, ["project_id", "event_type"], ["event_id"]).select("event_id", "webhook_id", "project_id", "event_type")
-
-
-# ---- fixed-window quota -------------------------------------------------------------------------
-#
-# A window opens at a key's first event after the previous window expired, so windows form a chain.
-# One key may be huge; its chain is therefore cut into time segments. Per (key, segment) a table maps
-# "window still open until r when the segment starts" to "open until" at its end; only events in the
-# first window length of a segment can be entry points, so the table is short. Chaining the tables per
-# key gives each segment its entry state, and the segments are then flagged independently.
-
-
-def _window_starts(ts: np.ndarray, width: int, entry: int) -> np.ndarray:
-    """Index of the first event of every window, given the carried expiry `entry` (microseconds)."""
-    starts, i = [], int(np.searchsorted(ts, entry, side="left"))
-    while i < len(ts):
-        starts.append(i)
-        i = int(np.searchsorted(ts, ts[i] + width, side="left"))
-    return np.asarray(starts, dtype=np.int64)
-
-
-def quota_flags(events: DataFrame, key: str, ts: str, window_seconds: int, limit: int, segment_seconds: int | None = None) -> DataFrame:
-    """events + window_start, position, allowed, retry_after (seconds, 0 when allowed)."""
-    width = window_seconds * 1_000_000
-    segment = max(segment_seconds or 7 * 86_400, window_seconds) * 1_000_000
-    base = events.withColumn("_us", F.unix_micros(ts)).withColumn("_seg", F.floor(F.col("_us") / segment))
-
-    def entry_table(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf["_us"].to_numpy())
-        nxt = np.searchsorted(t, t + width, side="left")
-        leave = np.empty(len(t) + 1, dtype=np.int64)
-        leave[len(t)] = -1  # no window opens in this segment
-        for i in range(len(t) - 1, -1, -1):
-            leave[i] = t[i] + width if nxt[i] == len(t) else leave[nxt[i]]
-        seg = int(pdf["_seg"].iloc[0])
-        first = seg * segment
-        n = int(np.searchsorted(t, first + width, side="right"))
-        idx = np.arange(0, min(n, len(t) - 1) + 1)
-        return pd.DataFrame({key: pdf[key].iloc[0], "_seg": seg, "_from": t[idx], "_leave": leave[idx], "_last": t[-1]})
-
-    key_type = dict(events.dtypes)[key]
-    tables = base.select(key, "_us", "_seg").groupBy(key, "_seg").applyInPandas(
-        entry_table, f"{key} {key_type}, _seg long, _from long, _leave long, _last long"
-    )
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, open_until = [], np.iinfo(np.int64).min
-        for seg, part in pdf.sort_values(["_seg", "_from"]).groupby("_seg", sort=True):
-            rows.append((pdf[key].iloc[0], int(seg), int(open_until)))
-            starts = part["_from"].to_numpy()
-            i = int(np.searchsorted(starts, open_until, side="left"))
-            if i < len(starts):
-                open_until = int(part["_leave"].to_numpy()[i])
-            elif part["_last"].iloc[0] >= open_until:
-                raise ValueError("entry point outside the segment's table")
-        return pd.DataFrame(rows, columns=[key, "_seg", "_entry"])
-
-    entries = tables.groupBy(key).applyInPandas(chain, f"{key} {key_type}, _seg long, _entry long")
-
-    # Windows per segment; a window opened earlier may still be open when the segment starts.
-    def windows(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf["_us"].to_numpy())
-        starts = _window_starts(t, width, int(pdf["_entry"].iloc[0]))
-        return pd.DataFrame({key: pdf[key].iloc[0], "_w": t[starts]})
-
-    opened = (
-        base.select(key, "_us", "_seg").join(entries, [key, "_seg"])
-        .groupBy(key, "_seg").applyInPandas(windows, f"{key} {key_type}, _w long")
-    )
-    # Each window covers events of at most two segments; attach by equi-join on both.
-    covering = opened.withColumn(
-        "_seg", F.explode(F.array_distinct(F.array(F.floor(F.col("_w") / segment), F.floor((F.col("_w") + width - 1) / segment))))
-    )
-    # Latest window start at or before each event, by a merged scan inside (key, segment).
-    rest = F.struct(*events.columns)
-    merged = (
-        base.select(key, "_seg", "_us", F.lit(1).alias("_k"), rest.alias("_row"))
-        .unionByName(covering.select(key, "_seg", F.col("_w").alias("_us"), F.lit(0).alias("_k"), F.lit(None).alias("_row")))
-    )
-    scan = Window.partitionBy(key, "_seg").orderBy("_us", "_k")
-    placed = merged.withColumn("_start", F.last(F.when(F.col("_k") == 0, F.col("_us")), ignorenulls=True).over(scan)).where("_k = 1")
-    order = [F.col("_us"), *[F.col(f"_row.{c}") for c in events.columns if c not in (key, ts)]]
-    # Position inside the window: at most one window per (key, start).
-    rank = F.row_number().over(Window.partitionBy(key, "_start").orderBy(*order))
-    return placed.withColumn("position", rank).select(
-        *[F.col(f"_row.{c}").alias(c) for c in events.columns],
-        F.timestamp_micros("_start").alias("window_start"),
-        "position",
-        (F.col("position") <= limit).alias("allowed"),
-        F.when(
-            F.col("position") > limit, F.greatest(F.lit(1), F.ceil((F.col("_start") + width - F.col("_us")) / 1_000_000))
-        ).otherwise(0).cast("bigint").alias("retry_after"),
-    )

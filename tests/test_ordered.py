@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from modelgauge.functions.skew import chunked_running_count, salted_join, top_per_key
 from modelgauge.operators import fragments as FR
-from modelgauge.operators import lifecycle as L
+from modelgauge.operators import quota as Q
 
 
 def test_list_numbering(spark):
@@ -79,11 +79,21 @@ def quota_rows():
 
 
 def test_quota_flags(spark):
+    """Segments of a few events: windows that span segments, keys of one segment, events of one moment, a null key."""
     rows = quota_rows()
-    want = fold_quota(rows, pd.Timedelta(seconds=60), 2)
-    df = spark.createDataFrame([(k, e, t.to_pydatetime()) for k, e, t in rows], "key long, event_id long, ts timestamp")
-    got = {r.event_id: (pd.Timestamp(r.window_start), r.position, r.allowed, r.retry_after) for r in L.quota_flags(df, "key", "ts", 60, 2, segment_seconds=200).collect()}
-    assert got == want
+    rng = random.Random(12)
+    base = pd.Timestamp("2024-02-01")
+    rows += [(7, 7000 + i, base + pd.Timedelta(seconds=i // 3)) for i in range(200)]  # dense: 180 events a window
+    rows += [(8, 8000 + i, base + pd.Timedelta(seconds=61 * i)) for i in range(50)]  # a window for each event
+    rows += [(9, 9000 + i, base) for i in range(40)]
+    rows += [(None, 9900 + i, base + pd.Timedelta(seconds=rng.choice([0, 59, 60, 61, 119, 120, 121, 400]) + 500 * (i // 30))) for i in range(90)]
+    rows += [(10, 9999, base)]
+    want = fold_quota([(k or 0, e, t) for k, e, t in rows], pd.Timedelta(seconds=60), 2)
+    df = spark.createDataFrame([(k, e, t.to_pydatetime(), "x") for k, e, t in rows], "pos long, event_id long, us timestamp, seg string")
+    for size in (1, 4, 37, Q.SEGMENT_EVENTS):
+        found = Q.quota_flags(df, "pos", "us", 60, 2, segment_events=size).collect()
+        assert {r.event_id: (pd.Timestamp(r.window_start), r.position, r.allowed, r.retry_after) for r in found} == want and len(found) == len(rows)
+    assert Q.quota_flags(df.limit(0), "pos", "us", 60, 2).count() == 0
 
 
 def page(spark, items):
