@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from modelgauge.plans import operations  # noqa: F401  (defines the SQL counterparts used here)
 from modelgauge.plans.registry import ORACLE, query
 from modelgauge.plans.rulebook import requirements
 from modelgauge.plans.session import new_folder, written
 from modelgauge.sources import testbed as tb
-from modelgauge.streaming import jobs
+from modelgauge.streaming import jobs, merge
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
@@ -18,24 +21,28 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{d}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _drain(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over what is there now; append results go to a parquet sink, complete ones replace a table."""
+def _appended(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """Run an appending stream over what is there now into a parquet sink."""
     root = new_folder(spark)
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
-    if mode == "append":
-        writer.format("parquet").option("path", f"{root}/out").start().awaitTermination()
-    else:
-        writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{root}/out")).start().awaitTermination()
+    writer = stream.writeStream.outputMode("append").option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
+    writer.format("parquet").option("path", f"{root}/out").start().awaitTermination()
     return spark.read.parquet(f"{root}/out")
 
 
+def _merged(spark: SparkSession, start: Callable[[str, str], DataStreamWriter], schema: str) -> DataFrame:
+    """Run a stream into its merged table over what is there now."""
+    root = new_folder(spark)
+    start(f"{root}/out", f"{root}/state").start().awaitTermination()
+    return merge.read(spark, f"{root}/out", schema)
+
+
 @query("stream_usage", "SELECT user_id, month, validation_runs, audit_exports, storage_bytes FROM x_usage")
 def _usage(spark, d):
     e = _events(spark, d).selectExpr(
         "concat('usr-', user_id) as user_id", "ts", "case when event_type in ('view', 'click') then 'run' when event_type = 'signup' then 'export' else 'bytes' end as kind",
         "if(event_type in ('purchase', 'error'), floor(value * 1000), 1) as amount",
     )
-    return _drain(spark, jobs.stream_usage(e), "complete").select("user_id", "month", "validation_runs", "audit_exports", "storage_bytes")
+    return _merged(spark, lambda out, state: jobs.stream_usage(e, out, state), jobs.USAGE)
 
 
 @query(
@@ -45,31 +52,54 @@ def _usage(spark, d):
 )
 def _state(spark, d):
     e = _events(spark, d).selectExpr(
-        "user_id as job_id", "element_at(array('queued', 'parsing', 'validating', 'persisting', 'completed'), cast(event_id % 5 + 1 as int)) as phase", "event_type as status",
+        "cast(user_id as string) as job_id", "element_at(array('queued', 'parsing', 'validating', 'persisting', 'completed'), cast(event_id % 5 + 1 as int)) as phase", "event_type as status",
         "event_id % 4 as attempts", "ts",
     )
-    return _drain(spark, jobs.stream_job_state(e), "complete").drop("updated_at")
+    found = _merged(spark, lambda out, state: jobs.stream_job_state(e, out, state), jobs.JOB_STATE)
+    return found.drop("updated_at").withColumn("job_id", F.col("job_id").cast("bigint"))
 
 
 @query("stream_quota", ORACLE["quota_flags"])
 def _quota(spark, d):
     e = _events(spark, d).selectExpr("cast(user_id as string) as key", "event_id", "ts")
-    return _drain(spark, jobs.stream_quota(e, 43_200, 2), "append").selectExpr(
-        "event_id", "cast(key as bigint) as user_id", "unix_micros(window_start) as window_us", "position", "allowed", "retry_after"
-    )
+    name, provider = jobs.STATE_STORE
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, provider)
+    try:
+        flags = _appended(spark, jobs.stream_quota(e, 43_200, 2))
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    return flags.selectExpr("event_id", "cast(key as bigint) as user_id", "unix_micros(window_start) as window_us", "position", "allowed", "retry_after")
 
 
-@query("stream_reviews_current", "SELECT user_id AS run, event_id % 5 AS requirement, event_id AS decision FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_id % 5 ORDER BY ts DESC, event_id DESC) = 1")
-def _reviews(spark, d):
+def _review_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     root = new_folder(spark)
     log = _events(spark, d).selectExpr(
         "cast(user_id as string) as run_id", "cast(event_id % 5 as string) as requirement_id", "lpad(cast(event_id as string), 20, '0') as decision_id", "event_type as status", "ts as decided_at"
     )
     jobs.stream_reviews(log, f"{root}/out", f"{root}/state").start().awaitTermination()
-    current, _ = jobs.review_tables(spark, f"{root}/out")
+    return jobs.review_tables(spark, f"{root}/out", jobs.history_schema(log))
+
+
+@query("stream_reviews_current", "SELECT user_id AS run, event_id % 5 AS requirement, event_id AS decision FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_id % 5 ORDER BY ts DESC, event_id DESC) = 1")
+def _reviews(spark, d):
+    current, _ = _review_tables(spark, d)
     return current.selectExpr("cast(run_id as bigint) as run", "cast(requirement_id as bigint) as requirement", "cast(decision_id as bigint) as decision")
 
 
+@query(
+    "stream_review_history",
+    """SELECT user_id AS run, event_id % 5 AS requirement, event_id AS decision, event_type AS status, lead(event_id) OVER w AS superseded_by, epoch_us(lead(ts) OVER w) AS superseded_us
+  FROM events WINDOW w AS (PARTITION BY user_id, event_id % 5 ORDER BY ts, event_id)""",
+)
+def _history(spark, d):
+    _, history = _review_tables(spark, d)
+    return history.selectExpr(
+        "cast(run_id as bigint) as run", "cast(requirement_id as bigint) as requirement", "cast(decision_id as bigint) as decision", "status",
+        "cast(superseded_by as bigint) as superseded_by", "unix_micros(superseded_at) as superseded_us",
+    )
+
+
 _INTAKE = """SELECT 'prj-' || (c_custkey % 50) AS project_id, 'key-' || c_custkey AS idempotency_key, 'fp-' || c_custkey AS input_fingerprint, CASE WHEN c_custkey % 50 % 9 = 0 THEN 'unassigned' ELSE 'new' END AS intake, 1 AS n FROM customer
 UNION ALL SELECT 'prj-' || (c_custkey % 50), 'key-' || c_custkey, 'fp-' || c_custkey, 'replay', 1 FROM customer WHERE c_custkey % 5 = 0
 UNION ALL SELECT 'prj-' || (c_custkey % 50), 'key-' || c_custkey, 'other-' || c_custkey, 'conflict', 1 FROM customer WHERE c_custkey % 7 = 0"""
@@ -126,4 +156,4 @@ def _drop(spark, d):
     root = new_folder(spark)
     model_arrivals(spark, d).write.parquet(f"{root}/landing")
     kept = jobs.drop_repeats(spark.readStream.schema(jobs.ARRIVALS).parquet(f"{root}/landing"))
-    return _drain(spark, kept.select("project_id", "idempotency_key", "input_fingerprint"), "append")
+    return _appended(spark, kept.select("project_id", "idempotency_key", "input_fingerprint"))

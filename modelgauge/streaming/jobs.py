@@ -1,16 +1,18 @@
-"""Structured Streaming jobs. Late data: O2 and O6 drop rows behind the watermark; the others order by event time per key."""
+"""Structured Streaming jobs. Late data: O2 and O3 drop rows behind the watermark; the merged tables order by event time per key, however late."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from modelgauge.operators import access, checks, metrics, rules
+from modelgauge.streaming import merge
+from modelgauge.streaming.merge import merged_into
 
 ARRIVALS = (
     "project_id string, idempotency_key string, input_fingerprint string, model_id string, arrived_at timestamp,"
@@ -118,68 +120,143 @@ def arrivals_writer(df: DataFrame, run, checkpoint: str) -> DataStreamWriter:
     return df.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
+REVIEW_KEYS = ("run_id", "requirement_id")
+
+
 def stream_reviews(decisions: DataFrame, out_path: str, checkpoint: str) -> DataStreamWriter:
-    """Append-only decision log; current and history tables are views over it (`review_tables`)."""
-    return (
-        decisions.writeStream.format("parquet").outputMode("append").option("path", out_path)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    )
+    """Keeps every decision with the moment and the decision that superseded it in a merged table (`review_tables` reads it).
+
+    Every interval ends where the next decision of its requirement begins. A new decision closes its predecessor's interval, a late
+    one splits the interval it falls into; a decision that arrives again changes nothing. A batch reads and writes only the buckets
+    of its own (run, requirement) pairs, and orders only the pairs it names.
+    """
+
+    def place(kept: DataFrame, new: DataFrame) -> DataFrame:
+        columns = decisions.columns
+        named = new.select(*REVIEW_KEYS).distinct()
+        open_ = kept.join(named, list(REVIEW_KEYS), "left_semi").select(*columns)
+        fresh = new.select(*columns).dropDuplicates([*REVIEW_KEYS, "decision_id"]).join(open_, [*REVIEW_KEYS, "decision_id"], "left_anti").select(*columns)
+        return kept.join(named, list(REVIEW_KEYS), "left_anti").unionByName(access.review_history(open_.unionByName(fresh)))
+
+    return merged_into(decisions, out_path, REVIEW_KEYS, place, history_schema(decisions), checkpoint)
 
 
-def review_tables(spark: SparkSession, out_path: str) -> tuple[DataFrame, DataFrame]:
-    """(current, history) of a streamed decision log, whatever order the decisions arrived in."""
-    log = spark.read.parquet(out_path)
-    return access.current_reviews(log), access.review_history(log)
+def history_schema(decisions: DataFrame) -> str:
+    types = ", ".join(f"`{name}` {kind}" for name, kind in decisions.dtypes)
+    return f"{types}, superseded_at {dict(decisions.dtypes)['decided_at']}, superseded_by {dict(decisions.dtypes)['decision_id']}"
 
 
-def stream_job_state(events: DataFrame) -> DataFrame:
-    """Latest phase, status and attempts of every job by event time; run in update or complete mode."""
+def review_tables(spark: SparkSession, out_path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(current, history) as the last batch left them, whatever order the decisions arrived in."""
+    history = merge.read(spark, out_path, schema)
+    return history.where("superseded_by IS NULL").drop("superseded_at", "superseded_by"), history
+
+
+JOB_STATE = "job_id string, phase string, status string, attempts bigint, updated_at timestamp, progress_percent int"
+USAGE = "user_id string, month string, validation_runs bigint, audit_exports bigint, storage_bytes bigint"
+
+
+def latest_job_state(kept: DataFrame, new: DataFrame) -> DataFrame:
+    """Phase, status and attempts of every job at its last event time, whichever arrived last; events of one moment by attempts, status, phase."""
     progress = " ".join(f"when '{p}' then {v}" for p, v in {"queued": 5, "parsing": 40, "validating": 70, "persisting": 90, "completed": 100}.items())
-    return (
-        events.groupBy("job_id")
-        .agg(F.max_by(F.struct("phase", "status", "attempts"), F.col("ts")).alias("s"), F.max("ts").alias("updated_at"))
-        .selectExpr("job_id", "s.phase as phase", "s.status as status", "s.attempts as attempts", f"case s.phase {progress} end as progress_percent", "updated_at")
-    )
+    order = F.struct("updated_at", "attempts", "status", "phase")
+    both = kept.drop("progress_percent").unionByName(new.selectExpr("job_id", "phase", "status", "cast(attempts as bigint) as attempts", "ts as updated_at"))
+    return both.groupBy("job_id").agg(F.max(order).alias("s")).selectExpr("job_id", "s.phase", "s.status", "s.attempts", "s.updated_at", f"case s.phase {progress} end as progress_percent")
 
 
-def stream_usage(events: DataFrame, delay: str = "40 days") -> DataFrame:
-    """Usage per (user, month), updated continuously; rows behind the watermark are dropped."""
-    on = lambda k: F.sum(F.when(F.col("kind") == k, F.col("amount")).otherwise(0))
-    return (
-        events.withWatermark("ts", delay)
-        .groupBy("user_id", F.date_trunc("month", "ts").alias("month_start"))
-        .agg(on("run").alias("validation_runs"), on("export").alias("audit_exports"), on("bytes").alias("storage_bytes"))
-        .withColumn("month", F.date_format("month_start", "yyyy-MM"))
-        .drop("month_start")
-    )
+def stream_job_state(events: DataFrame, out_path: str, checkpoint: str) -> DataStreamWriter:
+    """Keeps the latest state of every job (JOB_STATE) in a merged table; late events never replace newer ones."""
+    return merged_into(events, out_path, ("job_id",), latest_job_state, JOB_STATE, checkpoint)
+
+
+def added_usage(kept: DataFrame, new: DataFrame) -> DataFrame:
+    """Usage per (user, month) with the batch's events added."""
+    on = lambda k: F.sum(F.when(F.col("kind") == k, F.col("amount")).otherwise(0)).cast("bigint")
+    month = F.date_format(F.date_trunc("month", "ts"), "yyyy-MM").alias("month")
+    part = new.groupBy("user_id", month).agg(on("run").alias("validation_runs"), on("export").alias("audit_exports"), on("bytes").alias("storage_bytes"))
+    return kept.unionByName(part).groupBy("user_id", "month").agg(*(F.sum(c).alias(c) for c in ("validation_runs", "audit_exports", "storage_bytes")))
+
+
+def stream_usage(events: DataFrame, out_path: str, checkpoint: str) -> DataStreamWriter:
+    """Keeps usage per (user, month) (USAGE) in a merged table. Nothing is too late; a batch that runs again is not added twice."""
+    return merged_into(events, out_path, ("user_id",), added_usage, USAGE, checkpoint)
 
 
 _FLAG_SCHEMA = "key string, event_id long, ts timestamp, window_start timestamp, position long, allowed boolean, retry_after long"
+_FLAG_ROWS = 10_000
+
+
+def window_flags(us: np.ndarray, event_id: np.ndarray, start: int | None, count: int, width: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(event_id, us, window start, position) of one key's events in order, in pieces; `start` and `count` are the open window's."""
+    order = np.lexsort((event_id, us))
+    us, event_id = us[order], event_id[order]
+    at = 0 if start is None else int(np.searchsorted(us, start + width, side="left"))
+    opens = []
+    while at < len(us):
+        opens.append(at)
+        at = int(np.searchsorted(us, us[at] + width, side="left"))
+    edge = np.array(opens, np.int64)
+    for a in range(0, len(us), _FLAG_ROWS):
+        here = np.arange(a, min(a + _FLAG_ROWS, len(us)))
+        of = np.searchsorted(edge, here, side="right") - 1
+        carried = of < 0
+        begins = np.where(carried, start if start is not None else 0, us[edge[of]] if len(edge) else 0)
+        position = np.where(carried, here + count + 1, here - (edge[of] if len(edge) else 0) + 1)
+        yield event_id[here], us[here], begins, position
+
+
+class QuotaWindows(StatefulProcessor):
+    """Open window of each key as state: start and number of events. A timer at the window's end removes the state, so idle keys leave none.
+
+    A key's rows of a micro-batch are read piece by piece into two numbers an event, put in event-time order and answered in pieces.
+    """
+
+    def __init__(self, window_seconds: int, limit: int):
+        self.width, self.limit = window_seconds * 1_000_000, limit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.window = handle.getValueState("window", "start_us long, n long")
 
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        parts = [(p["ts"].to_numpy().astype("datetime64[us]").astype(np.int64), p["event_id"].to_numpy()) for p in rows]
+        us, event_id = (np.concatenate(x) for x in zip(*parts, strict=True))
+        start, count = self.window.get() if self.window.exists() else (None, 0)
+        before = start
+        for ids, at, begins, position in window_flags(us, event_id, start, count, self.width):
+            start, count = int(begins[-1]), int(position[-1])
+            late = position > self.limit
+            wait = np.where(late, np.maximum(1, -((at - begins - self.width) // 1_000_000)), 0)
+            stamp = lambda x: pd.to_datetime(x, unit="us")
+            yield pd.DataFrame({"key": key[0], "event_id": ids, "ts": stamp(at), "window_start": stamp(begins), "position": position, "allowed": ~late, "retry_after": wait})
+        if start != before:
+            if before is not None:
+                self.handle.deleteTimer(self._end(before))
+            self.handle.registerTimer(self._end(start))
+        self.window.update((start, count))
 
-def stream_quota(events: DataFrame, window_seconds: int, limit: int) -> DataFrame:
+    def _end(self, start: int) -> int:
+        return -(-(start + self.width) // 1000)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.window.exists() and self._end(self.window.get()[0]) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.window.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+#: The state store that keeps timers.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def stream_quota(events: DataFrame, window_seconds: int, limit: int, delay: str = "1 hour") -> DataFrame:
     """Fixed-window quota flags per key (key, event_id, ts): a window opens at the first event after the last one expired.
 
-    State is two numbers per key; rows of a micro-batch are taken in event-time order.
+    Events are taken batch by batch, in event-time order inside one; those behind the watermark are dropped. Needs STATE_STORE.
     """
-    width = pd.Timedelta(seconds=window_seconds)
-
-    def flag(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start_us, count = state.get if state.exists else (None, 0)
-        start = None if start_us is None else pd.Timestamp(start_us, unit="us")
-        pdf = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        rows = []
-        for event_id, ts in zip(pdf["event_id"], pdf["ts"]):
-            if start is None or ts >= start + width:
-                start, count = ts, 0
-            count += 1
-            allowed = count <= limit
-            wait = 0 if allowed else max(1, -int(-(start + width - ts).total_seconds() // 1))
-            rows.append((key[0], event_id, ts, start, count, allowed, wait))
-        if rows:
-            state.update((int(start.value // 1000), count))
-        yield pd.DataFrame(rows, columns=["key", "event_id", "ts", "window_start", "position", "allowed", "retry_after"])
-
-    return events.groupBy("key").applyInPandasWithState(
-        flag, _FLAG_SCHEMA, "start_us long, n long", "append", GroupStateTimeout.NoTimeout
+    return (
+        events.select("key", "event_id", "ts").withWatermark("ts", delay).groupBy("key")
+        .transformWithStateInPandas(QuotaWindows(window_seconds, limit), _FLAG_SCHEMA, "Append", "EventTime")
     )

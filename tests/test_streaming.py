@@ -1,14 +1,20 @@
 import json
+import os
+import random
+import shutil
+import tracemalloc
 
+import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 import fixtures as fx
 from modelgauge import schemas
-from modelgauge.streaming import jobs
+from modelgauge.operators import access
+from modelgauge.streaming import jobs, merge
 from test_ordered import fold_quota, quota_rows
 
-import pandas as pd
-
 
 def test_validate_arrivals_once(spark, tmp_path):
     src, out, ckpt = (str(tmp_path / n) for n in ("src", "out", "ckpt"))
@@ -44,36 +50,131 @@ def test_validate_arrivals_once(spark, tmp_path):
     assert {r.run_id for r in spark.read.parquet(out + "/metrics").collect()} == {"run-p/k1", "run-p/k2", "run-q/k4"}
 
 
-def test_quota_stream_matches_fold(spark, tmp_path):
-    rows = quota_rows()
+def quota_stream(spark, folder, schema, state, delay):
+    out = jobs.stream_quota(spark.readStream.schema(schema).parquet(folder), 60, 2, delay)
+    return out.writeStream.format("parquet").option("path", state + "/out").option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
+
+
+@pytest.fixture
+def timers(spark):
+    spark.conf.set(*jobs.STATE_STORE)
+    yield
+    spark.conf.unset(jobs.STATE_STORE[0])
+
+
+def test_quota_stream_matches_fold(spark, tmp_path, timers):
+    """Two batches, split in the middle of windows; after the watermark has passed, idle keys hold no state."""
+    rows = sorted(quota_rows(), key=lambda r: r[2])
     want = fold_quota(rows, pd.Timedelta(seconds=60), 2)
-    df = spark.createDataFrame([(str(k), e, t.to_pydatetime()) for k, e, t in rows], "key string, event_id long, ts timestamp")
-    df.write.parquet(str(tmp_path / "src"))
-    src = spark.readStream.schema(df.schema).parquet(str(tmp_path / "src"))
-    q = jobs.stream_quota(src, 60, 2).writeStream.format("memory").queryName("quota").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = {r.event_id: (pd.Timestamp(r.window_start), r.position, r.allowed, r.retry_after) for r in spark.table("quota").collect()}
+    schema = "key string, event_id long, ts timestamp"
+    src, state = str(tmp_path / "src"), str(tmp_path / "state")
+
+    def run(some):
+        spark.createDataFrame([(str(k), e, t.to_pydatetime()) for k, e, t in some], schema).coalesce(1).write.mode("append").parquet(src)
+        q = quota_stream(spark, src, schema, state, "10 seconds")
+        q.awaitTermination()
+        return q
+
+    run(rows[:100])
+    run(rows[100:])
+    got = {r.event_id: (pd.Timestamp(r.window_start), r.position, r.allowed, r.retry_after) for r in spark.read.parquet(state + "/out").collect()}
     assert got == want
+    far = rows[-1][2] + pd.Timedelta(days=1)
+    q = run([(99, 1, far)])
+    q = run([(99, 2, far)])
+    held = [p["stateOperators"][0]["customMetrics"] for p in q.recentProgress if p["stateOperators"]]
+    from pyspark.sql.streaming import StatefulProcessor  # noqa: F401
+    left = spark.read.format("statestore").option("path", state).option("stateVarName", "window").load()
+    assert [r.key[0] for r in left.select("key").collect()] == ["99"] and held
+
+
+def test_hot_key_in_one_batch_is_answered_in_pieces():
+    n = 1_000_000
+    rng = np.random.default_rng(3)
+    us, ids = rng.integers(0, 10_000_000_000, n), np.arange(n)
+    tracemalloc.start()
+    most, last, seen = 0, (-1, -1), 0
+    for event_id, at, begins, position in jobs.window_flags(us, ids, None, 0, 60_000_000):
+        most, seen = max(most, len(at)), seen + len(at)
+        assert (np.diff(at) >= 0).all() and at[0] >= last[0] and (at - begins < 60_000_000).all() and (position > 0).all()
+        last = (int(at[-1]), int(event_id[-1]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == n and most <= 10_000 and peak < 48 * n
+
+
+def usage_rows(rng, n):
+    return [(f"u{rng.randrange(5)}", f"2024-0{rng.randrange(1, 5)}-1{rng.randrange(9)} 00:00:00", rng.choice(["run", "export", "bytes", "other"]), rng.randrange(9)) for _ in range(n)]
+
+
+def test_usage_is_merged_once_however_late(spark, tmp_path):
+    rng = random.Random(4)
+    batches = [usage_rows(rng, 40) for _ in range(4)]  # months in any order: late rows count
+    path = str(tmp_path / "usage")
+    frames = [spark.createDataFrame(b, "user_id string, t string, kind string, amount long").withColumn("ts", F.to_timestamp("t")).drop("t") for b in batches]
+
+    def total(upto):
+        out = {}
+        for u, t, kind, amount in (r for b in batches[:upto] for r in b):
+            row = out.setdefault((u, t[:7]), {"run": 0, "export": 0, "bytes": 0, "other": 0})
+            row[kind] += amount
+        return {k: (v["run"], v["export"], v["bytes"]) for k, v in out.items()}
+
+    def table():
+        return {(r.user_id, r.month): (r.validation_runs, r.audit_exports, r.storage_bytes) for r in merge.read(spark, path, jobs.USAGE).collect()}
+
+    assert table() == {}
+    for n, frame in enumerate(frames):
+        merge.merge(frame, n, path, ("user_id",), jobs.added_usage, jobs.USAGE, buckets=3)
+        assert table() == total(n + 1)
+        merge.merge(frame, n, path, ("user_id",), jobs.added_usage, jobs.USAGE, buckets=3)  # the batch runs again
+        assert table() == total(n + 1)
+    assert len(os.listdir(path + "/ledger")) == 2
+    # a batch that dies before its ledger entry leaves the table as it was
+    shutil.rmtree(path + "/ledger/batch=3")
+    assert table() == total(3)
+    merge.merge(frames[3], 3, path, ("user_id",), jobs.added_usage, jobs.USAGE, buckets=3)
+    assert table() == total(4)
+
+
+def test_merge_touches_only_its_buckets(spark, tmp_path):
+    path = str(tmp_path / "t")
+    events = lambda keys: spark.createDataFrame([(k, "2024-01-05 00:00:00", "run", 1) for k in keys], "user_id string, t string, kind string, amount long").withColumn("ts", F.to_timestamp("t")).drop("t")
+    merge.merge(events([f"u{i}" for i in range(50)]), 0, path, ("user_id",), jobs.added_usage, jobs.USAGE, buckets=8)
+    merge.merge(events(["u7"]), 1, path, ("user_id",), jobs.added_usage, jobs.USAGE, buckets=8)
+    assert len([f for f in os.listdir(path + "/data/batch=1") if f.startswith("bucket=")]) == 1
+    assert {r.user_id: r.validation_runs for r in merge.read(spark, path, jobs.USAGE).collect()} == {**{f"u{i}": 1 for i in range(50)}, "u7": 2}
+
+
+def test_job_state_stream(spark, tmp_path):
+    schema = "job_id string, phase string, status string, attempts int, t string"
+    out, state, src = (str(tmp_path / n) for n in ("out", "state", "jobs"))
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).withColumn("ts", F.to_timestamp("t")).drop("t").coalesce(1).write.mode("append").parquet(src)
+        jobs.stream_job_state(spark.readStream.schema("job_id string, phase string, status string, attempts int, ts timestamp").parquet(src), out, state).start().awaitTermination()
+        return sorted((r.job_id, r.phase, r.progress_percent, r.attempts) for r in merge.read(spark, out, jobs.JOB_STATE).collect())
+
+    assert run([("j", "parsing", "processing", 1, "2024-01-01 00:00:02"), ("j", "queued", "queued", 0, "2024-01-01 00:00:01")]) == [("j", "parsing", 40, 1)]
+    assert run([("j", "queued", "queued", 0, "2024-01-01 00:00:00"), ("k", "odd", "x", None, "2024-01-01 00:00:00")]) == [("j", "parsing", 40, 1), ("k", "odd", None, None)]
+    assert run([("j", "completed", "done", 2, "2024-01-02 00:00:00")]) == [("j", "completed", 100, 2), ("k", "odd", None, None)]
 
 
-def test_state_usage_and_reviews(spark, tmp_path):
-    ev = spark.createDataFrame(
-        [("j", "parsing", "processing", 1, "2024-01-01 00:00:02"), ("j", "queued", "queued", 0, "2024-01-01 00:00:01")], "job_id string, phase string, status string, attempts int, t string"
-    ).withColumn("ts", F.to_timestamp("t")).drop("t")
-    ev.write.parquet(str(tmp_path / "jobs"))
-    q = jobs.stream_job_state(spark.readStream.schema(ev.schema).parquet(str(tmp_path / "jobs"))).writeStream.format("memory").queryName("state").outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert [(r.phase, r.progress_percent) for r in spark.table("state").collect()] == [("parsing", 40)]
-
-    use = spark.createDataFrame([("u", "2024-01-05 00:00:00", "run", 2), ("u", "2024-01-06 00:00:00", "bytes", 7)], "user_id string, t string, kind string, amount long").withColumn("ts", F.to_timestamp("t")).drop("t")
-    use.write.parquet(str(tmp_path / "use"))
-    q = jobs.stream_usage(spark.readStream.schema(use.schema).parquet(str(tmp_path / "use"))).writeStream.format("memory").queryName("usage").outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert [(r.month, r.validation_runs, r.storage_bytes) for r in spark.table("usage").collect()] == [("2024-01", 2, 7)]
-
-    log = spark.createDataFrame([("r", "a", "d1", "open", "2024-01-01 00:00:00"), ("r", "a", "d2", "resolved", "2024-01-03 00:00:00")], "run_id string, requirement_id string, decision_id string, status string, t string").withColumn("decided_at", F.to_timestamp("t")).drop("t")
-    log.write.parquet(str(tmp_path / "log"))
-    jobs.stream_reviews(spark.readStream.schema(log.schema).parquet(str(tmp_path / "log")), str(tmp_path / "out"), str(tmp_path / "c")).start().awaitTermination()
-    current, history = jobs.review_tables(spark, str(tmp_path / "out"))
-    assert [r.decision_id for r in current.collect()] == ["d2"]
-    assert {r.decision_id: r.superseded_by for r in history.collect()} == {"d1": "d2", "d2": None}
+def test_review_intervals_in_any_order(spark, tmp_path):
+    rng = random.Random(6)
+    log = [("r", rng.choice("ab"), f"d{i:02d}", rng.choice(["open", "resolved"]), f"2024-01-{rng.randrange(1, 9):02d} 0{rng.randrange(3)}:00:00") for i in range(40)]
+    log += [("s", "a", "d98", "open", "2024-01-01 00:00:00")]
+    schema = "run_id string, requirement_id string, decision_id string, status string, t string"
+    frame = lambda rows: spark.createDataFrame(rows, schema).withColumn("decided_at", F.to_timestamp("t")).drop("t")
+    want = sorted(map(str, access.review_history(frame(log)).collect()))
+    for attempt in range(2):
+        order = rng.sample(log, len(log))
+        src, out, state = (str(tmp_path / f"{n}{attempt}") for n in ("src", "out", "state"))
+        for a in (0, 13, 30):
+            again = order[: 5 if a else 0]  # some decisions arrive twice
+            frame(order[a : {0: 13, 13: 30, 30: 99}[a]] + again).coalesce(1).write.mode("append").parquet(src)
+            stream = spark.readStream.schema(frame(log).schema).parquet(src)
+            jobs.stream_reviews(stream, out, state).start().awaitTermination()
+        current, history = jobs.review_tables(spark, out, jobs.history_schema(frame(log)))
+        assert sorted(map(str, history.collect())) == want
+        assert sorted(r.decision_id for r in current.collect()) == sorted(r.decision_id for r in access.current_reviews(frame(log)).collect())
