@@ -27,6 +27,30 @@ def _spec_json(spark, d):
     )
 
 
+@query(
+    "read_models",
+    """WITH o AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 11 = 0 THEN 'broken' WHEN o_orderkey % 13 = 0 THEN 'typed' WHEN o_orderkey % 7 = 0 THEN 'bare' ELSE 'sound' END AS shape FROM orders)
+SELECT k AS model_id, 'level' AS kind, 'l' AS id, 'Level ' || k AS name, NULL AS detail, 0 AS pos FROM o WHERE shape IN ('sound', 'bare')
+UNION ALL SELECT k, 'room', 'r' || i, 'Room "' || i || '"', CASE i WHEN 0 THEN (k % 40) || '.5 ' || CASE WHEN k % 3 = 0 THEN 'null' ELSE 'd,e' END ELSE 'null ' END, i FROM o, (VALUES (0), (1)) t(i) WHERE shape IN ('sound', 'bare')
+UNION ALL SELECT k, 'door', 'd', 'Tür', '0.9 null', 0 FROM o WHERE shape = 'sound'
+UNION ALL SELECT k, 'violation', NULL, CASE shape WHEN 'bare' THEN 'Model schema error: levels, rooms and doors are required.' ELSE 'Invalid JSON. Please upload a valid JSON file.' END, NULL, NULL FROM o WHERE shape <> 'sound'""".join(("SELECT * FROM (", ")")),
+)
+def _models(spark, d):
+    """A model document per order: sound ones, ones without doors, ones with a text for a list, ones cut off."""
+    rooms = """concat('[{"id":"r0","name":"Room \\\\"0\\\\"","levelId":"l","roomType":"office","areaSqm":', o_orderkey % 40, '.5', if(o_orderkey % 3 = 0, '', ',"connectedDoorIds":["d","e"]'),
+        '},{"id":"r1","name":"Room \\\\"1\\\\"","extra":[1],"connectedDoorIds":[]}]')"""
+    doors = """case when o_orderkey % 13 = 0 then ',"doors":"none"}' when o_orderkey % 7 = 0 then '}' else ',"doors":[{"id":"d","name":"Tür","widthM":0.9}],"more":{}}' end"""
+    whole = f"""concat('{{"levels":[{{"id":"l","name":"Level ', o_orderkey, '"}}],\n "rooms":', {rooms}, {doors})"""
+    docs = tb.table(spark, d, "orders").selectExpr("o_orderkey as model_id", f"{whole} as text").selectExpr("model_id", "if(model_id % 11 = 0, left(text, 30), text) as text")
+    found = RD.parse_models(docs)
+    listed = lambda number, ids: f"concat(coalesce(cast({number} as string), 'null'), ' ', coalesce(array_join({ids}, ','), 'null')) as detail"
+    shown = lambda df, kind, *columns: df.selectExpr("model_id", f"'{kind}' as kind", *columns)
+    out = shown(found["levels"], "level", "level_id as id", "name", "cast(null as string) as detail", "cast(pos as int) as pos")
+    out = out.unionByName(shown(found["rooms"], "room", "room_id as id", "name", listed("area_sqm", "door_ids"), "cast(pos as int) as pos"))
+    out = out.unionByName(shown(found["doors"], "door", "door_id as id", "name", listed("width_m", "room_ids"), "cast(pos as int) as pos"))
+    return out.unionByName(shown(found["violations"], "violation", "cast(null as string) as id", "message as name", "cast(null as string) as detail", "cast(null as int) as pos"))
+
+
 def csv_texts(spark, d):
     text = (
         "concat(if(c_custkey % 2 = 0, '\\uFEFF', ''), case c_custkey % 11 when 1 then 'id,title,ID,type,severity' when 2 then 'id,title,type' else 'ID,Title,type, severity ,notes' end, '\\r\\n',"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modelgauge import schemas
+from modelgauge.sources.heads import read_heads
 
 _LEVEL = "struct<id:string,name:string>"
 _ROOM = "struct<id:string,name:string,levelId:string,roomType:string,areaSqm:double,connectedDoorIds:array<string>>"
@@ -31,30 +32,33 @@ UPLOADS = {
 }
 
 
-def read_models(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """levels, rooms, doors and violations of normalised-model JSON files; model_id is the file path.
+def parse_models(docs: DataFrame) -> dict[str, DataFrame]:
+    """levels, rooms, doors and violations of normalised-model documents (model_id, text).
 
-    A missing list stays NULL (unlike an empty one); unknown keys are dropped; a file that is no JSON object
-    becomes a violation row.
+    A missing list stays NULL (unlike an empty one); unknown keys are dropped; a document that is no JSON object, or has a value of
+    another type than the model's, becomes a violation row and gives no elements.
     """
-    docs = (
-        spark.read.schema(MODEL_JSON).option("mode", "PERMISSIVE").option("multiLine", True).json(path)
-        .withColumn("model_id", F.col("_metadata.file_path"))
-    )
+    parsed = docs.select("model_id", F.from_json("text", MODEL_JSON, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("m"))
+    parsed = parsed.select("model_id", F.coalesce(F.col("m._corrupt_record").isNotNull() | F.col("m").isNull(), F.lit(True)).alias("broken"), "m.levels", "m.rooms", "m.doors")
 
     def rows(column: str, fields: str) -> DataFrame:
-        return docs.where("_corrupt_record is null").selectExpr("model_id", f"posexplode({column}) as (pos, e)").selectExpr("model_id", *fields.split("; "), "cast(pos as bigint) as pos")
+        return parsed.where("not broken").selectExpr("model_id", f"posexplode({column}) as (pos, e)").selectExpr("model_id", *fields.split("; "), "cast(pos as bigint) as pos")
 
     return {
         "levels": rows("levels", "e.id as level_id; e.name as name"),
         "rooms": rows("rooms", "e.id as room_id; e.name as name; e.levelId as level_id; e.roomType as room_type; e.areaSqm as area_sqm; e.connectedDoorIds as door_ids"),
         "doors": rows("doors", "e.id as door_id; e.name as name; e.levelId as level_id; e.widthM as width_m; e.connectedRoomIds as room_ids"),
-        "violations": docs.where("_corrupt_record is not null or levels is null or rooms is null or doors is null").selectExpr(
-            "model_id", "if(_corrupt_record is not null, 'Invalid JSON. Please upload a valid JSON file.', 'Model schema error: levels, rooms and doors are required.') as message"
+        "violations": parsed.where("broken or levels is null or rooms is null or doors is null").selectExpr(
+            "model_id", "if(broken, 'Invalid JSON. Please upload a valid JSON file.', 'Model schema error: levels, rooms and doors are required.') as message"
         ),
     }
 
 
+def read_models(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """`parse_models` of the files under `path`; model_id is the file path."""
+    return parse_models(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("model_id"), F.col("value").alias("text")))
+
+
 def parse_spec_json(docs: DataFrame, id_col: str = "spec_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(packages, requirements) of package documents; a bare requirement array is a legacy package."""
     package = f"struct<name:string,revision:string,requirements:array<{_REQUIREMENT}>>"
@@ -151,7 +155,7 @@ def sanitize_file_name(name: str) -> str:
 
 
 def detect_container(content: str) -> str:
-    """SQL text: container format from the leading 4096 bytes of a binary expression."""
+    """SQL text: container format from the leading 4096 bytes of a binary expression (all of the content, or only its head)."""
     head = f"decode(substring({content}, 1, 4096), 'ISO-8859-1')"
     return f"""case when octet_length({content}) = 0 then 'empty'
         when hex(substring({content}, 1, 3)) in ('504B03', '504B05', '504B07') and octet_length({content}) >= 4 then 'zip'
@@ -183,7 +187,5 @@ def screen_files(files: DataFrame) -> DataFrame:
 
 
 def landing_zone(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """Files of a landing folder in the shape `screen_files` takes."""
-    return spark.read.format("binaryFile").load(path).selectExpr(
-        "element_at(split(path, '/'), -1) as file_name", f"'{kind}' as kind", "cast(null as string) as mime", "length", "content"
-    )
+    """Files of a landing folder in the shape `screen_files` takes; of each file its size and its first 4,096 bytes are read."""
+    return read_heads(spark, path).selectExpr("element_at(split(path, '/'), -1) as file_name", f"'{kind}' as kind", "cast(null as string) as mime", "length", "head as content")

@@ -1,9 +1,11 @@
 import json
+import random
 from collections import Counter
 
 import fixtures as fx
 from modelgauge.operators import exports, importer, ifc, lifecycle, trace
 from modelgauge.sources import readers, step
+from modelgauge.sources.heads import read_heads
 
 HEADER = "ISO-10303-21;\nHEADER;\nFILE_SCHEMA(('IFC4'));\nENDSEC;\nDATA;\n"
 # Three small buildings of our own: an annex in millimetres, a tower whose doors sit in wall openings, a shed with a typed door.
@@ -83,6 +85,46 @@ def test_ifc_files(spark, tmp_path):
     e.unpersist()
 
 
+def test_large_step_file_feeds_many_tasks(spark, tmp_path):
+    """Blocks of 300 bytes: borders fall into quotes and comments that hold ";", records span blocks; entities stay those of the whole text."""
+    rng = random.Random(2)
+    odd = ["'a;b'", "'it''s; /* no'", "/* c; '; */ $", "(1,(2,';'))", "'" + "; " * 400 + "'", "$", "/*" + ";'" * 301 + "*/ 7", "'*/'", "''", "'x'/* */"]
+    body = "".join(f"#{n}={rng.choice(['IFCSPACE', 'IfcDoor'])}({','.join(rng.choices(odd, k=rng.randint(1, 6)))}){rng.choice(['', ' ', chr(10)])};{rng.choice(['', chr(10), '/* ; */'])}" for n in range(400))
+    (tmp_path / "large.ifc").write_text(HEADER + body + "ENDSEC;\nEND-ISO-10303-21;\n")
+    (tmp_path / "small.ifc").write_text(HEADER + "#1=IFCSPACE('s');ENDSEC;")
+    (tmp_path / "other.ifc").write_text("#1=IFCSPACE('no header');" * 40)
+    texts = [(n, (tmp_path / n).read_text()) for n in ("large.ifc", "small.ifc")]
+    want = sorted((r.model_id, r.express_id, r.type, tuple(r.args)) for r in step.parse_step(spark.createDataFrame(texts, "model_id string, text string")).collect())
+    assert len(want) == 401
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("300", "4096", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "64")
+            got = step.read_step_entities(spark, str(tmp_path)).collect()
+            assert sorted((r.model_id.split("/")[-1], r.express_id, r.type, tuple(r.args)) for r in got) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_landing_zone_reads_heads_only(spark, tmp_path):
+    files = {"a.csv": b"id,title\n", "b.csv": b"PK\x03\x04....", "c.csv": b"", "_tmp.csv": b"x", "d.json": b" {}", "e.csv": b"y" * 5000 + b"\0"}
+    for name, body in files.items():
+        (tmp_path / name).write_bytes(body)
+    (tmp_path / "sub").mkdir()
+    with open(tmp_path / "sub" / "huge.csv", "wb") as f:  # sparse: 3 GB that nobody could hold in a row
+        f.write(b"id,title\n")
+        f.truncate(3 << 30)
+    found = {r.file_name: (r.container, r.reason) for r in readers.screen_files(readers.landing_zone(spark, str(tmp_path), "csv")).collect()}
+    assert found == {
+        "a.csv": ("text", None), "b.csv": ("zip", "File content does not match its declared format."), "c.csv": ("empty", "The uploaded file is empty."), "d.json": ("json", "Only .csv files are accepted."),
+        "e.csv": ("text", None), "huge.csv": ("unknown", "The file exceeds the 10 MB limit."),
+    }
+    heads = read_heads(spark, f"file://{tmp_path}", head=2, files=2)
+    assert heads.rdd.getNumPartitions() == 3 and {len(r.head) for r in heads.collect()} == {0, 2}
+
+
 def test_model_json(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"levels": [{"id": "l", "name": "L"}], "rooms": [{"id": "r", "name": "R", "levelId": "l", "roomType": "office"}, {"id": "q", "name": "Q", "levelId": "l", "roomType": "office", "connectedDoorIds": []}], "doors": [], "extra": 1}))
     (tmp_path / "b.json").write_text("{nope")
