@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -182,11 +184,16 @@ DEFAULT_TAIL = "- Action: Reference requirement IDs and element IDs when plannin
 GUARDRAIL = "- I cannot determine that from the available model evidence."
 
 
-def run_summary(findings: DataFrame, role: str) -> DataFrame:
+#: Fixed value: words of a question that ask for what the evidence may not hold.
+DOUBT = "cannot determine|unknown|missing|insufficient|not sure"
+
+
+def run_summary(findings: DataFrame, role: str, question: str = "") -> DataFrame:
     """Role-specific summary as rows (run_id, line_no, pos1, pos2, pos3, text).
 
-    Lists (critical failures, unknown element ids) take one row per entry under their line number, so no
-    run's ids are gathered into one value.
+    Lists (critical failures, unknown element ids) have a lead row and one row per entry under the next line number, so no run's ids
+    are gathered into one value; written out, entries of line 4 are joined by "; " and of line 6 by ", ", each list ends with a full stop.
+    The guardrail stands if something is unknown or the question asks for doubtful evidence.
     """
     counts = findings.groupBy("run_id").agg(
         *[F.count_if(F.col("status") == s).alias(f"n_{s}") for s in ("pass", "fail", "unknown")],
@@ -194,15 +201,17 @@ def run_summary(findings: DataFrame, role: str) -> DataFrame:
     )
     title, tail = ROLE_TITLE.get(role, "Project status summary"), ROLE_TAIL.get(role, DEFAULT_TAIL)
     zero = "cast(0 as bigint)"
+    doubt = "true" if re.search(DOUBT, question, re.IGNORECASE) else "false"
     fixed = counts.selectExpr(
         "run_id",
         f"""inline(array_compact(array(
             struct(1 as line_no, '**{title}**' as text),
             struct(2 as line_no, concat('- Results: ', n_pass, ' pass, ', n_fail, ' fail, ', n_unknown, ' unknown.') as text),
-            if(n_critical = 0, struct(3 as line_no, '- Critical failures: none in current deterministic results.' as text), null),
-            if(n_unknown > 0, struct(6 as line_no, '- Unknowns remain unknown until missing parameters or relationships are provided.' as text), null),
-            if(n_unknown > 0, struct(7 as line_no, '{GUARDRAIL}' as text), null),
-            struct(8 as line_no, '{tail}' as text))))""",
+            struct(3 as line_no, if(n_critical = 0, '- Critical failures: none in current deterministic results.', '- Critical failures:') as text),
+            if(n_unknown > 0, struct(5 as line_no, '- Unknown follow-up:' as text), null),
+            if(n_unknown > 0, struct(7 as line_no, '- Unknowns remain unknown until missing parameters or relationships are provided.' as text), null),
+            if(n_unknown > 0 or {doubt}, struct(8 as line_no, '{GUARDRAIL}' as text), null),
+            struct(9 as line_no, '{tail}' as text))))""",
     ).selectExpr("run_id", "line_no", f"{zero} as pos1", f"{zero} as pos2", f"{zero} as pos3", "text")
     critical = findings.where("status = 'fail' and severity = 'critical'").selectExpr(
         "run_id", "4 as line_no", "req_pos as pos1", "element_pos as pos2", f"{zero} as pos3",
@@ -213,13 +222,14 @@ def run_summary(findings: DataFrame, role: str) -> DataFrame:
         .selectExpr("run_id", "req_pos", "element_pos", "posexplode(affected_element_ids) as (i, element_id)")
         .groupBy("run_id", "element_id")
         .agg(F.min(F.struct("req_pos", "element_pos", "i")).alias("o"))
-        .selectExpr("run_id", "5 as line_no", "o.req_pos as pos1", "o.element_pos as pos2", "cast(o.i as bigint) as pos3", "element_id as text")
+        .selectExpr("run_id", "6 as line_no", "o.req_pos as pos1", "o.element_pos as pos2", "cast(o.i as bigint) as pos3", "element_id as text")
     )
     return fixed.unionByName(critical).unionByName(unknown)
 
 
-def export_owner(projects: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
-    """(user_id, kind, project_id, record): every stored row of each owner's projects as JSON.
+def export_owner(projects: DataFrame, tables: dict[str, DataFrame], memberships: DataFrame) -> DataFrame:
+    """(user_id, kind, project_id, record): every stored row of each owner's projects as JSON, and each user's own memberships
+    (user_id, project_id, role) in whosever projects.
 
     Tables carry project_id; binary columns must already be hashes. Write partitioned by user_id.
     """
@@ -228,4 +238,5 @@ def export_owner(projects: DataFrame, tables: dict[str, DataFrame]) -> DataFrame
     for kind, df in tables.items():
         rows = df.join(owned, "project_id").select("user_id", F.lit(kind).alias("kind"), "project_id", F.to_json(F.struct(*df.columns)).alias("record"))
         out = out.unionByName(rows)
-    return out
+    own = memberships.select("user_id", F.lit("membership").alias("kind"), "project_id", F.to_json(F.struct(*(c for c in memberships.columns if c != "user_id"))).alias("record"))
+    return out.unionByName(own)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modelgauge.functions.jsontext import with_fingerprint
@@ -9,6 +12,8 @@ from modelgauge.operators import access as A
 from modelgauge.operators import exports as X
 from modelgauge.operators import lifecycle as L
 from modelgauge.operators import metrics as M
+from modelgauge.operators import quota
+from modelgauge.operators.retention import Reference, cascade
 from modelgauge.plans.constraints import evidence, part_requirements
 from modelgauge.plans.oracle import cte, lit, num
 from modelgauge.plans.registry import query
@@ -137,14 +142,17 @@ def _report(spark, d):
     """WITH c AS (SELECT run_id, count(*) FILTER (WHERE status = 'pass') AS p, count(*) FILTER (WHERE status = 'fail') AS f, count(*) FILTER (WHERE status = 'unknown') AS u,
   count(*) FILTER (WHERE status = 'fail' AND severity = 'critical') AS k FROM x_findings WHERE run_id LIKE 'run-a-%' GROUP BY 1)
 SELECT run_id, 1 AS line_no, '**Project status summary**' AS text FROM c UNION ALL SELECT run_id, 2, '- Results: ' || p || ' pass, ' || f || ' fail, ' || u || ' unknown.' FROM c
-UNION ALL SELECT run_id, 3, '- Critical failures: none in current deterministic results.' FROM c WHERE k = 0
-UNION ALL SELECT run_id, 6, '- Unknowns remain unknown until missing parameters or relationships are provided.' FROM c WHERE u > 0 UNION ALL SELECT run_id, 7, '- I cannot determine that from the available model evidence.' FROM c WHERE u > 0
-UNION ALL SELECT run_id, 8, '- Follow-up priority: resolve critical failures first, then close unknown data gaps.' FROM c
+UNION ALL SELECT run_id, 3, CASE WHEN k = 0 THEN '- Critical failures: none in current deterministic results.' ELSE '- Critical failures:' END FROM c UNION ALL SELECT run_id, 5, '- Unknown follow-up:' FROM c WHERE u > 0
+UNION ALL SELECT run_id, 7, '- Unknowns remain unknown until missing parameters or relationships are provided.' FROM c WHERE u > 0 UNION ALL SELECT run_id, 8, '- I cannot determine that from the available model evidence.' FROM c
+UNION ALL SELECT run_id, 9, '- Follow-up priority: resolve critical failures first, then close unknown data gaps.' FROM c
 UNION ALL SELECT run_id, 4, requirement_id || ' (' || replace(affected_text, '~', ', ') || ')' FROM x_findings WHERE status = 'fail' AND severity = 'critical' AND run_id LIKE 'run-a-%'
-UNION ALL SELECT DISTINCT run_id, 5, unnest(string_split(affected_text, '~')) FROM x_findings WHERE status = 'unknown' AND affected_text <> '' AND run_id LIKE 'run-a-%'""".replace("WITH c AS", "SELECT * FROM (WITH c AS") + ")",
+UNION ALL SELECT DISTINCT run_id, 6, unnest(string_split(affected_text, '~')) FROM x_findings WHERE status = 'unknown' AND affected_text <> '' AND run_id LIKE 'run-a-%'""".replace("WITH c AS", "SELECT * FROM (WITH c AS") + ")",
 )
 def _summary(spark, d):
-    return X.run_summary(findings(spark, d), "Project Manager").select("run_id", "line_no", "text")
+    return X.run_summary(findings(spark, d), "Project Manager", "Which rooms are Missing an area?").select("run_id", "line_no", "text")
+
+
+cte("x_members", "SELECT DISTINCT 'prj-' || (o_custkey // 10) AS project_id, 'usr-' || (o_orderkey % 150) AS user_id, CASE WHEN o_orderstatus = 'F' THEN 'editor' ELSE 'viewer' END AS role FROM orders")
 
 
 @query(
@@ -152,17 +160,19 @@ def _summary(spark, d):
     """SELECT owner_id AS user_id, 'project' AS kind, project_id, CASE WHEN baseline_run_id IS NULL THEN '' ELSE baseline_run_id END AS detail FROM x_projects
 UNION ALL SELECT p.owner_id, 'run', p.project_id, u.run_id FROM x_runs u JOIN x_projects p USING (project_id) WHERE u.v = 'a'
 UNION ALL SELECT p.owner_id, 'review', p.project_id, r.decision_id FROM x_reviews r JOIN x_runs u USING (run_id) JOIN x_projects p USING (project_id)
-UNION ALL SELECT p.owner_id, 'evidence', p.project_id, e.id FROM x_evidence e JOIN x_runs u USING (run_id) JOIN x_projects p USING (project_id)""",
+UNION ALL SELECT p.owner_id, 'evidence', p.project_id, e.id FROM x_evidence e JOIN x_runs u USING (run_id) JOIN x_projects p USING (project_id)
+UNION ALL SELECT p.owner_id, 'package', p.project_id, 'pkg-' || k.p_partkey FROM part k JOIN x_projects p ON p.project_id = 'prj-' || k.p_partkey % 150 UNION ALL SELECT user_id, 'membership', project_id, role FROM x_members""",
 )
 def _owner(spark, d):
     runs = tb.runs(spark, d)
     keys = runs.select("run_id", "project_id")
     tables = {
         "run": runs, "review": tb.reviews_log(spark, d).join(keys, "run_id"), "evidence": evidence(spark, d).join(keys, "run_id"),
+        "package": tb.table(spark, d, "part").selectExpr("concat('pkg-', p_partkey) as id", "concat('prj-', p_partkey % 150) as project_id", "p_name as name"),
     }
-    out = X.export_owner(tb.projects(spark, d).select("project_id", "owner_id", "baseline_run_id"), tables)
+    out = X.export_owner(tb.projects(spark, d).select("project_id", "owner_id", "baseline_run_id"), tables, members(spark, d))
     detail = """coalesce(get_json_object(record, case kind when 'project' then '$.baseline_run_id' when 'run' then '$.run_id'
-        when 'review' then '$.decision_id' else '$.id' end), '') as detail"""
+        when 'review' then '$.decision_id' when 'membership' then '$.role' else '$.id' end), '') as detail"""
     return out.selectExpr("user_id", "kind", "project_id", detail)
 
 
@@ -232,7 +242,6 @@ def members(spark, d):
     ).distinct()
 
 
-cte("x_members", "SELECT DISTINCT 'prj-' || (o_custkey // 10) AS project_id, 'usr-' || (o_orderkey % 150) AS user_id, CASE WHEN o_orderstatus = 'F' THEN 'editor' ELSE 'viewer' END AS role FROM orders")
 cte(
     "x_roles",
     """SELECT user_id, project_id, min_by(role, k) AS role FROM (SELECT owner_id AS user_id, project_id, 'owner' AS role, '0' AS k FROM x_projects WHERE deleted_at IS NULL
@@ -250,15 +259,46 @@ def _editable(spark, d):
     return A.editable_projects(tb.projects(spark, d), members(spark, d))
 
 
+#: The tables that hang on projects, and what each row refers to.
+REFERENCES = (
+    Reference("run", ("project_id",), "project", ("project_id",)), Reference("package", ("project_id",), "project", ("project_id",)), Reference("member", ("project_id",), "project", ("project_id",)),
+    Reference("webhook", ("project_id",), "project", ("project_id",)), Reference("review", ("run_id",), "run", ("id",)), Reference("evidence", ("run_id",), "run", ("id",)), Reference("job", ("run_id",), "run", ("id",)),
+    Reference("delivery", ("webhook_id",), "webhook", ("id",)),
+)
+
+cte(
+    "x_gone",
+    f"SELECT project_id FROM x_projects WHERE deleted_at < {_NOW} - INTERVAL 30 DAY",
+)
+
+
 @query(
     "purge_candidates",
-    f"""SELECT p.project_id, 'project' AS kind, p.project_id AS id FROM x_projects p WHERE deleted_at < {_NOW} - INTERVAL 30 DAY
-UNION ALL SELECT u.project_id, 'run', u.run_id FROM x_runs u JOIN x_projects p USING (project_id) WHERE u.v = 'a' AND deleted_at < {_NOW} - INTERVAL 30 DAY""",
+    """WITH r AS (SELECT run_id FROM x_runs JOIN x_gone USING (project_id) WHERE v = 'a')
+SELECT 'project' AS kind, project_id AS id FROM x_gone UNION ALL SELECT 'run', run_id FROM r UNION ALL SELECT 'review', decision_id FROM x_reviews JOIN r USING (run_id) UNION ALL SELECT 'evidence', id FROM x_evidence JOIN r USING (run_id)
+UNION ALL SELECT 'package', 'pkg-' || p_partkey FROM part JOIN x_gone ON project_id = 'prj-' || p_partkey % 150 UNION ALL SELECT 'member', project_id || '/' || user_id || '/' || role FROM x_members JOIN x_gone USING (project_id)
+UNION ALL SELECT DISTINCT 'job', 'job-' || l_orderkey || '-' || l_linenumber FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN r ON run_id = 'run-a-mdl-' || o_custkey
+UNION ALL SELECT 'webhook', 'whk-' || c_custkey FROM customer JOIN x_gone ON project_id = 'prj-' || c_custkey % 150
+UNION ALL SELECT 'delivery', 'dlv-' || event_id FROM events JOIN customer ON c_custkey = event_id % 1000 + 1 JOIN x_gone ON project_id = 'prj-' || c_custkey % 150""".join(("SELECT * FROM (", ")")),
 )
 def _purge(spark, d):
-    gone = A.purge_candidates(tb.projects(spark, d), 30, F.expr(NOW))
-    runs = A.purge_children(tb.runs(spark, d), gone).selectExpr("project_id", "'run' as kind", "run_id as id")
-    return gone.selectExpr("project_id", "'project' as kind", "project_id as id").unionByName(runs)
+    """Projects deleted more than 30 days ago, with everything that hangs on them."""
+    projects = tb.projects(spark, d)
+    orders = tb.table(spark, d, "orders").selectExpr("o_orderkey as l_orderkey", "concat('run-a-mdl-', o_custkey) as run_id")
+    tables = {
+        "project": projects.withColumn("id", F.col("project_id")),
+        "run": tb.runs(spark, d).withColumn("id", F.col("run_id")),
+        "review": tb.reviews_log(spark, d).withColumn("id", F.col("decision_id")),
+        "evidence": evidence(spark, d),
+        "package": tb.table(spark, d, "part").selectExpr("concat('pkg-', p_partkey) as id", "concat('prj-', p_partkey % 150) as project_id"),
+        "member": members(spark, d).withColumn("id", F.concat_ws("/", "project_id", "user_id", "role")),
+        "job": tb.table(spark, d, "lineitem").join(orders, "l_orderkey").selectExpr("concat('job-', l_orderkey, '-', l_linenumber) as id", "run_id"),
+        "webhook": tb.table(spark, d, "customer").selectExpr("concat('whk-', c_custkey) as id", "concat('prj-', c_custkey % 150) as project_id"),
+        "delivery": tb.table(spark, d, "events").selectExpr("concat('dlv-', event_id) as id", "concat('whk-', event_id % 1000 + 1) as webhook_id"),
+    }
+    gone = A.purge_candidates(projects, 30, F.expr(NOW)).select(F.col("project_id").alias("id"))
+    found = cascade(tables, dict.fromkeys(tables, ("id",)), REFERENCES, {"project": gone})
+    return reduce(DataFrame.unionByName, (df.select(F.lit(kind).alias("kind"), "id") for kind, df in found.items()))
 
 
 @query(
@@ -555,6 +595,6 @@ SELECT event_id, user_id, CAST(s AS BIGINT) AS window_us, position, position <=
 )
 def _quota(spark, d):
     e = tb.table(spark, d, "events").selectExpr("event_id", "user_id", "cast(ts as timestamp) as ts")
-    return L.quota_flags(e, "user_id", "ts", 43_200, 2).selectExpr(
+    return quota.quota_flags(e, "user_id", "ts", 43_200, 2).selectExpr(
         "event_id", "user_id", "unix_micros(window_start) as window_us", "cast(position as bigint) as position", "allowed", "retry_after"
     )
