@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
+from itertools import chain
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from modelgauge.functions.skew import latest, salted_join
 from modelgauge.operators.checks import (
@@ -58,17 +58,41 @@ def normalize_header_text(value: str | None) -> str | None:
     return re.sub(r"[^a-z0-9]+", " ", plain.lower()).strip()
 
 
-def _norm_header(column: str) -> Column:
-    def normal(values: pd.Series) -> pd.Series:
-        return values.map(normalize_header_text)
-
-    return F.pandas_udf(normal, StringType())(column)
+@lru_cache(maxsize=1)
+def _letters() -> tuple[str, str, dict[str, str]]:
+    """What `normalize_header_text` makes of single characters outside ASCII: characters that become one ASCII letter or digit, these
+    letters, and a table of those that become several (ligatures, fractions, squared units). All others separate words."""
+    singles, targets, several = [], [], {}
+    for code in chain(range(0x80, 0xD800), range(0xE000, 0x110000)):
+        char = chr(code)
+        plain = unicodedata.normalize("NFKD", char)
+        if plain == char:
+            continue
+        told = re.sub(r"[^a-z0-9]", " ", "".join(c for c in plain if not "\u0300" <= c <= "\u036f").lower())
+        if len(told) == 1 and told != " ":
+            singles.append(char)
+            targets.append(told)
+        elif told.strip() or not told:
+            several[char] = told
+    return "".join(singles), "".join(targets), several
+
+
+def norm_header(column: str | Column) -> Column:
+    """Normal form of header texts as a native expression: ASCII texts are lower-cased at once, others lose their combining marks and have
+    their letters replaced first; NULL stays NULL."""
+    text = F.col(column) if isinstance(column, str) else column
+    singles, targets, several = _letters()
+    plain = F.translate(F.regexp_replace(text, "[\u0300-\u036F]+", ""), singles, targets)
+    table = F.create_map(*(F.lit(x) for pair in several.items() for x in pair))
+    wide = F.array_join(F.transform(F.split(plain, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    marks = "[" + "".join(several) + "]"
+    told = F.when(text.rlike("^[\\x00-\\x7F]*$"), text).when(plain.rlike(marks), wide).otherwise(plain)
+    return F.trim(F.regexp_replace(F.lower(told), "[^a-z0-9]+", " "))
 
 
 def norm_headers(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Adds the normal form of `column`. The Python step sees each distinct text once; NULL stays NULL."""
-    distinct = df.select(F.col(column).alias("_h")).distinct().withColumn("_n", _norm_header("_h"))
-    return df.join(distinct, F.col(column).eqNullSafe(F.col("_h")), "left").drop("_h").withColumnRenamed("_n", out)
+    """Adds the normal form of `column`."""
+    return df.withColumn(out, norm_header(column))
 
 
 def _alias_tokens(spark) -> DataFrame:
@@ -86,7 +110,7 @@ def best_fields(headers: DataFrame) -> DataFrame:
 
     Words meet aliases by an equi-join, so only aliases that share a word with a header are looked at.
     """
-    words = headers.select("header").distinct().withColumn("_n", _norm_header("header")).selectExpr(
+    words = headers.select("header").distinct().withColumn("_n", norm_header("header")).selectExpr(
         "header", "_n", "explode(array_distinct(split(_n, ' '))) as token"
     )
     shared = (
@@ -261,8 +285,7 @@ def normalize_rows(rows: DataFrame) -> DataFrame:
     """Typed requirement, errors, warnings and status of every import row.
 
     Input: file, source_row, the canonical fields as text columns, and optionally derived (array),
-    formula_errors (array), status_override. All checks are narrow expressions; the only join carries the
-    normal form of the distinct type texts.
+    formula_errors (array), status_override. All checks are narrow expressions over one scan.
     """
     have = set(rows.columns)
     for name, default in (("derived", "cast(array() as array<string>)"), ("formula_errors", "cast(array() as array<string>)"), ("status_override", "cast(null as string)")):
@@ -382,6 +405,15 @@ def apply_row_edits(rows: DataFrame, edits: DataFrame) -> DataFrame:
     )
 
 
+def set_status(rows: DataFrame, statuses: DataFrame) -> DataFrame:
+    """Raw rows with a status (file, source_row, status, seq) asked for; the last one of a row wins. Follow with `normalize_rows`: a textual
+    requirement takes the status if it is one of a text's, and the row comes back included and unreviewed, whatever it was before."""
+    final = latest(statuses, ["file", "source_row"], [F.col("seq")]).select("file", "source_row", F.col("status").alias("_s"))
+    joined = rows.join(final, ["file", "source_row"], "left")
+    asked = F.coalesce("_s", "status_override") if "status_override" in rows.columns else F.col("_s")
+    return joined.withColumns({"status_override": asked, "edited": F.col("_s").isNotNull()}).drop("_s")
+
+
 def toggle_included(rows: DataFrame, toggles: DataFrame) -> DataFrame:
     """Flip rows (file, source_row): included rows are excluded by the user, excluded ones come back."""
     t = toggles.select("file", "source_row").distinct().withColumn("_t", F.lit(True))

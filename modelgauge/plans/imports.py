@@ -158,6 +158,20 @@ def _edits(spark, d):
     return IM.normalize_rows(IM.apply_row_edits(raw, edits)).selectExpr("file", "source_row", "requirement_id", "size(errors) = 0 as clean", "edited")
 
 
+@query(
+    "set_row_status",
+    """SELECT file, k AS source_row, CASE WHEN ty IN ('info', 'foo', 'none') AND k % 4 = 1 THEN CASE WHEN k % 8 = 1 THEN 'valid_requirement' ELSE 'informational' END ELSE status END AS status, k % 4 IN (1, 2) AS edited, true AS included,
+  len(warnings) = 0 AND NOT k % 4 IN (1, 2) AS reviewed FROM x_imp""",
+)
+def _statuses(spark, d):
+    """Every fourth row is called informational and half of those then a valid requirement; every other fourth gets a status that texts do not have."""
+    raw = import_rows(spark, d)
+    asked = lambda where, status, seq: raw.where(where).selectExpr("file", "source_row", f"'{status}' as status", f"{seq} as seq")
+    statuses = asked("source_row % 4 = 1", "informational", 1).unionByName(asked("source_row % 8 = 1", "valid_requirement", 2)).unionByName(asked("source_row % 4 = 2", "excluded", 1))
+    rows = IM.normalize_rows(IM.set_status(raw, statuses))
+    return rows.selectExpr("file", "source_row", "status", "edited", "included", "reviewed and not edited as reviewed")
+
+
 @query(
     "route_csv_fields",
     """SELECT o_orderkey AS source_row, CASE WHEN o_orderkey % 4 = 0 THEN 'door' ELSE 'office' END AS target_type, CASE WHEN o_orderkey % 2 = 0 THEN '12' WHEN o_orderkey % 3 = 0 THEN '1' ELSE '0.9' END AS minimum, CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE '2' END AS maximum FROM orders""",
@@ -215,12 +229,12 @@ def _suggest(spark, d):
     return IM.suggest_mappings(header_cells(cells(spark, d))).select("file", "sheet", "col", "header", "field", "confidence", "accepted")
 
 
-@query("normalize_headers", r"SELECT doc_id, h AS header, trim(regexp_replace(lower(strip_accents(h)), '[^a-z0-9]+', ' ', 'g')) AS norm FROM (SELECT doc_id, l AS h FROM x_lines0 WHERE NOT regexp_matches(l, '[^\x00-\x7FÀ-ÖØ-öø-ÿ]'))")
+@query("normalize_headers", r"SELECT doc_id, l AS header, trim(regexp_replace(lower(strip_accents(l)), '[^a-z0-9]+', ' ', 'g')) AS norm FROM x_lines0")
 def _norm(spark, d):
-    """Document lines of Latin-1 characters as header texts; other scripts have no strip function in SQL."""
+    """All document lines as header texts."""
     from modelgauge.operators import fragments as FR
 
-    lines = FR.read_fragments(tb.table(spark, d, "documents")).where("not exact_text rlike '[^\\\\x00-\\\\x7FÀ-ÖØ-öø-ÿ]'")
+    lines = FR.read_fragments(tb.table(spark, d, "documents"))
     return IM.norm_headers(lines.selectExpr("doc_id", "exact_text as header"), "header", "norm")
 
 
