@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from modelgauge.functions.ordered import stored
+
 CHUNK_ROWS = 50_000
 
 
@@ -45,19 +47,20 @@ def chunked_running_count(
 ) -> DataFrame:
     """Inclusive running count of `condition` per key in the order of the integer column `order`.
 
-    Two levels: a window inside (key, chunk of `order`), plus the chunk totals before it.
-    No task ever holds more than one chunk of a key, however long the key's sequence is.
+    The rows are written once with their condition, so what made them (text scans, classification) runs once. Two levels: a window inside
+    (key, chunk of `order`), plus the chunk totals before it, which read three narrow columns of the written rows. No task ever holds
+    more than one chunk of a key, however long the key's sequence is; without a second chunk there are no totals and no join.
     """
-    chunked = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk_rows))).withColumn(
-        "_hit", F.when(condition, 1).otherwise(0)
-    )
+    chunked = stored(df.withColumns({"_chunk": F.floor(F.col(order) / F.lit(chunk_rows)), "_hit": F.when(condition, 1).otherwise(0)}))
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(order)
+    running = chunked.withColumn("_inside", F.sum("_hit").over(inside))
+    if not _several(chunked):
+        return running.withColumn(out, F.col("_inside").cast("bigint")).drop("_chunk", "_hit", "_inside")
     totals = chunked.groupBy(*keys, "_chunk").agg(F.sum("_hit").alias("_total"))
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *keys, "_chunk", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset")
     )
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(order)
-    running = chunked.withColumn("_inside", F.sum("_hit").over(inside))
     return (
         running.join(offsets, [*keys, "_chunk"])
         .withColumn(out, F.col("_inside") + F.col("_offset"))
@@ -65,6 +68,11 @@ def chunked_running_count(
     )
 
 
+def _several(chunked: DataFrame) -> bool:
+    """Whether any row stands in another chunk than the first."""
+    return not chunked.where("_chunk > 0").isEmpty()
+
+
 def latest(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], keep: str = "last"
 ) -> DataFrame:
@@ -102,12 +110,17 @@ def chunked_last_values(
 ) -> DataFrame:
     """Several running last-non-NULL columns in one pass, per key in integer `order`.
 
-    Window inside (key, chunk), plus the last value carried from earlier chunks of the key.
+    The rows are written once. Window inside (key, chunk), plus the last value carried from earlier chunks of the key, if there are any.
     """
     names = list(values)
     chunked = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk_rows))).withColumns(
         {f"_v_{n}": v for n, v in values.items()}
     )
+    chunked = stored(chunked)
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(order)
+    local = chunked.withColumns({f"_h_{n}": F.last(f"_v_{n}", ignorenulls=True).over(inside) for n in names})
+    if not _several(chunked):
+        return local.select(*df.columns, *[F.col(f"_h_{n}").alias(n) for n in names])
     per_chunk = chunked.groupBy(*keys, "_chunk").agg(
         *[F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col(order))).alias(f"_l_{n}") for n in names]
     )
@@ -115,7 +128,5 @@ def chunked_last_values(
     carried = per_chunk.select(
         *keys, "_chunk", *[F.last(f"_l_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in names]
     )
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(order)
-    local = chunked.withColumns({f"_h_{n}": F.last(f"_v_{n}", ignorenulls=True).over(inside) for n in names})
     joined = local.join(carried, [*keys, "_chunk"])
     return joined.select(*df.columns, *[F.coalesce(f"_h_{n}", f"_c_{n}").alias(n) for n in names])

@@ -275,10 +275,14 @@ UNION ALL SELECT doc_id, 'image_page', count(*) FROM (SELECT *, {_QUALITY} AS q
 UNION ALL SELECT doc_id, 'unreliable_table', count(*) FROM x_lines0 WHERE i % 6 = 5 GROUP BY 1)""",
 )
 def _notices(spark, d):
-    """Rejected table lines are planted (one per sixth line), so the counts can be checked in SQL."""
-    pages = FR.page_quality(text_items(spark, d), pages_meta(spark, d))
-    rejected = FR.read_fragments(tb.table(spark, d, "documents")).where("pos % 6 = 5").selectExpr("doc_id", "cast(floor(pos / 8) + 1 as int) as page", "1 as rejected")
-    return FR.page_notices(pages, rejected)
+    """Every sixth line stands once more on a page of its own, twice beside itself in two rows of one column: not a table."""
+    items = text_items(spark, d)
+    narrow = FR.read_fragments(tb.table(spark, d, "documents")).where("pos % 6 = 5").selectExpr(
+        "doc_id", "cast(1000000 + pos as int) as page", "explode(sequence(0L, 3L)) as item", "exact_text as str"
+    )
+    narrow = narrow.selectExpr("doc_id", "page", "item", "str", "50D + 5 * (item % 2) as x", "700D - 20 * floor(item / 2) as y", "60D as width", "10D as height")
+    pages = FR.page_quality(items, pages_meta(spark, d))
+    return FR.page_notices(pages, FR.detect_tables(items.select(*narrow.columns).unionByName(narrow)).where("rejected > 0"))
 
 
 # ---- search and citations -------------------------------------------------------------------
@@ -295,15 +299,15 @@ def _search(spark, d):
 cte(
     "x_cites",
     """SELECT 'sug-' || doc_id || '-' || (pos // 2) AS suggestion_id, doc_id, CASE WHEN pos % 23 = 0 THEN 'frg-none' ELSE fragment_id END AS fragment_id, CASE WHEN pos % 19 = 0 THEN -1 ELSE 2 END AS start_offset,
-  CASE WHEN pos % 17 = 0 THEN length(t) + 5 ELSE least(length(t), 12) END AS end_offset, CASE WHEN pos % 13 = 0 THEN 'other words' ELSE substr(t, 3, least(length(t), 12) - 2) END AS quote, t, pos FROM x_pdf WHERE doc_id % 3 <> 0""",
+  CASE WHEN pos % 17 = 0 THEN length(t) + 5 ELSE least(length(t), 12) END AS end_offset, CASE WHEN pos % 13 = 0 THEN 'other words' ELSE substr(t, 3, least(length(t), 12) - 2) END AS quote, t, pos FROM x_pdf""",
 )
 _ERR = """CASE WHEN fragment_id = 'frg-none' THEN 'Unknown fragmentId ''frg-none''.' WHEN start_offset < 0 OR end_offset > length(t) OR start_offset >= end_offset THEN 'Invalid offsets for fragment ''' || fragment_id || '''.'
   WHEN substr(t, start_offset + 1, end_offset - start_offset) <> quote THEN 'Quote text does not match fragment ''' || fragment_id || ''' at the given offsets.' END"""
 
 
 def citations(spark: SparkSession, d: str) -> DataFrame:
-    """Quotes from the fragments of two thirds of the documents; faults follow from the position."""
-    return pdf_fragments(spark, d).where("doc_id % 3 <> 0").selectExpr(
+    """Quotes from the fragments of all documents; faults follow from the position."""
+    return pdf_fragments(spark, d).selectExpr(
         "concat('sug-', doc_id, '-', floor(pos / 2)) as suggestion_id", "doc_id", "if(pos % 23 = 0, 'frg-none', fragment_id) as fragment_id",
         "if(pos % 19 = 0, -1, 2) as start_offset", "if(pos % 17 = 0, length(exact_text) + 5, least(length(exact_text), 12)) as end_offset",
         "if(pos % 13 = 0, 'other words', substring(exact_text, 3, least(length(exact_text), 12) - 2)) as exact_text",
@@ -329,7 +333,8 @@ def _triage(spark, d):
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM x_pdf WHERE doc_id % 3 = 0 AND kind = 'mandatory_candidate') WHERE n <= 20""",
 )
 def _heuristics(spark, d):
-    return FR.heuristic_suggestions(pdf_fragments(spark, d), citations(spark, d)).drop("start_offset")
+    """Every third document has no suggestions."""
+    return FR.heuristic_suggestions(pdf_fragments(spark, d), citations(spark, d).where("doc_id % 3 <> 0")).drop("start_offset")
 
 
 @query(

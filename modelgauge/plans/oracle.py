@@ -8,7 +8,7 @@ from modelgauge.plans import rulebook
 
 _CTES: dict[str, str] = {}
 #: Parts that several others read: computed once.
-SHARED = {"x_findings", "x_resolved", "x_outcomes", "x_last", "x_simple", "x_composite", "x_rooms", "x_doors"}
+SHARED = {"x_findings", "x_resolved", "x_outcomes", "x_last", "x_simple", "x_composite", "x_rooms", "x_doors", "x_deltas", "x_evj", "x_inv", "x_keyed", "x_bridge", "x_metrics"}
 
 
 def cte(name: str, sql: str) -> None:
@@ -27,7 +27,8 @@ def build(body: str) -> str:
 
     visit(body)
     ctes = ",\n".join(f"{n} AS {'MATERIALIZED ' if n in SHARED else ''}(\n{s}\n)" for n, s in _CTES.items() if n in needed)
-    head = f"WITH RECURSIVE {ctes}\n" if ctes else ""
+    circular = any(n in needed and re.search(rf"\b{n}\b", s) for n, s in _CTES.items())
+    head = f"WITH {'RECURSIVE ' if circular else ''}{ctes}\n" if ctes else ""
     body = body.strip()
     if head and body.startswith("WITH "):
         body = f"SELECT * FROM (\n{body}\n)"
