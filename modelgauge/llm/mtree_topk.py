@@ -3,13 +3,14 @@
 Inner product is no metric, so vectors get one more component that gives all of them the same norm R (queries get 0 there): the nearest
 vectors in Euclidean distance are then those with the largest inner product, |q - x|^2 = |q|^2 + R^2 - 2 q.x.
 
-The top level of the tree is a bounded set of routing vectors with covering radii; below each, its vectors are dealt into parts of bounded size, each
-holding an M-tree of pages. A page's entries have a vector, a covering radius and the distance to the page's own routing vector. The search takes
+The top level of the tree is a set of routing vectors with covering radii, which grows with the root of the number of rows; below each, its vectors
+are dealt into parts of bounded size, each holding an M-tree of pages. A page's entries have a vector, a covering radius and the distance to the page's own routing vector. The search takes
 the page with the best bound first; the triangle inequality over stored parent distances skips entries without computing their distance,
 and covering radii skip pages.
 
 A query first searches the part nearest to it. Its k-th score then rules out most routing vectors; the parts under the others are searched with
-that score as the bar to beat. Queries meet a part in blocks of bounded size.
+that score as the bar to beat. The pages of a part are sent once to every QUERY_BLOCK queries that have to search it, and queries stream past them, so
+shuffled bytes and held rows follow the searches that are needed.
 
 Components are floor(256 * x). Vectors that are null or hold null, NaN or infinite components, and rows without an id, take no part; shorter vectors are
 filled up with zeros. Rows with the query's own id are no candidates. Equal query rows count once. Scores are exact for components up to 2**20.
@@ -31,6 +32,9 @@ from modelgauge.llm.common import stored
 
 SCALE = 256
 ROUTES = 64
+#: One routing vector for so many roots of the number of rows, ROUTES at least.
+ROOTS = 4
+VISITS = 5000
 PART_ROWS = 4096
 LEAF = 96
 FAN_OUT = 12
@@ -181,36 +185,30 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     quantised = lambda rows: rows.select("vec_id", "embedding").mapInArrow(_quantised(width), "vec_id long, v binary, norm double")
     table = stored(quantised(vectors), "vectors")
     asks = stored(quantised(queries).dropDuplicates(["vec_id", "v"]), "asks")
-    top = table.agg(F.max("norm")).first()[0]
+    top, rows = table.agg(F.max("norm"), F.count("*")).first()
     if top is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    seeds = [r[0] for r in table.groupBy("v").agg(F.min("vec_id").alias("i")).orderBy(F.xxhash64("v")).limit(ROUTES).select("v").collect()]
+    most = max(ROUTES, math.isqrt(rows) // ROOTS)
+    seeds = [r[0] for r in table.groupBy("v").agg(F.min("vec_id").alias("i")).orderBy(F.xxhash64("v")).limit(most).select("v").collect()]
     routes = lifted(_rows(seeds), top)
     placed = table.mapInArrow(_routed(routes, top), "vec_id long, v binary, norm double, route int, far double")
-    found = placed.groupBy("route").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()  # at most ROUTES rows
+    found = placed.groupBy("route").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()  # a row for each routing vector
     parts = {r["route"]: -(-r["n"] // PART_ROWS) for r in found}
     radius = {r["route"]: r["far"] for r in found}
-    part = F.concat_ws("/", "route", F.pmod(F.xxhash64("vec_id", "v"), _lookup(parts, F.col("route"))))
-    pages = stored(placed.select("vec_id", "v", part.alias("part")).groupBy("part").applyInPandas(_builder(top), PAGE), "pages")
+    cut = spark.createDataFrame(sorted(parts.items()), "route int, parts long")
+    part = F.concat_ws("/", "route", F.pmod(F.xxhash64("vec_id", "v"), F.col("parts")))
+    pages = stored(placed.join(cut, "route").select("vec_id", "v", part.alias("part")).groupBy("part").applyInPandas(_builder(top), PAGE), "pages")
 
-    n = asks.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    block = F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int")
     named = asks.select("vec_id", "v").mapInArrow(_visits(routes, top, parts, None), "query_id long, q binary, part string, bar double")
-    first = _search(pages, named, blocks, width, top, k)
-    first = stored(first, "first")
+    first = stored(_search(pages, named, width, top, k), "first")
     bars = first.groupBy("query_id", "q").agg(F.when(F.count("*") >= k, F.min("score")).alias("bar"))
-    rest = asks.withColumn("b", block).join(bars.withColumnsRenamed({"query_id": "vec_id", "q": "v"}), ["vec_id", "v"], "left")
+    rest = asks.join(bars.withColumnsRenamed({"query_id": "vec_id", "q": "v"}), ["vec_id", "v"], "left")
     rest = rest.select("vec_id", "v", F.col("bar").cast("double")).mapInArrow(_visits(routes, top, parts, radius), "query_id long, q binary, part string, bar double")
-    every = first.union(_search(pages, rest, blocks, width, top, k))
+    every = first.union(_search(pages, rest, width, top, k))
     order = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
     return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _lookup(values: dict[int, int], key: F.Column) -> F.Column:
-    return F.element_at(F.create_map(*(F.lit(x) for kv in sorted(values.items()) for x in kv)), key)
-
-
 def _builder(top: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("vec_id")
@@ -222,6 +220,10 @@ def _builder(top: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
 def _visits(routes: np.ndarray, top: float, parts: dict[int, int], radius: dict[int, float] | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Parts a query has to search: one of its nearest route's (no `radius`), or all others that its bar doesn't rule out."""
     live = np.array(sorted(parts))
+    types = (pa.int64(), pa.binary(), pa.string(), pa.float64())
+
+    def batch_of(out: tuple[list, ...]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["query_id", "q", "part", "bar"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,20 +247,43 @@ def _visits(routes: np.ndarray, top: float, parts: dict[int, int], radius: dict[
                 for p in wanted:
                     for column, x in zip(out, (i, v, p, bar), strict=True):
                         column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.binary(), pa.string(), pa.float64()), strict=True)], ["query_id", "q", "part", "bar"])
+                    if len(out[0]) >= VISITS:
+                        yield batch_of(out)
+                        out = ([], [], [], [])
+            yield batch_of(out)
 
     return run
 
 
-def _search(pages: DataFrame, visits: DataFrame, blocks: int, width: int, top: float, k: int) -> DataFrame:
-    def run(key: tuple, tree: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(tree) and len(asks):
-            t = Tree(tree, width + 1, top)
-            for a in asks.itertuples():
-                out += [(a.query_id, a.q, i, s) for s, i in t.search(np.frombuffer(a.q, np.float64), a.query_id, k, a.bar)]
-        return pd.DataFrame(out, columns=["query_id", "q", "vec_id", "score"])
+def _found(width: int, top: float, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Answers of queries that stream past the pages of their part: rows sorted by part, block and kind, pages (kind 0) first."""
+    names, types = ["query_id", "q", "vec_id", "score"], (pa.int64(), pa.binary(), pa.int64(), pa.int64())
+    cells = [c.split()[0] for c in PAGE.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, pages, tree = None, [], None
+        for batch in batches:
+            out: list[tuple] = []
+            for row in batch.to_pylist():
+                if row["kind"] == 0:
+                    if (row["part"], row["block"]) != at:
+                        at, pages, tree = (row["part"], row["block"]), [], None
+                    pages.append([row[c] for c in cells])
+                    continue
+                if tree is None:
+                    tree = Tree(pd.DataFrame(pages, columns=cells), width + 1, top)
+                out += [(row["query_id"], row["q"], i, s) for s, i in tree.search(np.frombuffer(row["q"], np.float64), row["query_id"], k, row["bar"])]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(types)], names)
+
+    return run
+
 
-    spread = pages.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = visits.withColumn("block", F.pmod(F.xxhash64("query_id", "q"), F.lit(blocks)).cast("int"))
-    return spread.groupBy("part", "block").cogroup(dealt.groupBy("part", "block")).applyInPandas(run, "query_id long, q binary, vec_id long, score long")
+def _search(pages: DataFrame, visits: DataFrame, width: int, top: float, k: int) -> DataFrame:
+    """query_id, q, vec_id, score: up to k rows of every part that a query visits (query_id, q, part, bar)."""
+    visits = stored(visits, "visits")
+    blocks = visits.groupBy("part").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
+    sent = pages.join(blocks, "part").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("kind", F.lit(0))
+    asked = visits.join(blocks, "part").withColumns({"block": F.pmod(F.xxhash64("query_id", "q"), F.col("blocks")).cast("int"), "kind": F.lit(1)})
+    both = sent.drop("blocks").unionByName(asked.drop("blocks"), allowMissingColumns=True)
+    dealt = both.repartition("part", "block").sortWithinPartitions("part", "block", "kind")
+    return dealt.mapInArrow(_found(width, top, k), "query_id long, q binary, vec_id long, score long")
