@@ -1,12 +1,12 @@
-"""Context-mixing range coder for blocks of token ids, many blocks side by side.
+"""Range coder for blocks of token ids over an escape cascade of contexts, many blocks side by side.
 
 Every block starts from a fresh model, so blocks can be coded in lock step: a step codes one id of each block with numpy operations over
 all of them. The model of a block predicts an id from the last two ids and from the last one (hashed tables with a confidence of 0 to 3 each)
 and keeps an order-0 distribution of the ids' upper bytes. Whether the order-2 and the order-1 prediction hold is coded with adaptive probabilities
-chosen by both confidences and by whether the predictions agree, which mixes the two; an id that neither predicts is coded by its
-upper byte in an adaptive binary tree and its lower byte evenly. The coder is a carryless range coder with 32 bits.
+chosen by both confidences and by whether the predictions agree; an id that neither predicts is coded by its upper byte in an adaptive
+binary tree and its lower byte evenly. The coder is a carryless range coder with 32 bits.
 
-Ids are below 65536. Blocks may differ in length; an empty block has no bytes.
+Ids are below 65536, larger ones raise an error. Blocks may differ in length; an empty block has no bytes.
 """
 
 from __future__ import annotations
@@ -186,6 +186,8 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     order, lengths = order[:m], sizes[order[:m]]
     table = np.zeros((steps, m), np.uint32)
     for lane, i in enumerate(order):
+        if blocks[i].max() > NONE:
+            raise ValueError(f"token ids must be below {NONE + 1}, found {blocks[i].max()}")
         table[: sizes[i], lane] = blocks[i]
     model, sink = _Model(m), _Sink(m, 2 * steps + 64)
     low, span = np.zeros(m, np.uint32), np.full(m, 0xFFFFFFFF, np.uint32)

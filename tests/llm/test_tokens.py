@@ -106,6 +106,12 @@ def test_coder_round_trip(blocks):
     assert all(np.array_equal(a, b) for a, b in zip(blocks, back, strict=True))
 
 
+def test_ids_above_two_bytes_are_an_error():
+    assert range_coder.decode(range_coder.encode([np.array([65535, 0, 65535], np.uint32)]), [3])[0].tolist() == [65535, 0, 65535]
+    with pytest.raises(ValueError, match="70000"):
+        range_coder.encode([np.zeros(0, np.uint32), np.array([5, 70000], np.uint32)])
+
+
 def test_crc_joined():
     a, b = bytes(range(200)), b"xyz" * 70
     assert token_files.crc_joined(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
