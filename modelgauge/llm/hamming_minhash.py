@@ -11,7 +11,7 @@ Links are confirmed on full sets: 100 * intersection >= 75 * union.
 
 Equal texts are one node from the start. Null text, empty text and text without words have an empty set and are linked with nothing.
 A text of fewer than five words is one shingle. A null doc_id takes part but is no candidate for the component's smallest id; repeated
-doc_ids with different texts are different nodes.
+doc_ids with different texts are different nodes. Only doc_id and text are read, so further columns may have any name.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ Fingerprints depend on the text alone. Null text counts as empty; empty texts ha
 and nothing else.
 
 `with_next` pairs every document with the next one in falling doc_id order (the last with the first) by windows over quantile buckets of
-the id; each bucket also gets the first documents of the following one. Documents without an id come last, ties go by text.
+the id; each bucket also gets the first documents of the following one. Documents without an id come last, ties go by text. Only doc_id and
+text are read, so further columns may have any name.
 """
 
 from __future__ import annotations
