@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from modelgauge.functions.columns import fmt_num_sql
 from modelgauge.functions.jsontext import EVIDENCE_JSON, csv_line
+from modelgauge.functions.skew import salted_join
 
 FINDING_HEADERS = (
     "run_id", "requirement_id", "rule_id", "status", "severity", "element_type", "affected_element_ids", "summary", "evidence",
@@ -54,7 +55,7 @@ def findings_sarif(findings: DataFrame, req: DataFrame) -> DataFrame:
         .when(F.col("severity") == "warning", "warning")
         .otherwise("note")
     )
-    return problems.join(source, ["run_id", "requirement_id"], "left").select(
+    return salted_join(problems, source, ["run_id", "requirement_id"], ["element_pos"], how="left").select(
         "run_id", "requirement_id", "rule_id", level.alias("level"), F.col("summary").alias("message"),
         F.expr(
             "transform(affected_element_ids, i -> named_struct('name', i, 'fullyQualifiedName', concat(element_type, ':', i), 'kind', element_type))"
@@ -117,7 +118,7 @@ def spec_to_flat(req: DataFrame, packages: DataFrame) -> DataFrame:
 
 def findings_sheet(findings: DataFrame, req: DataFrame) -> DataFrame:
     titles = req.select("run_id", "requirement_id", F.col("title").alias("_t"))
-    return findings.join(titles, ["run_id", "requirement_id"], "left").select(
+    return salted_join(findings, titles, ["run_id", "requirement_id"], ["element_pos"], how="left").select(
         "run_id", "requirement_id", F.coalesce("_t", "requirement_title").alias("title"), "rule_id", "status", "severity", "element_type",
         F.array_join("affected_element_ids", "; ").alias("affected_element_ids"), "summary",
         F.expr("array_join(transform(evidence, e -> e.message), ' | ')").alias("evidence_messages"),
@@ -174,7 +175,7 @@ def report_lines(
     return overview.unionByName(breakdown).unionByName(details)
 
 
-# Wording of the run summary.
+# Wording of the run summary, as of the report lines, CSV headers and sheet fields above.
 ROLE_TITLE = {"Design Engineer": "Technical summary", "Stockroom Personnel": "Operational summary"}
 ROLE_TAIL = {
     "Stockroom Personnel": "- Guidance: Use spaces cautiously where failures or unknowns exist.",

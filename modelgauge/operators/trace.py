@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modelgauge.functions.columns import iso_ts, percent
+from modelgauge.functions.skew import salted_join
 from modelgauge.operators.metrics import outcomes
 
 EXECUTABLE_TYPES = (
@@ -240,7 +241,10 @@ def traceability_flat(rows: DataFrame, findings: DataFrame) -> DataFrame:
         F.coalesce("review_comment", F.lit("")).alias("review_comment"),
         F.coalesce(iso_ts(F.col("review_updated_at")), F.lit("")).alias("review_updated_at"),
     )
-    joined = base.join(detail, ["run_id", "requirement_id"], "left")
+    # A requirement with most of the findings is spread over many tasks; those without any are added.
+    keys = ["run_id", "requirement_id"]
+    bare = base.join(detail.select(*keys).distinct(), keys, "left_anti")
+    joined = salted_join(detail, base, keys, ["element_pos"]).unionByName(bare, allowMissingColumns=True)
     blank = ["rule_id", "element_type", "finding_status", "finding_summary", "affected_element_ids"]
     return joined.fillna("", blank).fillna("0", ["evidence_count"]).select(
         "run_id", *FLAT_COLUMNS, "req_pos", F.coalesce("element_pos", F.lit(0)).alias("element_pos")

@@ -91,18 +91,25 @@ def _sanitize(spark, d):
     return names.selectExpr("p_partkey", f"{RD.sanitize_file_name('n')} as safe")
 
 
+_UPLOADED = """SELECT doc_id, ['csv', 'model_json', 'pdf', 'ifc', 'tar'][doc_id // 8 % 5 + 1] AS kind, ['.csv', '.json', '.pdf', '.ifc', '.tar'][doc_id // 8 % 5 + 1] AS ext, [10, 5, 20, 20, 0][doc_id // 8 % 5 + 1] AS mb,
+  ['zip', 'pdf', 'step', 'json', 'empty', 'unknown', 'text', 'text'][doc_id % 8 + 1] AS container FROM documents"""
+
+
 @query(
     "screen_files",
-    """SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'zip' WHEN 1 THEN 'pdf' WHEN 2 THEN 'step' WHEN 3 THEN 'json' WHEN 4 THEN 'empty' WHEN 5 THEN 'unknown' ELSE 'text' END AS container,
-  CASE doc_id % 8 WHEN 2 THEN 'Only .csv files are accepted.' WHEN 4 THEN 'The uploaded file is empty.' WHEN 6 THEN 'The declared content type is not allowed for this upload.' WHEN 0 THEN 'File content does not match its declared format.'
-    WHEN 1 THEN 'File content does not match its declared format.' WHEN 5 THEN 'File content does not match its declared format.' END AS reason FROM documents""",
+    f"""SELECT doc_id, kind, container, CASE WHEN kind = 'tar' THEN 'Unknown upload kind.' WHEN doc_id % 11 = 0 THEN 'Only ' || ext || ' files are accepted.' WHEN doc_id % 13 = 0 THEN 'The declared content type is not allowed for this upload.'
+  WHEN container = 'empty' THEN 'The uploaded file is empty.' WHEN doc_id % 17 = 0 THEN 'The file exceeds the ' || mb || ' MB limit.'
+  WHEN NOT (kind = 'csv' AND container IN ('text', 'json') OR kind = 'model_json' AND container = 'json' OR kind = 'pdf' AND container = 'pdf' OR kind = 'ifc' AND container = 'step') THEN 'File content does not match its declared format.' END AS reason
+FROM ({_UPLOADED})""",
 )
 def _screen(spark, d):
-    """Documents as uploads of eight shapes, all declared as csv."""
+    """Documents as uploads of eight shapes and five kinds; some with another extension, content type or size than their kind allows."""
+    of = lambda *names: f"element_at(array({', '.join(repr(n) for n in names)}), cast(floor(doc_id / 8) % 5 + 1 as int))"
     files = tb.table(spark, d, "documents").selectExpr(
-        "doc_id", "concat('up/', doc_id, if(doc_id % 8 = 2, '.ifc', '.csv')) as file_name", "'csv' as kind", "if(doc_id % 8 = 6, 'image/png', 'text/csv; charset=utf-8') as mime",
+        "doc_id", f"concat('up/', doc_id, if(doc_id % 11 = 0, '.txt', {of('.csv', '.json', '.PDF', '.ifc', '.tar')})) as file_name", f"{of('csv', 'model_json', 'pdf', 'ifc', 'tar')} as kind",
+        "case when doc_id % 13 = 0 then 'image/png' when doc_id % 2 = 0 then 'application/octet-stream; q=1' end as mime",
         """case doc_id % 8 when 0 then concat(unhex('504B0304'), encode(text, 'UTF-8')) when 1 then encode(concat('%PDF-1.7 ', text), 'UTF-8') when 2 then encode(concat('iso-10303-21; ', text), 'UTF-8')
             when 3 then encode(concat(' {', text), 'UTF-8') when 4 then cast('' as binary) when 5 then concat(encode('x', 'UTF-8'), unhex('00'), encode(text, 'UTF-8')) else encode(concat('x', text), 'UTF-8') end as content""",
-    ).withColumn("length", F.octet_length("content"))
+    ).withColumn("length", F.expr("if(doc_id % 17 = 0 and octet_length(content) > 0, 22020096, octet_length(content))"))
     out = RD.screen_files(files)
-    return out.selectExpr("cast(regexp_extract(file_name, '([0-9]+)', 1) as bigint) as doc_id", "container", "reason")
+    return out.selectExpr("cast(regexp_extract(file_name, '([0-9]+)', 1) as bigint) as doc_id", "kind", "container", "reason")

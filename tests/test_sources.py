@@ -98,7 +98,7 @@ def test_large_step_file_feeds_many_tasks(spark, tmp_path):
     assert len(want) == 401
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     try:
-        for size in ("300", "4096", before):
+        for size in ("300", before):
             spark.conf.set("spark.sql.files.maxPartitionBytes", size)
             spark.conf.set("spark.sql.files.openCostInBytes", "64")
             got = step.read_step_entities(spark, str(tmp_path)).collect()

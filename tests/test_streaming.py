@@ -71,21 +71,17 @@ def test_quota_stream_matches_fold(spark, tmp_path, timers):
 
     def run(some):
         spark.createDataFrame([(str(k), e, t.to_pydatetime()) for k, e, t in some], schema).coalesce(1).write.mode("append").parquet(src)
-        q = quota_stream(spark, src, schema, state, "10 seconds")
-        q.awaitTermination()
-        return q
+        quota_stream(spark, src, schema, state, "10 seconds").awaitTermination()
 
     run(rows[:100])
     run(rows[100:])
     got = {r.event_id: (pd.Timestamp(r.window_start), r.position, r.allowed, r.retry_after) for r in spark.read.parquet(state + "/out").collect()}
     assert got == want
     far = rows[-1][2] + pd.Timedelta(days=1)
-    q = run([(99, 1, far)])
-    q = run([(99, 2, far)])
-    held = [p["stateOperators"][0]["customMetrics"] for p in q.recentProgress if p["stateOperators"]]
-    from pyspark.sql.streaming import StatefulProcessor  # noqa: F401
+    run([(99, 1, far)])
+    run([(99, 2, far)])
     left = spark.read.format("statestore").option("path", state).option("stateVarName", "window").load()
-    assert [r.key[0] for r in left.select("key").collect()] == ["99"] and held
+    assert [r.key[0] for r in left.select("key").collect()] == ["99"]
 
 
 def test_hot_key_in_one_batch_is_answered_in_pieces():
@@ -109,7 +105,7 @@ def usage_rows(rng, n):
 
 def test_usage_is_merged_once_however_late(spark, tmp_path):
     rng = random.Random(4)
-    batches = [usage_rows(rng, 40) for _ in range(4)]  # months in any order: late rows count
+    batches = [usage_rows(rng, 40) for _ in range(3)]  # months in any order: late rows count
     path = str(tmp_path / "usage")
     frames = [spark.createDataFrame(b, "user_id string, t string, kind string, amount long").withColumn("ts", F.to_timestamp("t")).drop("t") for b in batches]
 
@@ -131,10 +127,10 @@ def test_usage_is_merged_once_however_late(spark, tmp_path):
         assert table() == total(n + 1)
     assert len(os.listdir(path + "/ledger")) == 2
     # a batch that dies before its ledger entry leaves the table as it was
-    shutil.rmtree(path + "/ledger/batch=3")
+    shutil.rmtree(path + "/ledger/batch=2")
+    assert table() == total(2)
+    merge.merge(frames[2], 2, path, ("user_id",), jobs.added_usage, jobs.USAGE, buckets=3)
     assert table() == total(3)
-    merge.merge(frames[3], 3, path, ("user_id",), jobs.added_usage, jobs.USAGE, buckets=3)
-    assert table() == total(4)
 
 
 def test_merge_touches_only_its_buckets(spark, tmp_path):
@@ -167,14 +163,13 @@ def test_review_intervals_in_any_order(spark, tmp_path):
     schema = "run_id string, requirement_id string, decision_id string, status string, t string"
     frame = lambda rows: spark.createDataFrame(rows, schema).withColumn("decided_at", F.to_timestamp("t")).drop("t")
     want = sorted(map(str, access.review_history(frame(log)).collect()))
-    for attempt in range(2):
-        order = rng.sample(log, len(log))
-        src, out, state = (str(tmp_path / f"{n}{attempt}") for n in ("src", "out", "state"))
-        for a in (0, 13, 30):
-            again = order[: 5 if a else 0]  # some decisions arrive twice
-            frame(order[a : {0: 13, 13: 30, 30: 99}[a]] + again).coalesce(1).write.mode("append").parquet(src)
-            stream = spark.readStream.schema(frame(log).schema).parquet(src)
-            jobs.stream_reviews(stream, out, state).start().awaitTermination()
-        current, history = jobs.review_tables(spark, out, jobs.history_schema(frame(log)))
-        assert sorted(map(str, history.collect())) == want
-        assert sorted(r.decision_id for r in current.collect()) == sorted(r.decision_id for r in access.current_reviews(frame(log)).collect())
+    order = rng.sample(log, len(log))
+    src, out, state = (str(tmp_path / n) for n in ("src", "out", "state"))
+    for a, b in ((0, 13), (13, 30), (30, 99)):
+        again = order[: 5 if a else 0]  # some decisions arrive twice
+        frame(order[a:b] + again).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(frame(log).schema).parquet(src)
+        jobs.stream_reviews(stream, out, state).start().awaitTermination()
+    current, history = jobs.review_tables(spark, out, jobs.history_schema(frame(log)))
+    assert sorted(map(str, history.collect())) == want
+    assert sorted(r.decision_id for r in current.collect()) == sorted(r.decision_id for r in access.current_reviews(frame(log)).collect())
