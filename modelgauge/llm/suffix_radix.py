@@ -32,6 +32,8 @@ from modelgauge.llm.common import RollingDigest, extended, mix, slices, stored,
 
 WINDOW = 400
 BYTES, WORDS = "bytes", "words"
+#: Bytes of texts that are held as digests at a time; words take some ten times their bytes while they are digested.
+SLICE = {BYTES: 2 << 20, WORDS: 1 << 18}
 #: Groups of more distinct surroundings than this compare windows by an aggregation over all tasks; a smaller one is held in a task (about 1.5 KB
 #: for each, as windows are compared for OFFSETS offsets at a time).
 TASK_GROUP = 100_000
@@ -50,10 +52,8 @@ def word_edges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.flatnonzero(inside & (~before | cut)), np.flatnonzero(before & (~inside | cut))
 
 
-def token_values(data: np.ndarray, offsets: np.ndarray, unit: str) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit value for every token of the texts, and the n + 1 offsets of the texts in them."""
-    if unit == BYTES:
-        return _TABLE[data], offsets
+def word_values(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit value for every word of the texts, and the n + 1 offsets of the texts in them."""
     begin, end = word_edges(data, offsets)
     return RollingDigest(data, _TABLE).of(begin, end) if len(begin) else np.zeros(0, np.uint64), np.searchsorted(begin, offsets)
 
@@ -87,14 +87,16 @@ def _anchor_rows(window: int, unit: str) -> Callable[[Iterator[pa.RecordBatch]],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
-                data, offsets = token_values(*text_bytes(batch.column("text")), unit)
+            for batch in slices(whole, "text", SLICE[unit]):
+                data, offsets = text_bytes(batch.column("text"))
+                if unit == WORDS:
+                    data, offsets = word_values(data, offsets)
                 row: list[np.ndarray] = []
                 columns: list[list] = [[] for _ in types]
                 for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
                     if b - a < window:
                         continue
-                    *found, spans = own_kinds(RollingDigest(data[a:b]), b - a, window)
+                    *found, spans = own_kinds(RollingDigest(data[a:b], _TABLE if unit == BYTES else None), b - a, window)
                     m = len(found[0]) + bool(spans)
                     row.append(np.full(m, i))
                     for column, x in zip(columns, (found[0].view(np.int64), found[1].view(np.int64), found[2], found[3], np.full(len(found[0]), b - a), found[4]), strict=False):
@@ -153,7 +155,7 @@ def _surroundings(window: int, unit: str) -> Callable[[Iterator[pa.RecordBatch]]
                     body = text.encode()
                     if unit == WORDS:
                         body = np.frombuffer(body, np.uint8)
-                        body = token_values(body, np.array([0, len(body)]), unit)[0]
+                        body = word_values(body, np.array([0, len(body)]))[0]
                     for w in wanted:
                         left = min(w["pos"], window - gram)
                         for name in ("k", "f", "n", "m"):
@@ -171,7 +173,7 @@ def _window_digests(bodies: list[bytes], left: np.ndarray, window: int, offsets:
     """Digest of the window that begins d bytes before the anchor, for every surrounding (row) and d (column), and which exist; so many
     offsets d at a time."""
     data = np.frombuffer(b"".join(bodies), dtype=np.uint8 if unit == BYTES else np.uint64)
-    digest = RollingDigest(_TABLE[data] if unit == BYTES else data)
+    digest = RollingDigest(data, _TABLE if unit == BYTES else None)
     sizes = np.array([len(b) for b in bodies], dtype=np.int64) // data.itemsize
     base = np.cumsum(sizes) - sizes
     last = window - window // 2 + 1
