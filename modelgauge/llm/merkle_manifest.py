@@ -7,7 +7,7 @@ first. A missing partner is left out of H. A single leaf is its own subroot; wit
 any sibling has the proof of no input. Only the named columns are read, so further columns may have any name. An empty table has no
 row. Long texts are hashed in the scan and never shuffled.
 
-The levels are built bottom-up and stored as node rows. A row holds LEVELS levels over 256 neighbouring nodes and the link to its
+The levels are built bottom-up and stored as node rows. A row holds LEVELS levels over 64 neighbouring nodes and the link to its
 parent row (row name and place there); the top row of a language links to the tree over the languages. Proofs are a Spark recursive
 query: every leaf climbs from row to row along the parent links, appends the siblings and folds its (possibly tampered) hash.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from modelgauge.llm.common import ranked, stored
 
-LEVELS = 8
+LEVELS = 6
 WIDTH = 1 << LEVELS
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
