@@ -59,6 +59,16 @@ def test_salted_join_matches_plain_join(spark):
         assert got == sorted(map(tuple, big.join(small, "k", how).select("id", "k", "t").collect()), key=str)
 
 
+def test_unsalted_join_copies_nothing(spark):
+    big = spark.range(100).selectExpr("id", "if(id < 60, 1, id) as k")
+    small = spark.createDataFrame([(1, "a"), (1, "b"), (70, "c")], "k long, t string")
+    for how in ("inner", "left", "left_anti"):
+        df = salted_join(big, small, ["k"], ["id"], how=how)
+        assert sorted(df.collect(), key=str) == sorted(big.join(small, "k", how).select(*df.columns).collect(), key=str)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan and "BroadcastExchange" not in plan and "SortMergeJoin" in plan
+
+
 def fold_quota(rows, width, limit):
     state, out = {}, {}
     for key, eid, ts in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
