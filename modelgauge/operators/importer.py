@@ -10,7 +10,8 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modelgauge.functions.skew import latest, salted_join
+from modelgauge.functions.ordered import stored
+from modelgauge.functions.skew import latest
 from modelgauge.operators.checks import (
     AREA_UNITS, LENGTH_UNITS, QUANTITY_TYPES, ROOM_TYPES, SEVERITIES, repeats_after_first, sql_in,
 )
@@ -47,6 +48,7 @@ RULE_TYPES = {
     "room_has_connected_door": "room_has_connected_door", "composite": "composite_room_rule", "composite_room_rule": "composite_room_rule",
     "informational": "textual_requirement", "textual_requirement": "textual_requirement",
 }
+HEADER_ROWS = 50
 REQUIRED_HIGH = ("id", "title", "type", "severity")
 CONDITIONS_JSON = "array<struct<type:string,minAreaSqm:double,maxAreaSqm:double,minDoorWidthM:double,maxDoorWidthM:double,quantifier:string>>"
 
@@ -83,7 +85,8 @@ def norm_header(column: str | Column) -> Column:
     text = F.col(column) if isinstance(column, str) else column
     singles, targets, several = _letters()
     plain = F.translate(F.regexp_replace(text, "[\u0300-\u036F]+", ""), singles, targets)
-    table = F.create_map(*(F.lit(x) for pair in several.items() for x in pair))
+    # One text literal that Spark folds into a map, not a node of the plan for each letter.
+    table = F.str_to_map(F.lit("\u0001".join(f"{k}\u0002{v}" for k, v in several.items())), F.lit("\u0001"), F.lit("\u0002"))
     wide = F.array_join(F.transform(F.split(plain, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
     marks = "[" + "".join(several) + "]"
     told = F.when(text.rlike("^[\\x00-\\x7F]*$"), text).when(plain.rlike(marks), wide).otherwise(plain)
@@ -131,12 +134,11 @@ def suggest_mappings(headers: DataFrame) -> DataFrame:
     """headers (file, sheet, row, col, header) -> + field, confidence, score, accepted.
 
     A field is given to the first column of the header row that suggests it; later ones are unmapped.
-    Scoring runs once per distinct header text; blank texts map to nothing and skip it, common texts are salted by file.
+    Scoring runs once per distinct header text, and its result is written, so that Spark knows its size: a few texts that all files share
+    are broadcast and the cells stay where they are. Blank texts have no words, so they map to nothing.
     """
     blank = F.trim(F.coalesce(F.col("header"), F.lit(""))) == ""
-    scored = salted_join(headers.where(~blank), best_fields(headers.where(~blank)), ["header"], ["file", "sheet", "row"], how="left")
-    none = headers.where(blank).withColumns({"_field": F.lit(None).cast("string"), "_score": F.lit(None).cast("int")})
-    tagged = scored.unionByName(none)
+    tagged = headers.join(stored(best_fields(headers.where(~blank))), "header", "left")
     first = tagged.groupBy("file", "sheet", "row", "_field").agg(F.min("col").alias("_first"))
     joined = tagged.join(first, ["file", "sheet", "row", "_field"], "left")
     return joined.selectExpr(
@@ -156,9 +158,9 @@ def read_cell_grid(cells: DataFrame) -> DataFrame:
 
 
 def detect_header(cells: DataFrame) -> DataFrame:
-    """(file, sheet, header_row, score): best of the first 50 rows, the first row wins ties."""
+    """(file, sheet, header_row, score): best of the first 50 rows (HEADER_ROWS), the first row wins ties."""
     width = cells.groupBy("file", "sheet").agg((F.max("col") + 1).alias("_cols"))
-    top = cells.where("row <= 50").selectExpr("file", "sheet", "row", "col", "coalesce(display, '') as header")
+    top = cells.where(f"row <= {HEADER_ROWS}").selectExpr("file", "sheet", "row", "col", "coalesce(display, '') as header")
     rows = suggest_mappings(top).groupBy("file", "sheet", "row").agg(
         F.sum(F.expr("case confidence when 'high' then 4 when 'medium' then 2 when 'low' then 1 else 0 end")).alias("points"),
         F.max(F.expr("if(field = 'id', 8, 0)")).alias("has_id"),
@@ -372,7 +374,11 @@ def exclude_empty(rows: DataFrame, empty: str = "empty") -> DataFrame:
 
 
 def finalize_package(rows: DataFrame) -> DataFrame:
-    """(file, source_row, message): reasons why a file's package cannot be stored. No rows = it can."""
+    """(file, source_row, message): reasons why a file's package cannot be stored. No rows = it can.
+
+    What the three parts read is written once, so rows are normalised once and no filter is pushed into the row checks, where it would
+    repeat their nested expressions many times over."""
+    rows = stored(rows.select("file", "source_row", "requirement_id", "errors", "warnings", "included", "exclusion_reason", "reviewed"))
     per_row = rows.selectExpr(
         "file", "source_row",
         """explode(array_compact(array(

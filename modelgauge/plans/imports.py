@@ -219,9 +219,9 @@ cte(
 
 
 def header_cells(grid: DataFrame) -> DataFrame:
-    """Cells of each sheet's detected header row, as header texts."""
+    """Cells of each sheet's detected header row, as header texts. The header is one of the rows that detection looks at."""
     rows = IM.detect_header(grid).select("file", "sheet", F.col("header_row").alias("row"))
-    return grid.join(rows, ["file", "sheet", "row"]).selectExpr("file", "sheet", "row", "col", "display as header")
+    return grid.where(f"row <= {IM.HEADER_ROWS}").join(rows, ["file", "sheet", "row"]).selectExpr("file", "sheet", "row", "col", "display as header")
 
 
 @query("suggest_mappings", "SELECT c_custkey AS file, CASE s WHEN 0 THEN 'Main' ELSE 'Other' END AS sheet, m.col, m.header, m.field, m.confidence, m.confidence = 'high' AS accepted FROM customer, (VALUES (0), (1)) t(s), x_map m WHERE m.style = (c_custkey + s) % 4")
