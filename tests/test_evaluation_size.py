@@ -2,9 +2,12 @@
 
 import time
 
+from pyspark.sql.readwriter import DataFrameWriter
+
 from modelgauge.functions.ordered import stored
 from modelgauge.operators import rules as R
 from modelgauge.plans.rulebook import requirements
+from modelgauge.plans.session import save
 from modelgauge.sources import testbed as tb
 
 
@@ -70,3 +73,20 @@ def test_stored_tables_leave_no_shuffle_files(spark):
             break
         time.sleep(0.5)
     assert not left and out.count() == 7
+
+
+def test_partitioned_tables_are_not_sorted(spark, tmp_path, monkeypatch):
+    seen, plain, key = [], DataFrameWriter.parquet, "spark.sql.maxConcurrentOutputFileWriters"
+
+    def watched(self, path, *more, **other):
+        seen.append(spark.conf.get(key))
+        return plain(self, path, *more, **other)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", watched)
+    old = spark.conf.get(key)
+    save(spark.range(1000).selectExpr("id", "concat('t', id % 70) as kind"), f"{tmp_path}/many", "kind")
+    save(spark.range(1000).selectExpr("id", "concat('t', id % 5) as kind"), f"{tmp_path}/few", "kind")
+    assert seen == ["64", "64"] and spark.conf.get(key) == old
+    for name, n in (("many", 70), ("few", 5)):
+        back = spark.read.parquet(f"{tmp_path}/{name}")
+        assert back.where(f"kind = concat('t', id % {n})").count() == back.select("id").distinct().count() == 1000
