@@ -1,10 +1,12 @@
 """What the evaluation shuffles: links without room columns, texts made after the joins, shuffle files gone with their step."""
 
+import os
 import time
 
 from pyspark.sql.readwriter import DataFrameWriter
 
-from modelgauge.functions.ordered import stored
+from __spark_entry__ import queries
+from modelgauge.functions.ordered import passing, stored
 from modelgauge.operators import rules as R
 from modelgauge.plans.rulebook import requirements
 from modelgauge.plans.session import save
@@ -90,3 +92,59 @@ def test_partitioned_tables_are_not_sorted(spark, tmp_path, monkeypatch):
     for name, n in (("many", 70), ("few", 5)):
         back = spark.read.parquet(f"{tmp_path}/{name}")
         assert back.where(f"kind = concat('t', id % {n})").count() == back.select("id").distinct().count() == 1000
+
+
+def composite_case(spark):
+    rooms = spark.createDataFrame(
+        [("m", "r1", "A", "l", "office", 25.5, ["d2", "d1", "d1"], 1), ("m", "r2", "B", "l", "office", None, None, 2), ("m", "r3", "C", "l", "corridor", 70.0, [], 3),
+         ("m", "r1", "A", "l", "office", 25.5, ["d2", "d1", "d1"], 1), ("m", "r4", "D", "l", "corridor", 1.0, ["d9", None], 4), (None, "r5", "E", "l", "office", 1.0, ["d1"], 5)],
+        "model_id string, room_id string, name string, level_id string, room_type string, area_sqm double, door_ids array<string>, pos long",
+    )
+    doors = spark.createDataFrame([("m", "d1", 0.9), ("m", "d2", None), ("n", "d9", 1.0)], "model_id string, door_id string, width_m double")
+    runs = spark.createDataFrame([("r", "m", "spec-a"), ("s", "m", "spec-b")], "run_id string, model_id string, spec_id string")
+    return rooms, doors, R.run_requirements(runs, requirements(spark))
+
+
+def test_links_are_resolved_in_steps_of_their_own(spark):
+    case, seen = composite_case(spark), []
+
+    def step(df):
+        seen.append(df.columns)
+        return stored(df)
+
+    found = R.rule_composite(*case, step)
+    assert seen and "level_id" not in seen[0]
+    joins = [f._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin [") for f in (found, R.rule_composite(*case))]
+    assert joins[0] == joins[1] - 1
+    assert sorted(map(str, R.evaluate(*case, step).collect())) == sorted(map(str, R.evaluate(*case).collect()))
+
+
+def test_tables_of_a_step_go_with_it(spark):
+    with passing(spark) as step:
+        df = step(spark.range(10))
+        path = df.inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path) and df.count() == 10
+    assert not os.path.exists(os.path.dirname(path))
+
+
+def test_queries_without_texts_write_no_texts(spark, tmp_path, monkeypatch):
+    d = tables(spark, tmp_path)
+    spark.createDataFrame([(7, "C7"), (8, "C8")], "c_custkey long, c_name string").write.parquet(f"{d}/customer.parquet")
+    spark.createDataFrame([(5, 30), (4, 40)], "p_partkey long, p_size long").write.parquet(f"{d}/part.parquet")
+    spark.createDataFrame([(0, "a\nb"), (2, None)], "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(1, 7, "view", None), (2, None, None, None)], "event_id long, user_id long, event_type string, ts timestamp").write.parquet(f"{d}/events.parquet")
+    written, plain = [], DataFrameWriter.parquet
+
+    def watched(self, path, *more, **other):
+        written.append(self._df.columns)
+        return plain(self, path, *more, **other)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", watched)
+    for name in ("traceability_rows", "element_issues", "finding_keys", "combine_statuses"):
+        assert queries()[name](spark, d).count() > 0
+    assert written and not [c for c in written if "summary" in c or "evidence" in c]
+    seen = len(written)
+    everything = queries()["evaluate_all_rules"](spark, d)
+    assert "summary" in written[-1] and everything.count() > 0
+    again = len(written)
+    assert again > seen and queries()["element_issues"](spark, d).count() > 0 and len(written) == again
