@@ -9,6 +9,7 @@ from modelgauge.operators import drafts as D
 from modelgauge.operators import fragments as FR
 from modelgauge.plans.oracle import cte
 from modelgauge.plans.registry import query
+from modelgauge.plans.session import written
 from modelgauge.plans.validation import findings
 from modelgauge.sources import testbed as tb
 
@@ -127,11 +128,13 @@ cte(
 
 
 def docx_base(spark: SparkSession, d: str) -> DataFrame:
-    """Lines with the paragraph attributes a word processor stores: heading level, list membership, table cells."""
-    return FR.read_fragments(documents(spark, d)).withColumn("m", F.expr("(doc_id + pos) % 12")).selectExpr(
+    """Lines with the paragraph attributes a word processor stores: heading level, list membership, table cells. Written once, as labels,
+    paths and fragments are made from them in several passes."""
+    build = lambda: FR.read_fragments(documents(spark, d)).drop("doc_hash").withColumn("m", F.expr("(doc_id + pos) % 12")).selectExpr(
         "*", "if(m = 4, cast(pos % 3 + 1 as int), null) as heading_level", "m = 10 as in_table", "m = 3 as bullet",
         "if(m in (1, 7, 9), doc_id % 3, null) as list_id", "cast(floor(pos / 2) % 4 as int) as level",
     )
+    return written(spark, f"docx-base:{d}", build)
 
 
 cte("x_items", "SELECT doc_id, list_id, pos, ilvl FROM x_docx0 WHERE list_id IS NOT NULL")
@@ -168,6 +171,11 @@ def _paths(spark, d):
 
 
 def docx_fragments(spark: SparkSession, d: str) -> DataFrame:
+    """Classified paragraphs with labels and heading paths, written once for drafts, progress and exports."""
+    return written(spark, f"docx-fragments:{d}", lambda: _docx_fragments(spark, d))
+
+
+def _docx_fragments(spark: SparkSession, d: str) -> DataFrame:
     base = docx_base(spark, d)
     labels = FR.number_items(base.where("list_id is not null").select("doc_id", "list_id", "pos", "level")).select("doc_id", "pos", F.col("label").alias("numbering_label"))
     return FR.heading_path(base.join(labels, ["doc_id", "pos"], "left")).selectExpr(
