@@ -30,8 +30,9 @@ from modelgauge.llm.common import fresh_path, slices, stored
 from modelgauge.llm.range_coder import decode, encode
 
 BLOCK = 2048
-#: Blocks coded side by side, and documents in a file.
-SIDE_BY_SIDE = 3000
+#: Blocks coded side by side (their models take some 100 MB), bytes of text split at a time, and documents in a file.
+SIDE_BY_SIDE = 4096
+TEXT_BYTES = 16 << 20
 FILE_ROWS = 4000
 MOST_FILES = 5000
 BLOCKS = "file int, block int, n_ids int, crc32 long, payload binary, documents array<struct<doc_id:long,position:int,start:int,n:int>>"
@@ -40,48 +41,52 @@ _INDEX = pa.list_(pa.struct([("doc_id", pa.int64()), ("position", pa.int32()), (
 
 def _coded(path: str, end_id: int, block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, stop = tokenizer(path), np.uint32(end_id).tobytes()
+        tok, stop = tokenizer(path), np.array([end_id], np.uint32)
         file, number, position = TaskContext.get().partitionId(), 0, 0
-        ready: list[tuple[bytes, list[dict]]] = []
-        body: list[bytes] = []
+        ready: list[tuple[np.ndarray, list[dict]]] = []
+        body: list[np.ndarray] = []
         index: list[dict] = []
         size = 0
 
         def close() -> None:
             nonlocal body, index, size
             if index:
-                ready.append((b"".join(body), index))
+                ready.append((np.concatenate(body), index))
             body, index, size = [], [], 0
 
         def flush() -> pa.RecordBatch:
             nonlocal number, ready
-            ids = [np.frombuffer(b, np.uint32) for b, _ in ready]
-            numbers = range(number, number + len(ready))
-            out = [[file] * len(ready), list(numbers), [len(i) for i in ids], [zlib.crc32(b) for b, _ in ready], encode(ids), [d for _, d in ready]]
-            number += len(ready)
-            ready = []
+            some, ready = ready[:SIDE_BY_SIDE], ready[SIDE_BY_SIDE:]
+            ids = [i for i, _ in some]
+            numbers = range(number, number + len(some))
+            out = [[file] * len(some), list(numbers), [len(i) for i in ids], [zlib.crc32(i) for i in ids], encode(ids), [d for _, d in some]]
+            number += len(some)
             types = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), _INDEX)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["file", "block", "n_ids", "crc32", "payload", "documents"])
 
         for whole in batches:
-            for batch in slices(whole, "text"):
-                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), tok.encode(batch.column("text").to_pylist()), strict=True):
-                    ids += stop
-                    n = len(ids) // 4
+            for batch in slices(whole, "text", TEXT_BYTES):
+                every, offsets = tok.encode_column(batch.column("text"))
+                ends = offsets.tolist()
+                for doc_id, first, last in zip(batch.column("doc_id").to_pylist(), ends[:-1], ends[1:], strict=True):
+                    n = last - first + 1
                     if size + n > block:
                         close()
-                    for start in range(0, n, block):
-                        part = ids[4 * start : 4 * (start + block)]
-                        body.append(part)
-                        index.append({"doc_id": doc_id, "position": position, "start": start, "n": len(part) // 4})
-                        size += len(part) // 4
-                        if n > block:
+                    if n <= block:
+                        body += [every[first:last], stop]
+                        index.append({"doc_id": doc_id, "position": position, "start": 0, "n": n})
+                        size += n
+                    else:
+                        ids = np.concatenate((every[first:last], stop))
+                        for start in range(0, n, block):
+                            body.append(ids[start : start + block])
+                            index.append({"doc_id": doc_id, "position": position, "start": start, "n": len(body[-1])})
                             close()
                     position += 1
-                if len(ready) >= SIDE_BY_SIDE:
-                    yield flush()
+                    while len(ready) >= SIDE_BY_SIDE:
+                        yield flush()
         close()
-        if ready:
+        while ready:
             yield flush()
 
     return run
@@ -98,8 +103,9 @@ def write(docs: DataFrame, path: str, model: str, end_id: int = 2, block: int =
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["file", "doc_id", "position", "start", "ids"]
     for whole in batches:
-        for first in range(0, whole.num_rows, SIDE_BY_SIDE):
-            batch = whole.slice(first, SIDE_BY_SIDE)
+        most = -(-whole.num_rows // (-(-whole.num_rows // SIDE_BY_SIDE) or 1)) or 1  # evenly
+        for first in range(0, whole.num_rows, most):
+            batch = whole.slice(first, most)
             sizes = batch.column("n_ids").to_pylist()
             found = decode(batch.column("payload").to_pylist(), sizes)
             out: tuple[list, ...] = ([], [], [], [], [])
