@@ -145,21 +145,21 @@ class ChunkTokenizer:
             self.memo.update((p, v) for p, v in extra.items() if v is not None and len(p) <= LONG_PART)
         return out
 
-    def _lower_words(self, words: list[str]) -> dict[str, bytes]:
+    def _letters(self, words: list[str]) -> dict[str, bytes]:
+        words = sorted(words, key=str.isascii)
         chunks = [words[i : i + 2000] for i in range(0, len(words), 2000)]
         return {w: body for some in chunks for w, body in zip(some, self.words(some), strict=True)}
 
     def _bodies(self, parts: list[str], often: np.ndarray, find: Callable[[list[str]], dict[str, bytes | None]]) -> list[bytes | None]:
-        """Ids of distinct parts; those that stand more than once are remembered."""
+        """Ids of distinct parts. Half of the memory takes any part, the other half those that stand more than once."""
         bodies = list(map(self.memo.get, parts))
         miss = [i for i, v in enumerate(bodies) if v is None]
         found = find([parts[i] for i in miss])
         for i in miss:
             bodies[i] = found[parts[i]]
-        for i in (x for x in miss if often[x] and bodies[x] is not None and len(parts[x]) <= LONG_PART):
-            if len(self.memo) >= MEMO_LIMIT:
-                break
-            self.memo[parts[i]] = bodies[i]
+        for i in (x for x in miss if bodies[x] is not None and len(parts[x]) <= LONG_PART):
+            if len(self.memo) < (MEMO_LIMIT if often[i] else MEMO_LIMIT // 2):
+                self.memo[parts[i]] = bodies[i]
         return bodies
 
     def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -171,12 +171,17 @@ class ChunkTokenizer:
         coded = rows.flatten().dictionary_encode()
         parts, place = coded.dictionary, coded.indices.to_numpy()
         often = np.bincount(place, minlength=len(parts)) > 1
-        # ASCII letters and the punctuation behind them are two pieces, anything else is one
+        # letters and the punctuation behind them are two pieces, anything else is one
         core = pc.utf8_rtrim(parts, characters=MARKS)
-        easy = pc.and_(pc.string_is_ascii(core), pc.utf8_is_alpha(core)).to_numpy(zero_copy_only=False) & (self.lowers and self.last is not None)
+        ascii_only = pc.string_is_ascii(core)
+        small = pc.and_(ascii_only, pc.utf8_is_alpha(core))
+        easy = small.to_numpy(zero_copy_only=False) & (self.lowers and self.last is not None)
+        wide = np.flatnonzero(~ascii_only.to_numpy(zero_copy_only=False) & (self.last is not None))
+        words = core.take(pa.array(wide)).to_numpy(zero_copy_only=False).tolist()
+        easy[wide[np.fromiter((w.isalpha() and w[-1].lower().isalpha() for w in words), bool, len(words))]] = True  # a lower-cased letter may end in a mark
         tail = np.flatnonzero(easy & (pc.subtract(pc.binary_length(parts), pc.binary_length(core)).to_numpy() > 0))
         rest = np.flatnonzero(~easy)
-        lower = pc.ascii_lower(core.filter(pa.array(easy))).dictionary_encode()
+        lower = pc.if_else(small, pc.ascii_lower(core), core).filter(pa.array(easy)).dictionary_encode()
         code = lower.indices.to_numpy()
         again = np.zeros(len(lower.dictionary), dtype=bool)
         again[code[often[easy]]] = True
@@ -186,14 +191,16 @@ class ChunkTokenizer:
         first, second = np.empty(len(parts), np.int64), np.full(len(parts), -1)
         first[easy], first[rest] = code, np.arange(len(rest)) + len(cores) + len(marks)
         second[tail] = [marks[t] for t in tails]
-        bodies = [*self._bodies(cores, again, self._lower_words), *self._bodies(list(marks), np.ones(len(marks), bool), self.look_up), *self._bodies(others, often[rest], self.look_up), b""]
+        bodies = [*self._bodies(cores, again, self._letters), *self._bodies(list(marks), np.ones(len(marks), bool), self.look_up), *self._bodies(others, often[rest], self.look_up), b""]
         whole = np.zeros(len(parts), dtype=bool)
         whole[[i for i, j in zip(rest.tolist(), range(len(cores) + len(marks), len(bodies)), strict=False) if bodies[j] is None]] = True
         ids, n = _laid(bodies, np.stack((first, second), axis=1))  # of each part
         base = np.cumsum(n) - n
         sizes = n.take(place)
         ends = np.concatenate(([0], np.cumsum(sizes)))
-        ids = ids.take(np.arange(ends[-1]) + np.repeat(base.take(place) - ends[:-1], sizes))
+        at = np.repeat(base.take(place) - ends[:-1], sizes)
+        at += np.arange(len(at))
+        ids = ids.take(at)
         cuts = rows.offsets.to_numpy()
         offsets = ends[cuts]
         if whole.any():  # texts with a part that can't be cut out

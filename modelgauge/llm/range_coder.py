@@ -17,7 +17,7 @@ import numpy as np
 SLOTS_1, SLOTS_2 = 10, 11
 NONE = 65535
 #: Steps at which a block's order-0 distribution is drawn up from its counts; from the last on every so many steps.
-DRAWN, LATER = (8, 16, 24, 32, 48, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384, 448, 512, 640, 768), 512
+DRAWN, LATER = (8, 16, 32, 48, 64, 96, 128, 192, 256, 384, 512, 768), 512
 #: What an upper byte counts before it is seen.
 UNSEEN = 0.1
 _U = np.uint64
@@ -42,8 +42,8 @@ class _Model:
     def draw(self, n: int) -> None:
         """Order-0 distributions of the first n blocks from their counts."""
         counts = self.counts[: n << 8].reshape(n, 256)
-        total = counts.sum(axis=1) + 256 * UNSEEN
-        share = ((counts + UNSEEN) * (3839 / total)[:, None]).astype(np.uint16) + np.uint16(1)
+        total = counts.sum(axis=1).astype(np.float32) + np.float32(256 * UNSEEN)
+        share = ((counts.astype(np.float32) + np.float32(UNSEEN)) * (np.float32(3839) / total)[:, None]).astype(np.uint16) + np.uint16(1)
         most = counts.argmax(axis=1)
         share[np.arange(n), most] += (4096 - share.sum(axis=1, dtype=np.int64)).astype(np.uint16)
         ends = share.cumsum(axis=1, dtype=np.uint32)
@@ -128,8 +128,7 @@ class _Encoder:
         self.carry((low < self.low).nonzero()[0])
         self.low = low
         self.shift(np.arange(len(low)))
-        data = self.data.astype(">u4")
-        return [data[i * self.width : end].tobytes() for i, end in enumerate(self.place.tolist())]
+        return [self.data[i * self.width : end].astype(">u4").tobytes() for i, end in enumerate(self.place.tolist())]
 
 
 class _Decoder:
