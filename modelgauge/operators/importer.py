@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modelgauge.functions.ordered import stored
-from modelgauge.functions.skew import latest
+from modelgauge.functions.skew import latest, salted_join
 from modelgauge.operators.checks import (
     AREA_UNITS, LENGTH_UNITS, QUANTITY_TYPES, ROOM_TYPES, SEVERITIES, repeats_after_first, sql_in,
 )
@@ -203,10 +203,12 @@ def choose_sheet(sheets: DataFrame, mappings: DataFrame, strict: bool) -> DataFr
 def grid_to_rows(cells: DataFrame, mappings: DataFrame, header_rows: DataFrame) -> DataFrame:
     """Data rows of the chosen sheets as (file, source_row, empty, values, derived, formula_errors).
 
-    cells and header_rows are limited to the chosen sheets; mappings are the accepted ones."""
-    body = cells.join(header_rows.select("file", "sheet", "header_row"), ["file", "sheet"]).where("row > header_row")
-    used = mappings.where("field is not null").select("file", "sheet", "col", "field")
-    tagged = body.join(used, ["file", "sheet", "col"], "left")
+    header_rows are limited to the chosen sheets; mappings are the accepted ones. What is known of a sheet, its header row and the fields of
+    its columns, is put together first, so that the cells meet it in one join by sheet, which never passes through the driver."""
+    used = mappings.where("field is not null").groupBy("file", "sheet").agg(F.collect_list(F.struct("col", "field")).alias("_fields"))
+    known = salted_join(header_rows.select("file", "sheet", "header_row"), used, ["file", "sheet"], ["sheet"], how="left")
+    body = salted_join(cells, known, ["file", "sheet"], ["row"]).where("row > header_row")
+    tagged = body.withColumn("_own", F.expr("filter(_fields, x -> x.col = col)")).selectExpr("*", "explode_outer(_own.field) as field")
     has = "field is not null"
     return tagged.groupBy("file", F.col("row").alias("source_row")).agg(
         F.bool_and(F.trim(F.coalesce("display", F.lit(""))) == "").alias("empty"),

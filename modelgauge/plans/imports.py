@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from modelgauge.operators import importer as IM
 from modelgauge.plans.oracle import cte, lit
 from modelgauge.plans.registry import query
+from modelgauge.plans.session import written
 from modelgauge.sources import testbed as tb
 
 # Sheet headers in four styles: canonical, aliases, near matches, duplicates and unknown words.
@@ -218,15 +219,26 @@ cte(
 )
 
 
-def header_cells(grid: DataFrame) -> DataFrame:
-    """Cells of each sheet's detected header row, as header texts. The header is one of the rows that detection looks at."""
-    rows = IM.detect_header(grid).select("file", "sheet", F.col("header_row").alias("row"))
+def header_cells(grid: DataFrame, headers: DataFrame | None = None) -> DataFrame:
+    """Cells of each sheet's detected header row, as header texts. The header is one of the rows that detection looks at. `headers`, what
+    was detected, may be given as a stored table."""
+    rows = (IM.detect_header(grid) if headers is None else headers).select("file", "sheet", F.col("header_row").alias("row"))
     return grid.where(f"row <= {IM.HEADER_ROWS}").join(rows, ["file", "sheet", "row"]).selectExpr("file", "sheet", "row", "col", "display as header")
 
 
+def headers(spark: SparkSession, d: str) -> DataFrame:
+    """The detected header row of every sheet, written once: three steps of an import read it, and each would detect it again."""
+    return written(spark, f"grid-headers:{d}", lambda: IM.detect_header(cells(spark, d)))
+
+
+def mappings(spark: SparkSession, d: str) -> DataFrame:
+    """The mapped columns of every sheet, written once."""
+    return written(spark, f"grid-mappings:{d}", lambda: IM.suggest_mappings(header_cells(cells(spark, d), headers(spark, d))))
+
+
 @query("suggest_mappings", "SELECT c_custkey AS file, CASE s WHEN 0 THEN 'Main' ELSE 'Other' END AS sheet, m.col, m.header, m.field, m.confidence, m.confidence = 'high' AS accepted FROM customer, (VALUES (0), (1)) t(s), x_map m WHERE m.style = (c_custkey + s) % 4")
 def _suggest(spark, d):
-    return IM.suggest_mappings(header_cells(cells(spark, d))).select("file", "sheet", "col", "header", "field", "confidence", "accepted")
+    return mappings(spark, d).select("file", "sheet", "col", "header", "field", "confidence", "accepted")
 
 
 @query("normalize_headers", r"SELECT doc_id, l AS header, trim(regexp_replace(lower(strip_accents(l)), '[^a-z0-9]+', ' ', 'g')) AS norm FROM x_lines0")
@@ -240,13 +252,13 @@ def _norm(spark, d):
 
 @query("detect_header", "SELECT c_custkey AS file, CASE s WHEN 0 THEN 'Main' ELSE 'Other' END AS sheet, 2 AS header_row FROM customer, (VALUES (0), (1)) t(s)")
 def _detect(spark, d):
-    return IM.detect_header(cells(spark, d)).select("file", "sheet", "header_row")
+    return headers(spark, d).select("file", "sheet", "header_row")
 
 
 def _chosen(spark, d, strict):
     grid = cells(spark, d)
     sheets = grid.select("file", "sheet", "hidden", "sheet_pos").distinct()
-    return IM.choose_sheet(sheets, IM.suggest_mappings(header_cells(grid)), strict)
+    return IM.choose_sheet(sheets, mappings(spark, d), strict)
 
 
 cte("x_stylestat", "SELECT style, count(field) AS mapped, count(*) FILTER (WHERE confidence = 'high' AND field IN ('id', 'title', 'type', 'severity')) AS req, count(*) FILTER (WHERE field IS NOT NULL AND confidence <> 'high') AS weak, count(*) FILTER (WHERE field IN ('id', 'title')) AS both_n FROM x_map GROUP BY 1")
@@ -282,7 +294,6 @@ FROM (SELECT c.*, o_orderkey AS k, ['R-' || o_orderkey, 'Title ' || o_orderkey,
 )
 def _rows(spark, d):
     """Every file: its chosen sheet below the detected header row."""
-    grid = cells(spark, d)
-    chosen = grid.join(_chosen(spark, d, False), ["file", "sheet"])
-    rows = IM.grid_to_rows(chosen, IM.suggest_mappings(header_cells(grid)), IM.detect_header(grid))
+    chosen = headers(spark, d).join(_chosen(spark, d, False), ["file", "sheet"])
+    rows = IM.grid_to_rows(cells(spark, d), mappings(spark, d), chosen)
     return IM.values_to_columns(rows).selectExpr("file", "source_row", "id", "minimum", "array_join(derived, ',') as derived", "array_join(formula_errors, ',') as formula_errors")
