@@ -127,3 +127,16 @@ def test_element_status_order(spark):
     rows = [("r", "pass", "info", ["e"], 1, 0), ("r", "unknown", "warning", ["e"], 2, 0), ("r", "unknown", "critical", ["e"], 3, 0), ("r", "pass", "critical", ["p"], 1, 1), ("r", "pass", "info", ["p"], 2, 1)]
     f = spark.createDataFrame(rows, "run_id string, status string, severity string, affected_element_ids array<string>, req_pos long, element_pos long")
     assert {r.element_id: (r.status, r.severity) for r in rules.element_status(f).collect()} == {"e": ("unknown", "warning"), "p": ("pass", "info")}
+
+
+def test_counts_of_deltas_need_no_names(spark):
+    rows = [("p", "R", "rule", "Title", "fail", "critical", "text", ["b", "a"], 1, 2), ("p", "R", "rule", "Later", "pass", "critical", "text", ["a", "b"], 1, 3), ("q", "S", "rule", None, "unknown", "info", None, [], 1, 1)]
+    names = "pair_id string, requirement_id string, rule_id string, requirement_title string, status string, severity string, summary string, affected_element_ids array<string>, req_pos int, element_pos long"
+    before = spark.createDataFrame(rows, names)
+    deltas = compare.compare_findings(before, before.where("pair_id = 'p' and element_pos = 2"))
+    assert [(r.finding_key, r.title, r.affected_element_ids, r.kind, r.before_status, r.after_status) for r in deltas.orderBy("pair_id").collect()] == [
+        ("R|rule|a,b", "Title", ["a", "b"], "reopened", "pass", "fail"), ("S|rule|", None, [], "resolved", "unknown", None),
+    ]
+    plan = compare.delta_counts(deltas, compare.FINDING_KINDS)._jdf.queryExecution().optimizedPlan().toString()
+    assert "requirement_title" not in plan.split("Aggregate [pair_id")[2].split("\n")[0] and "'ids" not in plan
+    assert plan.count("max_by") < deltas._jdf.queryExecution().optimizedPlan().toString().count("max_by")
