@@ -203,3 +203,22 @@ def test_redaction_reaches_nested_values(spark):
     assert (one["password"], one["list"], one["few"], one["odd"], one["none"]) == ("[redacted]", "[array of 51]", "[1,2]", "{no json", None)
     assert one["long"] == "x" * 500 + "…[truncated]" and "[truncated]" in one["deep"]
     assert got[1].m is None and got[2].m == {}
+
+
+def test_blocks_are_cut_where_they_are_read(spark, tmp_path):
+    body = "".join(f"#{i}=IFCSPACE('a;{i}',/* ; ' */$,'it''s\n{i}');\n" for i in range(4000))
+    (tmp_path / "large.ifc").write_text(HEADER + body + "ENDSEC;\n")
+    (tmp_path / "bad.ifc").write_text("x" * 50_000 + ";" + body)
+    (tmp_path / "small.ifc").write_text(HEADER + "#1=IFCDOOR('d');")
+    key = "spark.sql.files.maxPartitionBytes"
+    spark.conf.set(key, "60000")
+    try:
+        found = step.read_step_entities(spark, str(tmp_path))
+        plan = step.whole_records(spark, str(tmp_path))._jdf.queryExecution().analyzed().toString()
+    finally:
+        spark.conf.unset(key)
+    assert "RepartitionByExpression" not in plan and spark.conf.get("spark.sql.files.minPartitionNum", None) is None
+    for name in ("large", "bad"):
+        (tmp_path / f"{name}.ifc").unlink()  # what was cut is written: nothing reads the files any more
+    rows = {(r.type, r.express_id): r.args for r in found.collect()}
+    assert len(rows) == 4001 and rows["IFCDOOR", 1] == ["'d'"] and rows["IFCSPACE", 3999] == ["'a;3999'", "$", "'it''s\n3999'"]
